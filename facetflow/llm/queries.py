@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import langid, media, packing, secrets
+from facetflow.llm import langid, media, minhash, packing, secrets, substring
 from facetflow.llm.common import id_hash_mod, table
 
 
@@ -18,6 +18,15 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring.digest(docs, substring.find(docs, spark))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), spark)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -29,8 +38,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op5_substring, op8_minhash, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring": substring.SQL}
