@@ -73,7 +73,7 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / documents with the word), by hashed cell, over all documents."""
+    """ln((1 + documents) / (1 + documents with the word)) + 1, by hashed cell, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(CELLS, dtype=np.int64), 0
@@ -92,7 +92,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     own = counts[counts["cell"] >= 0]
     table[own["cell"].to_numpy(dtype=int)] = own["n"].to_numpy()
     n = counts.loc[counts["cell"] < 0, "n"].sum()
-    return np.log1p(n / np.maximum(table, 1))
+    return np.log((1 + n) / (1 + table)) + 1
 
 
 def weighted_sets(strings: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import langid, media, minhash, packing, secrets, substring
+from facetflow.llm import counting, langid, media, minhash, packing, pieces, secrets, substring, vectors
 from facetflow.llm.common import id_hash_mod, table
 
 
@@ -18,11 +18,23 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substring.digest(docs, substring.find(docs, spark))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.range_join(table(spark, sf_dir, "embeddings"), spark)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), spark)
 
@@ -38,8 +50,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op5_substring, op8_minhash, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_sentencepiece, op5_substring, op6_embeddings, op7_token_counts, op8_minhash, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": substring.SQL}
+    return {"op5_substring": substring.SQL, "op6_embeddings": vectors.SQL}
