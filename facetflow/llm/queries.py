@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import counting, langid, media, minhash, packing, pieces, secrets, substring, vectors
+from facetflow.llm import counting, langid, media, minhash, packing, pieces, secrets, substring, toxicity, vectors
 from facetflow.llm.common import id_hash_mod, table
 
 
@@ -22,6 +22,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (id_hash_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substring.digest(docs, substring.find(docs, spark))
@@ -50,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_sentencepiece, op5_substring, op6_embeddings, op7_token_counts, op8_minhash, op9_secrets, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_sentencepiece, op4_toxicity, op5_substring, op6_embeddings, op7_token_counts, op8_minhash, op9_secrets, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
