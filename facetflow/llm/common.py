@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetflow.operators import tables
+
 #: Characters that a task turns into numpy arrays at once.
 BLOCK_CHARS = 2_000_000
 
@@ -29,25 +30,9 @@ def id_hash_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = getattr(context, "_facetflow_dir", None) or tempfile.mkdtemp(prefix="facetflow-")
-        context._facetflow_dir = where
-    return where
-
-
 def stored(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.stored(df, label)
 
 
 def shuffle_width(spark: SparkSession) -> int:
