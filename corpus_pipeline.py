@@ -1,18 +1,33 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed training sequences.
+
+Five stages, each over all that the one before kept, stored in between in the shared folder: documents
+whose language is known; one document of each group of near duplicates; texts without the passages that
+other documents brought before; texts without secrets; pieces of documents in packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import langid, packing, secrets
+from facetflow.llm import langid, minhash, packing, secrets, substring
 from facetflow.llm.common import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the models learn from these documents' labels."""
+    """Documents whose language the character models know; rejected ones go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return minhash.keep_one(docs, spark)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated windows cover; those of which nothing is left go."""
+    return substring.clean(docs, substring.find(docs, spark))
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
     return secrets.redact(docs)
@@ -23,7 +38,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, spark)
 
 
-STAGES = [("language", known_language), ("secrets", without_secrets), ("packing", packed)]
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", without_near_duplicates),
+    ("substrings", without_repeats),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 
 #: Character models and tokenizers are beyond SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
