@@ -116,12 +116,12 @@ def _euler(name: str, vertices: str, faces: str) -> str:
       (SELECT count(*) AS e FROM (SELECT least(v0, v1), greatest(v0, v1) FROM {faces} UNION SELECT least(v1, v2), greatest(v1, v2) FROM {faces} UNION SELECT least(v0, v2), greatest(v0, v2) FROM {faces}))"""
 
 
-BROKEN = """bf AS (SELECT fid, v0, v1, v2 FROM faces UNION ALL SELECT fid + 10000000, v0, v2, 0 FROM faces WHERE fid % 5 = 0 AND v0 <> 0 AND v1 <> 0),
+BROKEN = """bf AS (SELECT fid, v0, v1, v2 FROM faces UNION ALL SELECT fid + 10000000, v0, v2, 0 FROM faces JOIN vertices ON v0 = vid WHERE z < 1 AND v0 <> 0),
   bh AS (SELECT src, dst, arg_max(opp, fid) AS opp FROM (SELECT v0 AS src, v1 AS dst, v2 AS opp, fid FROM bf UNION ALL SELECT v1, v2, v0, fid FROM bf UNION ALL SELECT v2, v0, v1, fid FROM bf) GROUP BY src, dst),
   bt AS (SELECT h.src AS hi, h.dst AS lo, h.opp AS o1, g.opp AS o0 FROM bh h JOIN bh g ON h.src = g.dst AND h.dst = g.src WHERE h.src > h.dst),
   bn AS (SELECT src AS v, dst AS n FROM bh UNION SELECT dst, src FROM bh)"""
 
-COMPONENTS = """part_faces AS (SELECT faces.* FROM faces, w WHERE floor(fid / (2 * w)) % 4 <> 3),
+COMPONENTS = """part_faces AS (SELECT f.* FROM faces f JOIN vertices a ON v0 = a.vid JOIN vertices b ON v1 = b.vid JOIN vertices c ON v2 = c.vid WHERE a.z > 2 AND b.z > 2 AND c.z > 2),
   adj AS (SELECT v0 AS a, v1 AS b FROM part_faces UNION SELECT v1, v0 FROM part_faces UNION SELECT v1, v2 FROM part_faces UNION SELECT v2, v1 FROM part_faces UNION SELECT v0, v2 FROM part_faces UNION SELECT v2, v0 FROM part_faces)"""
 
 
@@ -140,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "boundary_edges": sql("rim", "SELECT * FROM rim"),
         "closed_vertices": sql("closed", "SELECT 'terrain' AS mesh_id, vid FROM closed"),
         "vertex_degrees": sql("nbr", "SELECT v AS vid, count(*) AS degree FROM nbr GROUP BY v"),
-        "link_violations": sql("faces", f", {BROKEN} SELECT DISTINCT 'terrain' AS mesh_id, hi, lo FROM bt JOIN bn a ON a.v = hi JOIN bn b ON b.v = lo AND a.n = b.n WHERE a.n <> o1 AND a.n <> o0"),
+        "link_violations": sql("faces vertices", f", {BROKEN} SELECT DISTINCT 'terrain' AS mesh_id, hi, lo FROM bt JOIN bn a ON a.v = hi JOIN bn b ON b.v = lo AND a.n = b.n WHERE a.n <> o1 AND a.n <> o0"),
         "collapsible_edges": sql("valid", "SELECT * FROM valid"),
         "conflict_sets": sql("two", "SELECT hi, lo, array_to_string(list_sort(list_distinct([hi, lo, o1, o0])), ',') AS claim FROM two"),
         "euler_characteristic": sql("faces rim w vertices", f", sf AS ({SHELL_FACES}) {_euler('terrain', 'count(*)', 'faces')} UNION ALL {_euler('shell', '2 * count(*)', 'sf')}"),
@@ -158,13 +158,13 @@ def oracle_sql() -> dict[str, str]:
         "obj_vertices": sql("vertices", "SELECT * FROM vertices"),
         "obj_faces": sql("faces w", "SELECT mesh_id, fid * 4 + w * w AS fid, v0, v1, v2 FROM faces, w"),
         "obj_permissive_faces": sql("faces w", "SELECT mesh_id, fid * 4 + w * w AS fid, v0, v1, v2 FROM faces, w UNION ALL SELECT mesh_id, fid * 4 + w * w + 1, v0, v2, v1 FROM faces, w UNION ALL SELECT mesh_id, fid * 4 + w * w + 2, v0, v0, v1 FROM faces, w"),
-        "obj_export": sql("faces vertices", """, k AS (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS i FROM vertices WHERE vid % 7 <> 3) SELECT 0 AS section, i AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, 'v ' || x || ' ' || y || ' ' || z AS line FROM k
+        "obj_export": sql("faces vertices", """, k AS (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS i FROM vertices WHERE z >= 1) SELECT 0 AS section, i AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, 'v ' || x || ' ' || y || ' ' || z AS line FROM k
           UNION ALL SELECT 1, a.i, b.i, c.i, 'f ' || (a.i + 1) || ' ' || (b.i + 1) || ' ' || (c.i + 1) FROM faces JOIN k a ON v0 = a.vid JOIN k b ON v1 = b.vid JOIN k c ON v2 = c.vid"""),
         "independent_batch": sql("won", f"SELECT hi, lo, {_tidy('px', 'py', 'pz', 'cost')} FROM won"),
         "contract_once": sql("moved", f"SELECT mesh_id, fid, {MIN_FIRST.format('a', 'b', 'c')} FROM (SELECT mesh_id, fid, v0 AS a, v1 AS b, v2 AS c FROM moved WHERE v0 <> v1 AND v1 <> v2 AND v0 <> v2)"),
         "contract_vertices": sql("won vertices", "SELECT v.mesh_id, vid, round(coalesce(px, x), 6) + 0.0 AS x, round(coalesce(py, y), 6) + 0.0 AS y, round(coalesce(pz, z), 6) + 0.0 AS z FROM (SELECT * FROM vertices WHERE vid NOT IN (SELECT hi FROM won)) v LEFT JOIN won ON vid = lo"),
-        "connected_components": sql("faces w", "SELECT 'terrain' AS mesh_id, n AS vid, min(c) AS component FROM reach GROUP BY n", f"{COMPONENTS}, reach(n, c) AS (SELECT a, a FROM adj UNION SELECT adj.b, reach.c FROM reach JOIN adj ON reach.n = adj.a AND reach.c < adj.b)"),
-        "structural_stats": sql("faces vertices", "SELECT 'terrain' AS mesh_id, (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM faces) + (SELECT count(*) FROM faces WHERE fid % 10 = 0) AS faces, (SELECT count(*) FROM faces WHERE fid % 10 = 0) AS degenerate_faces, CAST(1 AS BIGINT) AS components"),
+        "connected_components": sql("faces vertices", "SELECT 'terrain' AS mesh_id, n AS vid, min(c) AS component FROM reach GROUP BY n", f"{COMPONENTS}, reach(n, c) AS (SELECT a, a FROM adj UNION SELECT adj.b, reach.c FROM reach JOIN adj ON reach.n = adj.a AND reach.c < adj.b)"),
+        "structural_stats": sql("faces vertices", "SELECT 'terrain' AS mesh_id, (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM faces) + (SELECT count(*) FROM faces JOIN vertices ON v0 = vid WHERE z < 1) AS faces, (SELECT count(*) FROM faces JOIN vertices ON v0 = vid WHERE z < 1) AS degenerate_faces, CAST(1 AS BIGINT) AS components"),
         "raster_points": sql("pts", f"SELECT vid, {_tidy('px', 'py', 'depth')} FROM pts"),
         "face_shades": sql("plane0", "SELECT fid, CAST(round_even(215 - 85 * abs(cy / greatest(sqrt(cx * cx + cy * cy + cz * cz), 1e-12)), 0) AS INTEGER) AS color FROM plane0"),
         "raster_zbuffer": sql("pixels", f"SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, {_tidy('depth')}, color FROM pixels"),

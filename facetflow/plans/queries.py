@@ -90,9 +90,10 @@ def vertex_degrees(s, d):
 
 
 def link_violations(s, d):
-    """On the terrain with the corners of every fifth face joined to a far vertex, so that links are broken."""
+    """On the terrain with faces from its low corners to a far vertex, so that links are broken."""
     t = terrain(s, d)
-    extra = t.faces.where("fid % 5 = 0").select("mesh_id", (F.col("fid") + 10_000_000).alias("fid"), F.col("v0"), F.col("v2").alias("v1"), F.lit(0).cast("long").alias("v2")).where("v0 <> 0 and v1 <> 0")
+    low = t.faces.join(t.vertices.where("z < 1").select("mesh_id", F.col("vid").alias("v0")), ["mesh_id", "v0"], "left_semi")
+    extra = low.select("mesh_id", (F.col("fid") + 10_000_000).alias("fid"), F.col("v0"), F.col("v2").alias("v1"), F.lit(0).cast("long").alias("v2")).where("v0 <> 0 and v1 <> 0")
     edges = topology.half_edges(t.faces.union(extra))
     return topology.link_violations(topology.two_sided_edges(edges), edges)
 
@@ -183,8 +184,9 @@ def obj_permissive_faces(s, d):
 
 
 def obj_export(s, d):
+    """The terrain without its low vertices, and so without their faces."""
     t = terrain(s, d)
-    kept = t.vertices.where("vid % 7 <> 3")
+    kept = t.vertices.where("z >= 1")
     return obj.export_lines(Surface(kept, t.faces)).select("section", "a", "b", "c", "line")
 
 
@@ -230,14 +232,19 @@ def simplify_stats(s, d):
 
 
 def connected_components(s, d):
-    """Components of the terrain without the faces of every fourth row."""
-    w = grid_side(s, d)
-    return quality.components(terrain(s, d).faces.where(f"floor(fid / {2 * max(w, 1)}) % 4 <> 3"))
+    """Islands: components of the faces whose corners all stand above the water line."""
+    t = terrain(s, d)
+    dry = t.faces
+    for k in ("v0", "v1", "v2"):
+        dry = dry.join(t.vertices.where("z > 2").select("mesh_id", F.col("vid").alias(k)), ["mesh_id", k], "left_semi")
+    return quality.components(dry)
 
 
 def structural_stats(s, d):
+    """Of the terrain with a face without area beside each of its faces with a low first corner."""
     t = terrain(s, d)
-    bad = t.faces.where("fid % 10 = 0").select("mesh_id", (F.col("fid") + 10_000_000).alias("fid"), F.col("v0"), F.col("v0").alias("v1"), F.col("v2"))
+    low = t.faces.join(t.vertices.where("z < 1").select("mesh_id", F.col("vid").alias("v0")), ["mesh_id", "v0"], "left_semi")
+    bad = low.select("mesh_id", (F.col("fid") + 10_000_000).alias("fid"), F.col("v0"), F.col("v0").alias("v1"), F.col("v2"))
     return quality.structural_stats(t.vertices, t.faces.union(bad))
 
 
