@@ -13,7 +13,8 @@ together, and every window but the earliest is a repeat.  A word is removed if a
 - A hash only brings candidates together: windows count as equal if all their words are equal.
 
 Order: by doc_id, then start.  Rows that repeat a doc_id with the same text are one document: neither is
-earlier.  Null and empty texts have no words.  Texts with fewer than WINDOW words stay whole.  Columns
+earlier.  Rows without a doc_id have no place in the order: they stay whole
+and make nothing a repeat.  Null and empty texts have no words.  Texts with fewer than WINDOW words stay whole.  Columns
 other than doc_id and text are ignored by find() and digest(), and passed through by clean().
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes, words_of
 
 WINDOW = 20
-SEED = 8
+SEED = 4
 BLOCK_BYTES = 6_000_000
 #: Buckets for each shuffle partition, and the largest number of minimisers that count as hot.
 BUCKETS_EACH = 8
@@ -189,7 +190,7 @@ def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, doc_id, data): packed strings of a bucket, compressed (doc_id null), or what a block settled."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for ids, strings in _blocks(batch):
                 words = Words(strings)
@@ -246,7 +247,7 @@ def _settle(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
 
 def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, spans): intervals of words that repeats cover, 64-bit pairs; some rows for a document."""
-    docs = id_and_text(docs)
+    docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
     width = shuffle_width(spark)
     buckets = BUCKETS_EACH * width
     packed = super_kmers(docs, buckets, hot_minimisers(docs, buckets))
