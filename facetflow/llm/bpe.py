@@ -13,6 +13,9 @@ from collections.abc import Callable
 #: Marks the last symbol of a word, where a vocabulary has tokens of their own for word ends.
 WORD_END = "￿"
 
+#: Pairs of tokens that are remembered at most.
+MOST_PAIRS = 400_000
+
 
 def symbols(text: str) -> list[str]:
     parts = list(text)
@@ -31,6 +34,9 @@ class Tokens:
         self.tokens = tokens
         self.rank = rank
         self.own: dict[str, tuple] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        #: the tokens that encoding can give
+        self.good = {t for t in tokens if self.merges(t)[3]}
 
     def merges(self, token: str) -> tuple[str, str, list[tuple[float, str, str]], bool]:
         """The merges of a token by itself, least rank first, leftmost among equals.
@@ -51,13 +57,18 @@ class Tokens:
             found = self.own[token] = (first, last, done, len(parts) == 1)
         return found
 
-    def is_token(self, text: str) -> bool:
-        """Whether text is a token that encoding can give."""
-        return text in self.tokens and self.merges(text)[3]
-
     def may_follow(self, left: str, right: str) -> bool:
         """Whether encoding both together gives these two: their own merges run side by side, and none
         across the border between them is ever due."""
+        key = (left, right)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self._may_follow(left, right)
+        return found
+
+    def _may_follow(self, left: str, right: str) -> bool:
         _, x, ours, _ = self.merges(left)
         y, _, theirs, _ = self.merges(right)
         i = j = 0
@@ -92,7 +103,7 @@ class ForwardStates:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [("", (None,), (0,))]
+        self.states: list[tuple] = [("", (None,), (0,) if self.counted else ())]
         self.numbers = {self.states[0]: 0}
         #: by state: symbol -> (state, last token, change of the count)
         self.steps: list[dict[str, tuple[int, str, int]]] = [{}]
@@ -102,9 +113,10 @@ class ForwardStates:
         """The window with the symbol, the token that ends with it and the count with it, relative to before."""
         window, lasts, counts = self.states[number]
         read, vocabulary = window + symbol, self.vocabulary
+        good = vocabulary.good
         for i in range(len(window) + 1):
             token = read[i:]
-            if vocabulary.is_token(token):
+            if token in good:
                 left = lasts[i]
                 if left is None or left not in vocabulary.tokens or vocabulary.may_follow(left, token):
                     return read, token, (counts[i] if self.counted else 0) + 1
@@ -115,12 +127,17 @@ class ForwardStates:
         if found is None:
             state = self.states[number]
             read, token, count = self.last(number, symbol)
-            lasts = (*state[1], token)
-            counts = (*(c - count for c in state[2]), 0) if self.counted else ()
-            cut = 0
-            while cut < len(read) and read[cut:] not in self.openings:
-                cut += 1
-            following = (read[cut:], lasts[cut:], counts[cut:])
+            # where no token that begins there can still be open, what stands before doesn't matter
+            lasts, counts, cut = [*state[1], token], [c - count for c in state[2]], -1
+            for i in range(len(read)):
+                if read[i:] in self.openings:
+                    cut = i if cut < 0 else cut
+                else:
+                    lasts[i] = ""
+                    if self.counted:
+                        counts[i] = 0
+            cut = len(read) if cut < 0 else cut
+            following = (read[cut:], tuple(lasts[cut:]), (*counts[cut:], 0) if self.counted else ())
             n = self.numbers.get(following)
             if n is None:
                 n = self.numbers[following] = len(self.states)

@@ -30,7 +30,7 @@ from facetflow.llm.common import id_and_text, text_blocks
 
 MARK = "▁"
 REMEMBERED = 400_000
-MOST_STATES = 200_000
+MOST_STATES = 300_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -47,6 +47,12 @@ class Encoder:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
         self.bytes_ = {int(p[3:-1], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.is_byte = {i: b for b, i in self.bytes_.items()}
+        #: what a piece stands for, where that doesn't depend on others: all but bytes beyond ASCII
+        self.plain = ["" if special[i] else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        for b, i in self.bytes_.items():
+            self.plain[i] = chr(b) if b < 128 else ""
+        self.beyond = np.zeros(n, dtype=bool)
+        self.beyond[[i for b, i in self.bytes_.items() if b >= 128]] = True
         self.hidden = {i for i in range(n) if special[i]} - set(self.is_byte)
         scores = {p: model.get_score(i) for i, p in enumerate(self.pieces) if not special[i]}
 
@@ -112,6 +118,8 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
+        if not self.beyond[ids].any():
+            return "".join(map(self.plain.__getitem__, ids.tolist())).removeprefix(" ")
         out = bytearray()
         for i in ids.tolist():
             if i in self.is_byte:
