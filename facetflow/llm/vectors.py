@@ -10,7 +10,7 @@ vector's links are all found in its own cell.
 - A cell with many vectors is split: a task holds CELL vectors and streams what may be near them.
 - A cell sends links on as a forest (each vector with its component's root), not as pairs.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors of
+Vectors that are null, zero, without vec_id, or hold null or non-finite components link with nothing; so do vectors of
 different lengths.  Rows that repeat a vec_id are vectors of their own with
 one component; if different vectors share it, each shows the larger number of links.
 Where vectors spread evenly over many dimensions, R is wide next to their distances, nearly every
@@ -42,7 +42,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(v.isNotNull() & finite & nonzero)
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & nonzero)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -204,8 +204,10 @@ def range_join(vectors: DataFrame, spark: SparkSession) -> DataFrame:
     settled = settled.select("v", F.coalesce("component", "id").alias("component_id"), (F.col("links") + F.col("n") - 1).alias("n_links"))
     found = usable.join(settled, "v").select("vec_id", "n_links", "component_id")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    unusable = ids.join(usable.select("v").distinct(), "v", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.union(unusable).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    nameless = ids.where("vec_id is null")
+    unusable = ids.where("vec_id is not null").join(usable.select("v").distinct(), "v", "left_anti").select("vec_id").union(nameless.select("vec_id"))
+    unusable = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.union(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 #: The same rows in DuckDB.
