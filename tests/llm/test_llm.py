@@ -89,6 +89,22 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none, spark).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    """They pass through every operator and take no part in what compares documents."""
+    t = TEXTS[6]
+    df = spark.createDataFrame([(None, t), (None, t), (3, t), (4, None)], "doc_id long, text string")
+    n = len(t.split())
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring.digest(df, substring.find(df, spark)).collect())
+    assert found == [(0, n, 0), (0, n, 0), (3, n, 0), (4, 0, 0)]
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df, spark).collect()) == [(0, True), (0, True), (3, True), (4, True)]
+    assert minhash.keep_one(df, spark).count() == 4
+    assert {r["doc_id"] for r in packing.pack_documents(df, spark).collect()} == {None, 3, 4}
+    assert media.read_features(media.store_texts(df)).count() == pieces.round_trip(df).count() == counting.count_tokens(df).count() == secrets.scan(df).count() == 4
+    assert toxicity.score(df, None).count() == langid.predict(df, langid.fit(df.selectExpr("*", "cast(null as string) as lang"))).count() == 4
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["kept"]) for r in vectors.range_join(v, spark).collect()) == [(0, 0, True), (1, 1, True), (2, 1, False)]
+
+
 def test_hilbert_keys_walk_the_grid():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert_keys(grid, 3)
@@ -364,7 +380,7 @@ def test_secrets(docs, none, spark):
     assert found[0]["spans"] == "assign:2:28" and found[0]["base_sha256"] == hashlib.sha256(b"assign:2:28").hexdigest()
     assert [k.split(":")[0] for k in found[4]["spans"].split(",")] == ["link_id", "link_secret", "link_endpoint"]
     assert found[5]["spans"] == found[6]["spans"] == found[7]["spans"] == ""
-    assert secrets.redacted(rows[0]) == "x [secret] y"
+    assert secrets.redacted(rows[0]) == 'x [secret]" y'
     assert by_id(secrets.redact(docs))[0]["text"] is None and secrets.redact(docs).columns == docs.columns
     assert secrets.scan(none).count() == 0 and secrets.scan(docs).count() == docs.count()
 
