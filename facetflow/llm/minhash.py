@@ -11,13 +11,14 @@ the sample.  Documents that agree in all ROWS samples of a band are candidates.
 - Equal texts are collapsed first; only one of them goes on.
 - In each band's bucket, all members are compared with the bucket's first document.  Those that are
   not like it are then compared with every member by their samples, block by block; pairs that agree in
-  half of the samples (a pair with similarity 0.8 fails that about once in a million) are verified too.
-  So links are missing within a bucket only between documents that are linked already.
+  half of the samples (a pair with similarity 0.8 fails that about once in a million) are verified too,
+  likeliest first, unless links found before join them.  So a bucket misses only links between
+  documents of one component, and gives no more links than it has documents.
 - A pair links if the weighted Jaccard similarity of its texts is at least SIMILARITY.
 
 Defined results: null texts and texts without words link with nothing, not even with each other; texts
 of fewer than five words are one shingle; rows that share a doc_id are one document, linked if one of
-them is; columns other than doc_id and text are ignored by near_duplicates(), passed through by keep_one().
+them is; rows without a doc_id link with nothing and are kept; columns other than doc_id and text are ignored by near_duplicates(), passed through by keep_one().
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ CELLS = 1 << 16
 DRAWS = 1 << 15
 BLOCK_BYTES = 3_000_000
 #: Documents of a bucket that wait in a task to be compared with its members.
-BUCKET_BLOCK = 20_000
+BUCKET_BLOCK = 5_000
 
 
 def _normalized(text: bytes) -> bytes:
@@ -210,68 +211,120 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
             keep = np.flatnonzero(np.array(found, dtype=float) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(np.array(found, dtype=float)[keep])], names=["a", "b", "similarity"])
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _compared(rest: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """Pairs between the rest of a bucket and all its members that agree in half of their samples.
+class _Bucket:
+    """Documents of a bucket that wait, and the components that pairs among them have formed so far."""
+
+    def __init__(self, band: int, idf: np.ndarray):
+        self.band, self.idf = band, idf
+        self.ids: list[int] = []
+        self.texts: list[bytes] = []
+        self.rows: list[np.ndarray] = []
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.matrix: np.ndarray | None = None
+
+    def hold(self, doc_id: int, text: bytes, row: np.ndarray) -> None:
+        self.ids.append(doc_id)
+        self.texts.append(text)
+        self.rows.append(row)
+
+    def _set(self, h: int) -> tuple[np.ndarray, np.ndarray]:
+        if h not in self.sets:
+            self.sets[h] = weighted_sets([_normalized(self.texts[h])], self.idf)[:2]
+        return self.sets[h]
+
+    def meet(self, doc_id: int, text: bytes, row: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a member to waiting documents, one for each component that it joins."""
+        if self.matrix is None:
+            self.matrix = np.stack(self.rows)
+            self.place = {d: h for h, d in enumerate(self.ids)}
+            self.label = np.arange(len(self.ids))
+        same = self.matrix == row
+        agree = same.sum(axis=1)
+        near = np.flatnonzero(agree * 2 >= HASHES)
+        # a pair that shares several bands is compared in the first
+        shared = same[near].reshape(len(near), BANDS, ROWS).all(axis=2)
+        near = near[shared.argmax(axis=1) == self.band]
+        near = near[np.argsort(-agree[near], kind="stable")]
+        own = self.place.get(doc_id)
+        label = -1 if own is None else self.label[own]
+        found, mine = [], None
+        while True:
+            near = near[self.label[near] != label]
+            if not len(near):
+                return found
+            h, near = near[0], near[1:]
+            if self.ids[h] == doc_id:
+                continue
+            if mine is None:
+                mine = weighted_sets([_normalized(text)], self.idf)[:2] if own is None else self._set(own)
+            other = self._set(h)
+            sizes = sorted((float(mine[1].sum()), float(other[1].sum())))
+            if sizes[0] < SIMILARITY * sizes[1] * 0.999 or similarity(mine, other) < SIMILARITY:
+                continue
+            found.append((max(doc_id, self.ids[h]), min(doc_id, self.ids[h])))
+            if label < 0:
+                label = self.label[h]
+            else:
+                self.label[self.label == self.label[h]] = label
+
+
+def _compared(rest: DataFrame, members: DataFrame, texts: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
+    """(a, b): links between the rest of a bucket and its members, as far as they join components.
 
     The rest is dealt over as many parts of its bucket as it has blocks; members go to all parts.  A task
-    holds one block of the rest and streams the members.
+    holds one block of the rest and streams the members.  Pairs that agree in half of the samples are
+    verified, the likeliest first, unless links of the same task join them already.
     """
     sizes = rest.groupBy("band").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("parts"))
-    held = rest.join(sizes, "band").select("band", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "doc_id", "samples")
-    streamed = members.join(sizes, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc_id", "samples")
+    held = rest.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
+    streamed = members.join(sizes, "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
+    columns = ["band", "part", "role", "number", "doc_id", "samples", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, drawn, matrix = None, [], [], None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        key, bucket = None, None
         for batch in batches:
-            bands, parts, roles = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "part", "role"))
-            docs_ = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            own = np.frombuffer(b"".join(batch.column("samples").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-            cuts = np.flatnonzero(np.append(True, (bands[1:] != bands[:-1]) | (parts[1:] != parts[:-1]) | (roles[1:] != roles[:-1])))
-            for i, j in zip(cuts, np.append(cuts[1:], len(bands)), strict=True):
-                if (bands[i], parts[i]) != current:
-                    current, ids, drawn, matrix = (bands[i], parts[i]), [], [], None
-                if roles[i] == 0:
-                    ids.append(docs_[i:j])
-                    drawn.append(own[i:j])
-                    continue
-                if matrix is None:
-                    ids_, matrix = np.concatenate(ids), np.concatenate(drawn)
-                for x in range(i, j):
-                    agree = (matrix == own[x]).sum(axis=1) * 2 >= HASHES
-                    other = ids_[agree & (ids_ != docs_[x])]
-                    if len(other):
-                        out.append((other, np.full(len(other), docs_[x])))
-            if out:
-                a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-                out = []
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    together = held.union(streamed).repartition(width, "band", "part").sortWithinPartitions("band", "part", "role")
-    return together.mapInArrow(run, "a long, b long").distinct()
+            found: list[tuple[int, int]] = []
+            texts_ = batch.column("text").cast(pa.binary())
+            rows = zip(*(batch.column(c).to_pylist() for c in ("band", "part", "role", "number", "doc_id", "samples")), strict=True)
+            for i, (band, part, role, number, doc_id, drawn) in enumerate(rows):
+                if (band, part) != key:
+                    key, bucket = (band, part), _Bucket(number, idf)
+                row = np.frombuffer(drawn, dtype=np.uint32)
+                if role == 0:
+                    bucket.hold(doc_id, texts_[i].as_py(), row)
+                else:
+                    found += bucket.meet(doc_id, texts_[i].as_py(), row)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    own = texts.hint("merge")
+    together = held.join(own, "doc_id").select(columns).union(streamed.join(own, "doc_id").select(columns))
+    return together.repartition(width, "band", "part").sortWithinPartitions("band", "part", "role").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(a, b) that link all near duplicates of docs: equal texts with their first, and verified pairs."""
-    docs = id_and_text(docs)
+    docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
     idf = inverse_frequencies(docs)
     sketches = stored(sketch(docs, idf), spark, "sketches")
     firsts = stored(sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("f")).select("digest", "f.*"), spark, "firsts")
     copies = sketches.select("digest", F.col("doc_id").alias("a")).join(firsts.select("digest", F.col("doc_id").alias("b")), "digest").where("a <> b").select("a", "b")
-    members = firsts.select("doc_id", F.explode("bands").alias("band"))
+    members = firsts.select("doc_id", F.posexplode("bands").alias("number", "band"))
     heads = members.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
     starred = stored(members.join(heads, "band").where("doc_id <> head"), spark, "starred")
-    alike = stored(verified(starred.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), docs, idf), spark, "alike")
-    rest = starred.join(alike.select(F.col("a").alias("doc_id"), F.col("b").alias("head")), ["doc_id", "head"], "left_anti").select("band", "doc_id")
+    # the texts in question are shuffled once; they and their ids grow with the corpus, so they are merged
+    candidates = starred.select("doc_id").union(starred.select(F.col("head"))).distinct()
+    texts = stored(docs.join(candidates.hint("merge"), "doc_id", "left_semi"), spark, "texts")
+    alike = stored(verified(starred.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), texts, idf), spark, "alike")
+    rest = starred.join(alike.select(F.col("a").alias("doc_id"), F.col("b").alias("head")), ["doc_id", "head"], "left_anti").select("band", "number", "doc_id")
     drawn = firsts.select("doc_id", "samples")
-    rest = stored(rest.distinct().join(drawn, "doc_id"), spark, "rest")
-    in_question = members.join(rest.select("band").distinct(), "band", "left_semi").distinct().join(drawn, "doc_id")
-    more = verified(_compared(rest, in_question, shuffle_width(spark)).join(alike.select("a", "b"), ["a", "b"], "left_anti"), docs, idf)
-    return copies.union(alike.select("a", "b")).union(more.select("a", "b"))
+    rest = stored(rest.join(drawn, "doc_id"), spark, "rest")
+    in_question = stored(members.join(rest.select("band").distinct(), "band", "left_semi").join(drawn, "doc_id"), spark, "question")
+    more = _compared(rest, in_question, texts, idf, shuffle_width(spark))
+    return copies.union(alike.select("a", "b")).union(more)
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -279,7 +332,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     found = connected_components(links(docs, spark), lambda df, label: stored(df, spark, label))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("node"), "left")
     joined = joined.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    return joined.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, spark: SparkSession) -> DataFrame:
