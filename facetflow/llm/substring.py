@@ -34,9 +34,9 @@ from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes,
 
 WINDOW = 20
 SEED = 4
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 #: Buckets for each shuffle partition, and the largest number of minimisers that count as hot.
-BUCKETS_EACH = 8
+BUCKETS_EACH = 12
 MOST_HOT = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
