@@ -40,7 +40,7 @@ BANDS, ROWS = 10, 4
 HASHES = BANDS * ROWS
 CELLS = 1 << 16
 DRAWS = 1 << 15
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 #: Documents of a bucket that wait in a task to be compared with its members.
 BUCKET_BLOCK = 5_000
 

@@ -15,6 +15,7 @@ import base64
 import itertools
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ END = 0
 DIMS, BITS = 4, 8
 FEATURES = 512
 #: Words whose ids a Python worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SPECIAL = "<|endoftext|>"
 #: White space that the fast way of encoding does not cut at: runs of blanks and feeds, and every other kind.
 UNEVEN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -44,15 +45,21 @@ class Encoder:
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.path = public_tokenizers.path(f"{name}.json")
         self.feed = ranks[b"\n"]
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def full(self):
+        """The library itself; only texts that hold the special string need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, words: set[str]) -> None:
         ids = np.array(self.fast.encode_ordinary("\n".join(w[1:] if w[0] == "\n" else " " + w for w in words)), dtype="<u2")
         feed = np.array([self.feed], dtype="<u2").tobytes()

@@ -34,7 +34,7 @@ from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes,
 
 WINDOW = 20
 SEED = 4
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 2_000_000
 #: Buckets for each shuffle partition, and the largest number of minimisers that count as hot.
 BUCKETS_EACH = 12
 MOST_HOT = 100_000
