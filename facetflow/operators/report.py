@@ -21,35 +21,36 @@ def sweep_matrix(spark: SparkSession, modes: list[str], meshes: list[str], targe
     return out
 
 
-def speedups(runs: DataFrame) -> DataFrame:
-    """runs with speedup: the time with one thread over the time; runs without that baseline are dropped."""
-    base = runs.where("threads = 1").select(*KEYS, F.col("seconds").alias("base"))
-    return runs.join(base, KEYS).select(*KEYS, "threads", "seconds", F.try_divide("base", "seconds").alias("speedup"))
+def speedups(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """runs with speedup: the time with one thread over the time; runs without that baseline are dropped.
+    Here and below, columns named in by (such as log_id) keep the runs of different logs apart."""
+    base = runs.where("threads = 1").select(*by, *KEYS, F.col("seconds").alias("base"))
+    return runs.join(base, [*by, *KEYS]).select(*by, *KEYS, "threads", "seconds", F.try_divide("base", "seconds").alias("speedup"))
 
 
-def time_pivot(runs: DataFrame, targets: list[str]) -> DataFrame:
+def time_pivot(runs: DataFrame, targets: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Times with one thread: a row for each mode and mesh, a column for each target, null where missing."""
     names = {t: "t_" + t.rstrip("%").replace(".", "p") for t in targets}
-    wide = runs.where("threads = 1").groupBy("mode", "mesh").pivot("target", targets).agg(F.first("seconds"))
-    return wide.select("mode", "mesh", *(F.col(f"`{t}`").alias(n) for t, n in names.items()))
+    wide = runs.where("threads = 1").groupBy(*by, "mode", "mesh").pivot("target", targets).agg(F.first("seconds"))
+    return wide.select(*by, "mode", "mesh", *(F.col(f"`{t}`").alias(n) for t, n in names.items()))
 
 
-def missing_runs(runs: DataFrame, expected: DataFrame) -> DataFrame:
-    """Runs of expected(mode, mesh, target, threads) that runs lacks."""
-    return expected.join(runs, [*KEYS, "threads"], "left_anti")
+def missing_runs(runs: DataFrame, expected: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of expected(*by, mode, mesh, target, threads) that runs lacks."""
+    return expected.join(runs, [*by, *KEYS, "threads"], "left_anti")
 
 
-def missing_baselines(runs: DataFrame) -> DataFrame:
+def missing_baselines(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(mode, mesh, target) combinations of what runs holds without a run with one thread."""
-    lists = runs.agg(*(F.collect_set(c).alias(c) for c in KEYS))  # the different names of a sweep are few
-    every = lists.select(F.explode("mode").alias("mode"), "mesh", "target").select("mode", F.explode("mesh").alias("mesh"), "target").select("mode", "mesh", F.explode("target").alias("target"))
-    return every.join(runs.where("threads = 1"), KEYS, "left_anti")
+    lists = runs.groupBy(*by).agg(*(F.collect_set(c).alias(c) for c in KEYS))  # the different names of a sweep are few
+    every = lists.select(*by, F.explode("mode").alias("mode"), "mesh", "target").select(*by, "mode", F.explode("mesh").alias("mesh"), "target").select(*by, "mode", "mesh", F.explode("target").alias("target"))
+    return every.join(runs.where("threads = 1"), [*by, *KEYS], "left_anti")
 
 
-def ranked(values: DataFrame, column: str, expected: list[str]) -> DataFrame:
+def ranked(values: DataFrame, column: str, expected: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """The different values in report order: expected ones as listed, then the rest by name (column rank)."""
     place = F.array_position(F.array(*map(F.lit, expected)), F.col(column))
-    return values.select(column).distinct().withColumn("rank", F.when(place > 0, place).otherwise(len(expected) + 1)).orderBy("rank", column)
+    return values.select(*by, column).distinct().withColumn("rank", F.when(place > 0, place).otherwise(len(expected) + 1)).orderBy(*by, "rank", column)
 
 
 def first_seen(rows: DataFrame, column: str, position: str) -> DataFrame:

@@ -354,6 +354,33 @@ def first_seen_targets(s, d):
     return report.first_seen(sweep_log.events(log_lines(s, d)), "target", "line_no")
 
 
+# The five reports above are held by their SQL to the log 'O'; these give them for every log.
+BY_LOG = ("log_id",)
+
+
+def log_speedups(s, d):
+    return _rounded(report.speedups(log_sessions(s, d), BY_LOG), "speedup")
+
+
+def log_time_pivot(s, d):
+    return report.time_pivot(log_sessions(s, d), report.TARGETS, BY_LOG)
+
+
+def log_missing_runs(s, d):
+    """Of every log that has lines, even if no run of it was timed."""
+    m = report.sweep_matrix(s, report.MODES, report.MESHES, report.TARGETS, report.THREADS)
+    lines = log_lines(s, d)
+    return report.missing_runs(sweep_log.sessions(lines), lines.select(*BY_LOG).distinct().crossJoin(m), BY_LOG)
+
+
+def log_missing_baselines(s, d):
+    return report.missing_baselines(log_sessions(s, d), BY_LOG)
+
+
+def log_target_order(s, d):
+    return report.ranked(log_sessions(s, d), "target", report.TARGETS[::-1], BY_LOG).select(*BY_LOG, "target", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     terrain_vertices, terrain_faces, shell_vertices, shell_faces, face_planes, total_area, face_min_rotation, half_edges, two_sided_edges, boundary_edges,
     closed_vertices, vertex_degrees, link_violations, collapsible_edges, conflict_sets, euler_characteristic, vertex_quadrics, edge_candidates,
@@ -361,7 +388,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     obj_faces, obj_permissive_faces, obj_export, independent_batch, contract_once, contract_vertices, greedy_batch, simplify_batch, simplify_sequential,
     simplify_stats, connected_components, structural_stats, raster_points, face_shades, raster_zbuffer, render_disagreement, quality_verdict,
     raster_turned, centred_vertices, stride_sample, log_sessions, log_warnings, speedups, time_pivot, missing_runs, missing_baselines, sweep_progress, target_order,
-    first_seen_targets,
+    first_seen_targets, log_speedups, log_time_pivot, log_missing_runs, log_missing_baselines, log_target_order,
 ]
 
 
