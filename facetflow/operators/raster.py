@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from facetflow.functions import vecmath as M
 
 BLANK = 255
+#: Width and height of a picture, and its margin, where none are given.
+SIDE, PADDING = 512, 24
 SPLAT = 45
 LEAST_SPAN = 1e-12
 #: Depth is compared after rounding, so that results don't depend on the order of operations.
@@ -45,7 +47,7 @@ def face_shades(faces: DataFrame, vertices: DataFrame, projection: str) -> DataF
     return corners(faces, vertices).select("mesh_id", "fid", F.bround(215 - 85 * F.abs(toward / size), 0).cast("int").alias("color"))
 
 
-def rasterize(vertices: DataFrame, faces: DataFrame, projection: str, width: int = 512, height: int = 512, padding: int = 24) -> DataFrame:
+def rasterize(vertices: DataFrame, faces: DataFrame, projection: str, width: int = SIDE, height: int = SIDE, padding: int = PADDING) -> DataFrame:
     """(mesh_id, px, py, depth, color) of the pixels that a face covers; all others are blank.
 
     A face is spread over the pixels of its box, at most width x height rows; the greatest depth wins, the
