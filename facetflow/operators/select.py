@@ -8,6 +8,8 @@ of ranks would keep.  A vertex only has to know the least rank that writes it, s
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from facetflow.operators.quadrics import rank_of
 from facetflow.operators.tables import stored
 from facetflow.operators.topology import neighbours
 
+#: No table that can be held needs as many rounds.
+MOST_ROUNDS = 100_000
+#: After so many rounds their results are stored as one table, so that plans stay short.
+MERGE_EVERY = 20
+
 
 def _reads(candidates: DataFrame, near: DataFrame) -> DataFrame:
     """(mesh_id, rank, v): all vertices that a collapse reads, its own ends among them."""
@@ -35,19 +42,22 @@ def _winners(ranked: DataFrame, near: DataFrame) -> DataFrame:
     return ranked.join(late, ["mesh_id", "rank"], "left_anti")
 
 
-def greedy_batch(candidates: DataFrame, edges: DataFrame, most_rounds: int = 20) -> DataFrame:
+def greedy_batch(candidates: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Rounds until every candidate is kept or conflicts with a kept one.
 
-    After most_rounds the rest waits for the next batch; what is kept is free of conflicts either way.
+    Where costs tie over a wide area, choices follow one another in a chain, and rounds grow with its length.
+    Each round keeps at least the first of the rest; most_rounds only guards against running on for ever.
     """
     near = stored(neighbours(edges), "near")
     left = stored(candidates.withColumn("rank", rank_of()), "left")
     kept = None
-    for _ in range(most_rounds):
+    for done in itertools.count():
         won = stored(_winners(left, near), "won")
         if won.isEmpty():
             break
-        kept = won if kept is None else kept.union(won)
+        if done >= most_rounds:
+            raise RuntimeError(f"candidates are left after {most_rounds} rounds")
+        kept = won if kept is None else stored(kept.union(won), "kept") if done % MERGE_EVERY == 0 else kept.union(won)
         touched = won.select("mesh_id", F.explode(F.array("hi", "lo")).alias("v")).distinct()
         gone = _reads(left, near).join(touched, ["mesh_id", "v"], "left_semi").select("mesh_id", "rank").distinct()
         left = stored(left.join(gone, ["mesh_id", "rank"], "left_anti"), "left")

@@ -27,7 +27,8 @@ from facetflow.sources.surfaces import FACE_SCHEMA, VERTEX_SCHEMA, Surface
 
 #: The share of the candidates, cheapest first, that a round chooses from where no batch size is given.
 SHARE = 0.25
-MOST_ROUNDS = 500
+#: A guard only: rounds end at the goal, or when no edge may collapse.
+MOST_ROUNDS = 100_000
 # When slabs are made anew: this share of vertices collapsed, uneven load, many boundary edges.
 AGED, UNEVEN, MIXED = 0.005, 1.5, 0.35
 
@@ -76,10 +77,9 @@ def _batch(surface: Surface, options: SimplifyOptions) -> Simplified:
     slabs, rounds, age = None, [], 0
     accepted_local = accepted_boundary = repartitions = 0
     last: dict | None = None
-    for number in range(1, MOST_ROUNDS + 1):
-        open_ = [m for m in now if now[m] > goal[m]]
-        if not open_:
-            break
+    while open_ := [m for m in now if now[m] > goal[m]]:
+        if len(rounds) >= MOST_ROUNDS:
+            raise RuntimeError(f"above the goal after {MOST_ROUNDS} rounds: {', '.join(open_)}")
         mark = time.time()
         total = sum(now.values())
         anew = slabs is None or age >= (options.repartition_every or max(256, round(AGED * total))) or (last is not None and (last["partition_load_imbalance"] > UNEVEN or last["boundary_edge_fraction"] > MIXED))
