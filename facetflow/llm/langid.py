@@ -1,12 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A model per language holds, for every order, the discounted n-gram shares and the back-off weights
-under sorted 32-bit keys.  A text goes to the language with the lowest cross-entropy a character;
-a text whose best cross-entropy is above what the training texts of that language show is rejected.
-
-Defined results: null text or a text without letters -> ``und``, score 0, rejected; equal texts get
-equal rows; an empty table gives an empty result; with nothing to learn from every text is ``und``;
-ties go to the first language by name; columns other than doc_id, text and lang are not read.
+A model per language holds, for every order, the discounted n-gram shares and the back-off weights under
+sorted 64-bit hashes of the n-grams.  Letters are lower-cased code points of any script, each of its own;
+runs of everything else are one blank.  A text goes to the language with the lowest cross-entropy a
+character; one whose best cross-entropy is above what that language's training texts show is rejected.
+
+Defined results: null text or a text without letters -> ``und``, score 0, rejected; equal texts, repeated
+rows too, get equal rows; an empty table gives an empty result; with nothing to learn from every text is
+``und``; ties go to the first language by name; texts of any length are scored whole, very long ones in
+pieces that overlap, which gives the same sums; columns other than doc_id, text and lang are not read, and
+keep_known() passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -19,26 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import BLOCK_CHARS, code_points, id_hash_mod, text_blocks
+from facetflow.llm.common import BLOCK_CHARS, code_points, id_hash_mod, mix64, text_blocks
 
 ORDER = 4
 #: Labelled texts for each language that a model is fitted on, in expectation (chosen by a hash of the id).
 TEXTS_PER_LANGUAGE = 1500
-LETTERS = 62  # classes 1..62 are the commonest letters of the sample, 63 any other letter, 0 no letter
 DISCOUNT = 0.75
 #: A text is rejected beyond the mean cross-entropy by so many standard errors plus the calibrated slack.
 STANDARD_ERRORS = 6.0
 LEAST_SLACK = 0.35
 UNDETERMINED = "und"
+#: N-grams that a task remembers before it starts anew; slots of its direct index.
+REMEMBERED = 1 << 20
+SLOT_BITS = 20
 
 
 @dataclass
 class Model:
-    letters: np.ndarray  # code points of classes 1..LETTERS, sorted
-    classes: np.ndarray  # their classes
     languages: list[str]
     #: by language and order (0-based): sorted keys, shares; sorted context keys, back-off weights
     tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    #: different letters of the sample in all languages: a letter that a language never showed gets one of so many shares
+    letters: int
     mean: np.ndarray
     spread: np.ndarray
     slack: np.ndarray
@@ -47,40 +52,75 @@ class Model:
 _LETTER: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    """For every code point, whether str.isalpha() holds."""
+def _letters() -> np.ndarray:
+    """Every code point to itself where str.isalpha() holds, to 0 (blank) elsewhere."""
     if not _LETTER:
-        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
+        _LETTER.append(np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), dtype=np.uint32, count=0x110000))
     return _LETTER[0]
 
 
-def _codes(texts: list[str], letters: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all texts, each led by blanks, runs of blanks as one; and where each text starts."""
-    lead = " " * (ORDER - 1)
-    points = code_points(lead + ("\n" + lead).join(t.lower().replace("\n", " ") for t in texts))
-    table = np.zeros(0x110000, dtype=np.uint8)
-    table[_is_letter()] = LETTERS + 1
-    table[letters] = classes
-    code = table[points]
-    breaks = points == 10
+def _squeezed(code: np.ndarray, starts: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of blanks as one, and where each stretch then starts; the ORDER - 1 codes that lead a stretch stay."""
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
-    # the blanks that lead a text stay
-    starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])
     for k in range(ORDER - 1):
         keep[starts + k] = True
-    keep &= ~breaks
+    if breaks is not None:
+        keep &= ~breaks
     at = np.cumsum(keep) - keep
     return code[keep], at[starts]
 
 
-def _keys(code: np.ndarray) -> np.ndarray:
-    """For each position from ORDER - 1 on, the last ORDER classes in six bits each."""
-    n = len(code) - ORDER + 1
-    key = np.zeros(max(n, 0), dtype=np.uint32)
-    for k in range(ORDER):
-        key = (key << np.uint32(6)) | code[k : k + n]
-    return key
+def stretches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes of all texts in blocks: (codes, where each stretch starts, its text's number).
+
+    A stretch is a text led by ORDER - 1 blanks.  A text beyond BLOCK_CHARS makes several, each led by the
+    codes that end the one before, so that every n-gram occurs once.
+    """
+    lead = " " * (ORDER - 1)
+    low = [t.lower() for t in texts]
+    long_ = [i for i, t in enumerate(low) if len(t) > BLOCK_CHARS]
+    short = [i for i, t in enumerate(low) if len(t) <= BLOCK_CHARS]
+    k = 0
+    while k < len(short):
+        end, size = k, 0
+        while end < len(short) and (end == k or size + len(low[short[end]]) <= BLOCK_CHARS):
+            size += len(low[short[end]])
+            end += 1
+        points = code_points(lead + ("\n" + lead).join(low[i].replace("\n", " ") for i in short[k:end]))
+        breaks = points == 10
+        starts = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+        yield *_squeezed(_letters()[points], starts, breaks), np.array(short[k:end])
+        k = end
+    for i in long_:
+        tail = np.zeros(ORDER - 1, dtype=np.uint32)
+        for k in range(0, len(low[i]), BLOCK_CHARS):
+            own = np.concatenate([tail, _letters()[code_points(low[i][k : k + BLOCK_CHARS])]])
+            code, starts = _squeezed(own, np.zeros(1, dtype=np.int64))
+            yield code, starts, np.array([i])
+            tail = code[-(ORDER - 1) :]
+
+
+#: Odd multipliers, one for each place counted from the last letter, and a mark for each length.
+_PLACES = mix64(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
+_MARKS = mix64(np.arange(101, 102 + ORDER, dtype=np.uint64))
+
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams given by columns of codes, first letter first."""
+    n = len(columns)
+    total = np.full(len(columns[0]) if columns else 1, _MARKS[n])
+    for place, column in enumerate(reversed(columns)):
+        total = total + column.astype(np.uint64) * _PLACES[place]
+    return mix64(total)
+
+
+def _whole(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions whose next ORDER codes lie in one stretch."""
+    ok = np.ones(max(len(code) - ORDER + 1, 0), dtype=bool)
+    for d in range(1, ORDER):
+        ok[starts[1:] - d] = False
+    return np.flatnonzero(ok)
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
@@ -90,95 +130,102 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing:
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-def log_shares(model: Model, keys: np.ndarray) -> np.ndarray:
-    """ln p of each key's last class after the others; a column for each language."""
-    out = np.empty((len(keys), len(model.languages)), dtype=np.float32)
+def _context(columns: list[np.ndarray], rows: int) -> np.ndarray:
+    return _hashed(columns) if columns else np.broadcast_to(_hashed([]), rows)
+
+
+def log_shares(model: Model, grams: np.ndarray) -> np.ndarray:
+    """ln p of each row's last code after the others (rows of ORDER codes); a column for each language."""
+    columns = [grams[:, k] for k in range(ORDER)]
+    keys = [(_hashed(columns[ORDER - n :]), _context(columns[ORDER - n : -1], len(grams))) for n in range(1, ORDER + 1)]
+    out = np.empty((len(grams), len(model.languages)), dtype=np.float32)
     for j, orders in enumerate(model.tables):
-        p = np.full(len(keys), 1.0 / (LETTERS + 2))
-        for n, (grams, share, contexts, weight) in enumerate(orders):
-            mine = keys & np.uint32((1 << (6 * (n + 1))) - 1)
-            p = _look_up(grams, share, mine, 0.0) + _look_up(contexts, weight, mine >> np.uint32(6), 1.0) * p
+        p = np.full(len(grams), 1.0 / (model.letters + 2))
+        for (own, before), (known, share, contexts, weight) in zip(keys, orders, strict=True):
+            p = _look_up(known, share, own, 0.0) + _look_up(contexts, weight, before, 1.0) * p
         out[:, j] = np.log(np.maximum(p, 1e-12))
     return out
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The tables of one language from its n-grams of the full order and their counts."""
+def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The tables of one language from its different n-grams of the full order (rows of codes) and their counts."""
     tables = []
-    order = np.argsort(keys)
-    keys, counts = keys[order].astype(np.uint32), counts[order].astype(float)
+    counts = counts.astype(float)
     for n in range(ORDER, 0, -1):
-        contexts, inverse = np.unique(keys >> np.uint32(6), return_inverse=True)
+        columns = [grams[:, k] for k in range(n)]
+        keys = _hashed(columns)
+        contexts, inverse = np.unique(_context(columns[:-1], len(grams)), return_inverse=True)
         total = np.bincount(inverse, weights=counts)
-        kinds = np.bincount(inverse)
         share = np.maximum(counts - DISCOUNT, 0) / total[inverse]
-        tables.append((keys, share, contexts.astype(np.uint32), 1 - np.bincount(inverse, weights=share)))
-        assert kinds.all()
-        # lower orders count the different classes before
-        keys, counts = np.unique(keys & np.uint32((1 << (6 * (n - 1))) - 1), return_counts=True)
-        counts = counts.astype(float)
+        order = np.argsort(keys)
+        tables.append((keys[order], share[order], contexts, 1 - np.bincount(inverse, weights=share)))
+        if n > 1:  # lower orders count the different letters before
+            _, first, counts = np.unique(_hashed(columns[1:]), return_index=True, return_counts=True)
+            grams, counts = grams[first, 1:], counts.astype(float)
     return tables[::-1]
 
 
-def _segments(texts: list[str]) -> tuple[list[str], list[int]]:
-    """Very long texts in pieces of BLOCK_CHARS, each with its text's number."""
-    parts, owner = [], []
-    for i, t in enumerate(texts):
-        for k in range(0, max(len(t), 1), BLOCK_CHARS):
-            parts.append(t[k : k + BLOCK_CHARS])
-            owner.append(i)
-    return parts, owner
-
-
 class Scorer:
-    """Sums of ln p for each text and language.  Found keys are remembered in a dense array of their numbers."""
+    """Sums of ln p for each text and language.  Shares of n-grams seen before are remembered."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.number = np.full(1 << (6 * ORDER), -1, dtype=np.int32)
-        self.rows = np.zeros((0, len(model.languages)), dtype=np.float32)
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sums by language, sums of squares by language, scored characters and letters of each text."""
-        parts, owner = _segments(texts)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.places = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.rows = np.zeros((0, len(self.model.languages)), dtype=np.float32)
+        #: the last n-gram looked up in each slot and its row
+        self.slot_key, self.slot_row = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+
+    def _numbers(self, key: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """Rows of self.rows for the n-grams, new ones added."""
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        found = np.where(self.slot_key[slot] == key, self.slot_row[slot], -1)
+        rest = np.flatnonzero(found < 0)
+        if not len(rest):
+            return found
+        wanted, first, inverse = np.unique(key[rest], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, wanted)
+        known = np.zeros(len(wanted), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == wanted
+        place = np.where(known, self.places[np.minimum(at, max(len(self.keys) - 1, 0))] if len(self.keys) else 0, 0)
+        new = np.flatnonzero(~known)
+        if len(new):
+            place[new] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows = np.concatenate([self.rows, log_shares(self.model, np.column_stack([c[rest[first[new]]] for c in columns]))])
+            self.keys, self.places = np.insert(self.keys, at[new], wanted[new]), np.insert(self.places, at[new], place[new])
+        slots = (wanted >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot_key[slots], self.slot_row[slots] = wanted, place
+        found[rest] = place[inverse]
+        return found
+
+    def __call__(self, texts: list[str], spread: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums by language, sums of squares by language (zeros unless spread), scored characters and letters of each text."""
         n_lang = len(self.model.languages)
         sums, squares = np.zeros((len(texts), n_lang)), np.zeros((len(texts), n_lang))
         chars, letters = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        k = 0
-        while k < len(parts):
-            end, size = k, 0
-            while end < len(parts) and (end == k or size + len(parts[end]) <= BLOCK_CHARS):
-                size += len(parts[end])
-                end += 1
-            code, starts = _codes(parts[k:end], self.model.letters, self.model.classes)
-            key = _keys(code)
-            stops = np.concatenate([starts[1:], [len(code)]])
-            valid = np.zeros(len(key) + 1, dtype=np.int64)
-            ok = np.ones(len(key), dtype=bool)
-            for d in range(1, ORDER):  # keys that reach into the next text
-                ok[starts[1:] - d] = False
-            numbers = self.number[key]
-            if (missing := numbers < 0).any():
-                new = np.unique(key[missing])
-                self.number[new] = np.arange(len(self.rows), len(self.rows) + len(new))
-                self.rows = np.concatenate([self.rows, log_shares(self.model, new)])
-                numbers = self.number[key]
-            np.cumsum(ok, out=valid[1:])
-            lengths = stops - starts - (ORDER - 1)
-            numbers = numbers[ok]
-            at = valid[starts]
+        for code, starts, who in stretches(texts):
+            lengths = np.append(starts[1:], len(code)) - starts - (ORDER - 1)
             some = np.flatnonzero(lengths > 0)
-            who = np.asarray(owner[k:end])
-            is_letter = np.zeros(len(code) + 1, dtype=np.int64)
-            np.cumsum(code > 0, out=is_letter[1:])
-            np.add.at(letters, who, is_letter[stops] - is_letter[starts])
-            np.add.at(chars, who, lengths)
-            if len(some) and n_lang:
-                for j in range(n_lang):
-                    column = self.rows[:, j][numbers].astype(float)
-                    np.add.at(sums[:, j], who[some], np.add.reduceat(column, at[some]))
-                    np.add.at(squares[:, j], who[some], np.add.reduceat(column * column, at[some]))
-            k = end
+            is_letter = np.append(0, np.cumsum(code > 0))
+            # a stretch's lead belongs to the one before
+            letters[who] += is_letter[np.append(starts[1:], len(code))] - is_letter[starts + ORDER - 1]
+            chars[who] += lengths
+            if not len(some) or not n_lang:
+                continue
+            if len(self.keys) > REMEMBERED:
+                self._forget()
+            at = _whole(code, starts)
+            columns = [code[at + k] for k in range(ORDER)]
+            numbers = self._numbers(_hashed(columns), columns)
+            first = np.append(0, np.cumsum(lengths))[:-1]
+            for j in range(n_lang):
+                column = self.rows[:, j][numbers]
+                sums[who[some], j] += np.add.reduceat(column, first[some], dtype=float)  # a text is once in a block
+                if spread:
+                    squares[who[some], j] += np.add.reduceat(column * column, first[some], dtype=float)
         return sums, squares, chars, letters
 
 
@@ -188,9 +235,8 @@ def _training(docs: DataFrame, per_language: int) -> DataFrame:
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return learn.select("lang", "text")
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1 << 20, -(-(per_language << 20) // n))).otherwise(share)
+    shares = [F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 20, -(-(per_language << 20) // n)))]
+    share = F.element_at(F.create_map(*shares), F.col("lang"))
     rank = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 20))
     return learn.where(rank < share).select("lang", "text")
 
@@ -202,39 +248,25 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """
     sample = _training(docs, per_language)
 
-    def count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, dtype=np.int64)
-        for batch in batches:
-            for _, texts in text_blocks(batch):
-                points, n = np.unique(code_points("".join(texts).lower()), return_counts=True)
-                total[points] += n
-        found = np.flatnonzero(total * _is_letter())
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["point", "n"])
-
-    common = sample.mapInArrow(count_letters, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(LETTERS).collect()
-    letters = np.array([r["point"] for r in common], dtype=np.int64)
-    rank = np.argsort(letters)
-    letters, classes = letters[rank], (rank + 1).astype(np.uint8)
-
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for rows, texts in text_blocks(batch):
                 for lang in sorted({langs[i] for i in rows}):
-                    parts, _ = _segments([t for i, t in zip(rows, texts, strict=True) if langs[i] == lang])
-                    code, starts = _codes(parts, letters, classes)
-                    key = _keys(code)
-                    ok = np.ones(len(key), dtype=bool)
-                    for d in range(1, ORDER):
-                        ok[starts[1:] - d] = False
-                    grams, n = np.unique(key[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    grams = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+                    for code, starts, _ in stretches([t for i, t in zip(rows, texts, strict=True) if langs[i] == lang]):
+                        at = _whole(code, starts)
+                        _, first, n = np.unique(_hashed([code[at + k] for k in range(ORDER)]), return_index=True, return_counts=True)
+                        grams = np.column_stack([code[at[first] + k] for k in range(ORDER)]).astype("<u4")
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    grams = sample.mapInArrow(count_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    codes = np.frombuffer(b"".join(map(bytes, grams["gram"])), dtype="<u4").reshape(-1, ORDER)
     languages = sorted(grams["lang"].unique())
-    tables = [kneser_ney(own["gram"].to_numpy(), own["n"].to_numpy()) for own in (grams[grams["lang"] == lang] for lang in languages)]
+    owners, n = grams["lang"].to_numpy(), grams["n"].to_numpy()
+    tables = [kneser_ney(codes[owners == lang], n[owners == lang]) for lang in languages]
+    letters = len(np.setdiff1d(codes, [0]))
     none = np.zeros(len(languages))
-    model = Model(letters, classes, languages, tables, none, none, none)
+    model = Model(languages, tables, letters, none, none, none)
     if not languages:
         return model
 
@@ -260,7 +292,7 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
             spread[j] = np.sqrt(max(own["q"].sum() / n.sum() - mean[j] ** 2, 1e-6))
             excess = -own["s"].to_numpy() / n - mean[j] - STANDARD_ERRORS * spread[j] / np.sqrt(n)
             slack[j] = max(LEAST_SLACK, 1.25 * float(np.quantile(excess, 0.999)))
-    return Model(letters, classes, languages, tables, mean, spread, slack)
+    return Model(languages, tables, letters, mean, spread, slack)
 
 
 def decide(model: Model, sums: np.ndarray, chars: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +319,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             for rows, texts in text_blocks(batch):
-                sums, _, chars, letters = scorer(texts)
+                sums, _, chars, letters = scorer(texts, spread=False)
                 names, score, entropy, rejected = decide(model, sums, chars, letters)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
@@ -301,7 +333,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             for rows, texts in text_blocks(batch):
-                sums, _, chars, letters = scorer(texts)
+                sums, _, chars, letters = scorer(texts, spread=False)
                 rejected = decide(model, sums, chars, letters)[3]
                 yield batch.take(pa.array(np.asarray(rows)[~rejected]))
 

@@ -4,8 +4,13 @@ Single secrets are found by pattern.  Weak parts (an identifier, a secret-like v
 little alone: they are reported only where an interval join finds complementary parts within one scope.
 A scope is a paragraph (text between blank lines); an interval reaches REACH code points around a part.
 
-Defined results: null and empty texts have no spans; equal rows get equal results; spans of one kind
-never overlap; columns other than doc_id and text are passed through by redact() and ignored by scan().
+- A part never completes itself: a value inside an identifier or an endpoint is no secret of its own, nor
+  is a bare hexadecimal run there, and a weak part that a single secret overlaps is not reported again.
+- Identifiers and access keys want a secret nearby, endpoints too; a weak secret wants one of those.
+
+Defined results: null and empty texts have no spans; equal rows get equal results, ties don't arise; spans
+of one kind never overlap; an empty table gives an empty result; texts of any length are scanned whole;
+columns other than doc_id and text, whatever their names, are passed through by redact() and ignored by scan().
 """
 
 from __future__ import annotations
@@ -48,9 +53,12 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def _within(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Interval join of sorted, disjoint (scope, start, end) rows: for each row of left, whether a row of
-    right in its scope comes within REACH of it.  Two binary searches a row, so linear in the spans."""
+Rows = np.ndarray  # (scope, start, end), sorted and disjoint
+
+
+def _within(left: Rows, right: Rows) -> np.ndarray:
+    """Interval join: for each row of left, whether a row of right in its scope comes within REACH of it.
+    Two binary searches a row, so linear in the spans."""
     if not len(left) or not len(right):
         return np.zeros(len(left), dtype=bool)
     # ends and starts of right rise; those that may meet an interval form one run
@@ -62,9 +70,17 @@ def _within(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.minimum(last, high) > np.maximum(first, low)
 
 
+def _overlaps(left: Rows, right: Rows) -> np.ndarray:
+    """For each row of left, whether it shares a code point with a row of right."""
+    if not len(left) or not len(right):
+        return np.zeros(len(left), dtype=bool)
+    k = np.searchsorted(right[:, 2], left[:, 1], side="right")
+    return (k < len(right)) & (right[np.minimum(k, len(right) - 1), 1] < left[:, 2])
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts that have a complementary part nearby: identifiers with secrets (base ones too),
-    secrets with identifiers or endpoints, endpoints with secrets."""
+    """Weak parts that have a complementary part nearby: identifiers with secrets (single ones too),
+    secrets with identifiers, access keys or endpoints, endpoints with secrets."""
     has_sign = ":" in text or "=" in text
     if not has_sign and not base:
         return []
@@ -73,12 +89,9 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     access = [(a, b) for kind, a, b in base if kind == "access"]
     if not ids and not points and not access:
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    values = [m.span() for m in WEAK_SECRET.finditer(text)]
-    strong = [(a, b) for kind, a, b in base if kind != "access"]
     cuts = np.array([m.start() for m in PARAGRAPH.finditer(text)], dtype=np.int64)
 
-    def rows(spans: list[tuple[int, int]]) -> np.ndarray:
+    def rows(spans: list[tuple[int, int]]) -> Rows:
         merged: list[list[int]] = []
         for a, b in sorted(spans):
             if merged and a < merged[-1][1]:
@@ -88,19 +101,16 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
         out = np.array(merged, dtype=np.int64).reshape(-1, 2)
         return np.column_stack([np.searchsorted(cuts, out[:, 0], side="right"), out])
 
-    def free(spans: list[tuple[int, int]]) -> np.ndarray:
-        """Those that no base span overlaps, so that base ones stay as they are."""
-        out, covered = rows(spans), rows(taken)
-        if not len(out) or not len(covered):
-            return out
-        k = np.searchsorted(covered[:, 2], out[:, 1], side="right")
-        hit = (k < len(covered)) & (covered[np.minimum(k, len(covered) - 1), 1] < out[:, 2])
-        return out[~hit]
-
-    id_rows, value_rows, point_rows = free(ids), free(values), free(points)
-    names, secrets, places = rows(ids + access), rows(values + strong), rows(points)
+    names, places, single = rows(ids), rows(points), rows([(a, b) for _, a, b in base])
+    carriers = rows(ids + points)  # what is inside one of these is part of it
+    values = rows([m.span() for m in WEAK_SECRET.finditer(text)])
+    values = values[~_overlaps(values, carriers) & ~_overlaps(values, single)]
+    runs = rows([(a, b) for kind, a, b in base if kind == "hex"])
+    named = [(a, b) for kind, a, b in base if kind == "assign"]
+    secrets = rows(named + [(a, b) for _, a, b in np.concatenate([values, runs[~_overlaps(runs, carriers)]]).tolist()])
+    own_names, own_places = names[~_overlaps(names, single)], places[~_overlaps(places, single)]
     found: list[Span] = []
-    for kind, own, sides in (("link_id", id_rows, (secrets,)), ("link_secret", value_rows, (names, places)), ("link_endpoint", point_rows, (secrets,))):
+    for kind, own, sides in (("link_id", own_names, (secrets,)), ("link_secret", values, (rows(ids + access), places)), ("link_endpoint", own_places, (secrets,))):
         if len(own):
             hit = np.logical_or.reduce([_within(own, side) for side in sides])
             found += [(kind, int(a), int(b)) for _, a, b in own[hit]]
