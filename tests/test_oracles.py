@@ -1,6 +1,7 @@
 """Every surface query against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from facetflow.plans.oracles import oracle_sql
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(frame):
     out = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row))
+        out.append(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row))
     return sorted(out)
 
 
