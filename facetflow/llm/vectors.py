@@ -3,18 +3,24 @@
 On unit vectors, cosine >= COSINE is a distance of at most R.  Every vector lives in the cell of its
 nearest pivot.  If x lives in cell i and a vector of cell j lies within R of it, the triangle inequality
 gives d(x, p_j) <= d(x, p_i) + 2 R; in Euclidean space it also holds that x lies within R of the plane
-halfway between p_i and p_j.  So x goes to those other cells only, and each cell is joined by itself: a
-vector's links are all found in its own cell.
+halfway between p_i and p_j.  So x goes to those other cells only, and each cell is joined by itself.
+Either end of a link could go to the other's cell; of two cells, taken in a circle, only the vectors of
+the one that has the other in the half ahead of it go, so every link is found once.
 
 - Equal vectors are collapsed first, so a vector with any number of copies is one row.
 - A cell with many vectors is split: a task holds CELL vectors and streams what may be near them.
 - A cell sends links on as a forest (each vector with its component's root), not as pairs.
+- Vectors travel in the type they are stored in; lengths and cosines are computed in double precision.
 
-Vectors that are null, zero, without vec_id, or hold null or non-finite components link with nothing; so do vectors of
-different lengths.  Rows that repeat a vec_id are vectors of their own with
-one component; if different vectors share it, each shows the larger number of links.
-Where vectors spread evenly over many dimensions, R is wide next to their distances, nearly every
-vector goes to nearly every cell, and the join costs what comparing all pairs in blocks costs.
+Defined results: vectors that are null, zero, without vec_id, or hold null or non-finite components link
+with nothing; so do vectors of different lengths; an empty table gives an empty result.  Rows that repeat
+a vec_id are vectors of their own with one component; if different vectors share it, each shows the links
+of all of them.  Ties of a cell go to its first pivot.  Columns other than vec_id and embedding are not read.
+
+Cells are made for the eight commonest vector lengths; vectors of rarer lengths make one cell a length,
+which is split as any other: the result is the same, only no pivot spares comparisons.  Where vectors
+spread evenly over many dimensions, R is wide next to their distances, nearly every vector goes to half
+of the cells, and the join costs what comparing all pairs in blocks costs.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import shuffle_width, stored
@@ -37,12 +43,19 @@ MOST_PIVOTS = 1024
 UNSURE = 1e-4
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of those that can link."""
-    v = F.col("embedding")
+def _is_usable(v: Column) -> Column:
+    """Whether a vector can link; never null."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    nonzero = F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & nonzero)
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _named(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v, usable): single precision stays, everything else becomes double."""
+    v = F.col("embedding")
+    if vectors.schema["embedding"].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return named.withColumn("usable", F.col("vec_id").isNotNull() & _is_usable(F.col("v")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -53,7 +66,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _cells(unique: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(dim, cell, home, id, n, v): a row for the cell a vector lives in and for each that it may reach."""
+    """(dim, cell, home, id, n, v): a row for the cell a vector lives in and for each ahead that it may reach."""
+    kind = unique.schema["v"].dataType.simpleString()
     reach = math.sqrt(2 - 2 * COSINE) + 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +84,8 @@ def _cells(unique: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     gap = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[home]
                     near = square - least[:, None] <= 2 * reach * gap
                     near &= np.sqrt(square) <= np.sqrt(least)[:, None] + 2 * reach
+                    ahead = (np.arange(len(p)) - home[:, None]) % len(p)
+                    near &= (2 * ahead < len(p)) | ((2 * ahead == len(p)) & (home[:, None] < np.arange(len(p))))
                     near[np.arange(len(rows)), home] = True
                     who, cell = np.nonzero(near)
                 else:
@@ -80,7 +96,7 @@ def _cells(unique: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     own = part.take(pa.array(w))
                     yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(c, pa.int32()), pa.array(home[w] == c), own.column("id"), own.column("n"), own.column("v")], names=["dim", "cell", "home", "id", "n", "v"])
 
-    return unique.mapInArrow(run, "dim int, cell int, home boolean, id long, n long, v array<double>")
+    return unique.mapInArrow(run, f"dim int, cell int, home boolean, id long, n long, v {kind}")
 
 
 class Forest:
@@ -104,15 +120,21 @@ class Forest:
                 self.label = up
 
 
-def _joined(cells: DataFrame, sizes: dict[tuple[int, int], int], width: int) -> DataFrame:
-    """(a, b, links): for each held vector (a = b) its links to others; for linked vectors their root b."""
-    parts = F.lit(1)
-    for (dim, cell), n in sizes.items():
-        if n > CELL:
-            parts = F.when((F.col("dim") == dim) & (F.col("cell") == cell), -(-n // CELL)).otherwise(parts)
-    dealt = cells.withColumn("parts", parts)
-    held = dealt.where("home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("role", F.lit(0))
-    streamed = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1))
+def _joined(cells: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """(a, b, links): for vectors with links (a = b) how many this task found; for linked ones their root b.
+
+    sizes(dim, cell, parts) has a row for each cell that is split: a stored table, so that the join knows
+    its size.  Parts of a cell meet once, too: of two, in a circle, the vectors of the
+    one that has the other in the half ahead of it stream to the other.
+    """
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = cells.join(sizes, ["dim", "cell"], "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    held = dealt.where("home").withColumn("part", F.col("own")).withColumn("role", F.lit(0))
+    ahead = F.pmod(F.col("part") - F.col("own"), F.col("parts"))
+    first = (2 * ahead < F.col("parts")) | ((2 * ahead == F.col("parts")) & (F.col("own") < F.col("part")))
+    streamed = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(~F.col("home") | first)
+    # role 1: from this part itself, 2: from elsewhere
+    streamed = streamed.withColumn("role", F.when(F.col("home") & (F.col("own") == F.col("part")), 1).otherwise(2))
     columns = ["dim", "cell", "part", "role", "id", "n", "v"]
     rows = held.select(columns).union(streamed.select(columns)).repartition(width, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "role")
 
@@ -142,19 +164,24 @@ class _Cell:
     def __init__(self) -> None:
         self.ids: list[np.ndarray] = []
         self.rows: list[np.ndarray] = []
+        self.copies: list[np.ndarray] = []
         self.matrix: np.ndarray | None = None
 
     def take(self, role: int, ids: np.ndarray, n: np.ndarray, rows: np.ndarray) -> None:
         if role == 0:
             self.ids.append(ids)
             self.rows.append(rows)
+            self.copies.append(n)
             return
         if self.matrix is None:
             self.matrix = np.concatenate(self.rows) if self.rows else np.zeros((0, rows.shape[1]))
             self.single = self.matrix.astype(np.float32)
             self.all_ids = [np.concatenate(self.ids) if self.ids else np.zeros(0, dtype=np.int64)]
             self.held = self.all_ids[0]
+            self.n = np.concatenate(self.copies) if self.copies else np.zeros(0, dtype=np.int64)
             self.links = np.zeros(len(self.held), dtype=np.int64)
+            #: streamed vectors with links: ids and numbers of links
+            self.others: list[tuple[np.ndarray, np.ndarray]] = []
             self.forest = Forest()
             self.forest.grow(len(self.held))
         cosine = self.single @ rows.astype(np.float32).T
@@ -168,6 +195,8 @@ class _Cell:
             return
         self.links += np.bincount(h, weights=n[x], minlength=len(self.held)).astype(np.int64)
         linked, place = np.unique(x, return_inverse=True)
+        if role == 2:  # those of this part itself are held, and counted as such
+            self.others.append((ids[linked], np.bincount(place, weights=self.n[h]).astype(np.int64)))
         first = len(self.forest.label)
         self.forest.grow(len(linked))
         self.all_ids.append(ids[linked])
@@ -180,14 +209,17 @@ class _Cell:
             everyone = np.concatenate(self.all_ids)
             root = everyone[self.forest.label]
             other = root != everyone
-            a, b = np.concatenate([self.held, everyone[other]]), np.concatenate([self.held, root[other]])
-            links = np.concatenate([self.links, np.zeros(int(other.sum()), dtype=np.int64)])
+            some = self.links > 0
+            own = np.concatenate([self.held[some], *(i for i, _ in self.others)])
+            a, b = np.concatenate([own, everyone[other]]), np.concatenate([own, root[other]])
+            links = np.concatenate([self.links[some], *(n for _, n in self.others), np.zeros(int(other.sum()), dtype=np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
 
 def range_join(vectors: DataFrame, spark: SparkSession) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector, see the module."""
-    usable = _usable(vectors)
+    named = _named(vectors)
+    usable = named.where("usable").select("vec_id", "v")
     unique = stored(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "v", F.size("v").alias("dim")), spark, "vectors")
     pivots: dict[int, np.ndarray] = {}
     for row in unique.groupBy("dim").agg(F.count("*").alias("n")).where(f"n > {CELL}").orderBy(F.desc("n")).limit(8).collect():
@@ -196,17 +228,15 @@ def range_join(vectors: DataFrame, spark: SparkSession) -> DataFrame:
         p = np.array([r["v"] for r in chosen], dtype=np.float64)
         pivots[row["dim"]] = p / np.sqrt((p * p).sum(axis=1))[:, None]
     cells = _cells(unique, pivots)
-    sizes = {(r["dim"], r["cell"]): r["n"] for r in cells.where("home").groupBy("dim", "cell").agg(F.count("*").alias("n")).where(f"n > {CELL}").collect()}
+    sizes = stored(cells.where("home").groupBy("dim", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).where("parts > 1"), spark, "sizes")
     joined = stored(_joined(cells, sizes, max(shuffle_width(spark), len(pivots))), spark, "links")
     component = connected_components(joined.where("a <> b").select("a", "b"), lambda df, label: stored(df, spark, label))
-    links = joined.where("a = b").groupBy(F.col("a").alias("id")).agg(F.max("links").alias("links"))
-    settled = unique.select("v", "id", "n").join(links, "id").join(component, F.col("id") == F.col("node"), "left")
-    settled = settled.select("v", F.coalesce("component", "id").alias("component_id"), (F.col("links") + F.col("n") - 1).alias("n_links"))
+    links = joined.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    settled = unique.select("v", "id", "n").join(links, "id", "left").join(component, F.col("id") == F.col("node"), "left")
+    none = F.lit(0).cast("long")
+    settled = settled.select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", none) + F.col("n") - 1).alias("n_links"))
     found = usable.join(settled, "v").select("vec_id", "n_links", "component_id")
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    nameless = ids.where("vec_id is null")
-    unusable = ids.where("vec_id is not null").join(usable.select("v").distinct(), "v", "left_anti").select("vec_id").union(nameless.select("vec_id"))
-    unusable = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    unusable = named.where(~F.col("usable")).select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

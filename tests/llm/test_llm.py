@@ -307,6 +307,30 @@ def test_vectors(spark):
     assert vectors.range_join(df.limit(0), spark).count() == 0
 
 
+def brute_vectors(rows):
+    """n_links and component of each (id, vector)."""
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    ids = list(unit)
+    near = np.array([unit[i] for i in ids]) @ np.array([unit[i] for i in ids]).T >= 0.95
+    label = np.array(ids)
+    while not np.array_equal(new := np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1), label):
+        label = new
+    return {i: (int(near[k].sum()) - 1, int(label[k])) for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize(("pivots", "cell"), [(1024, 40), (1100, 1), (7, 5)])
+def test_many_cells(spark, monkeypatch, pivots, cell):
+    """More cells than nested conditions could hold, cells of one vector, and few cells in many parts; single precision."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(90, 6))
+    rows = [(i, (centres[i % 90] + rng.normal(size=6) * 0.15).astype(np.float32).tolist()) for i in range(1300)]
+    monkeypatch.setattr(vectors, "MOST_PIVOTS", pivots)
+    monkeypatch.setattr(vectors, "CELL", cell)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.range_join(df, spark).collect()}
+    assert found == brute_vectors(rows)
+
+
 def test_near_duplicates(spark, docs, none):
     sets = {i: set(zip(*(text(i).lower().split()[k:] for k in range(5)), strict=False)) or {tuple(text(i).lower().split())} for i in range(len(TEXTS))}
     sets = {i: s for i, s in sets.items() if s != {()}}
