@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes, words_of
+from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes, unused, words_of
 
 WINDOW = 20
 SEED = 4
@@ -280,10 +280,11 @@ def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, spans binary")
 
 
-def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with their spans; a document's spans are bounded by its length."""
-    spans = found.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list("spans").alias("_spans"))
-    return docs.join(spans, F.col("doc_id").cast("long") == F.col("_span_doc"), "left").drop("_span_doc")
+def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """docs with their spans, and that column's name; a document's spans are bounded by its length."""
+    key, own = unused(docs, "span_doc", "spans")
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("spans").alias(own))
+    return docs.join(spans, docs["doc_id"].cast("long") == F.col(key), "left").drop(key), own
 
 
 def _removed(n: int, spans: list[bytes] | None) -> np.ndarray:
@@ -296,11 +297,13 @@ def _removed(n: int, spans: list[bytes] | None) -> np.ndarray:
 def digest(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by single blanks."""
 
+    rows, own = _with_spans(id_and_text(docs), found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             out = []
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(own).to_pylist()):
                 words = texts[i].as_py().split()
                 n = len(words)
                 if spans:
@@ -310,7 +313,7 @@ def digest(docs: DataFrame, found: DataFrame) -> DataFrame:
             a, b, c = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(id_and_text(docs), found).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -319,11 +322,12 @@ def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_chars, where docs has it, follows the text.  Documents of which nothing is left are dropped.
     """
     schema = docs.schema
+    rows, own = _with_spans(docs, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            spans, texts = batch.column("_spans").to_pylist(), batch.column(k).to_pylist()
+            spans, texts = batch.column(own).to_pylist(), batch.column(k).to_pylist()
             changed = [i for i, s in enumerate(spans) if s]
             keep = np.ones(len(texts), dtype=bool)
             for i in changed:
@@ -336,7 +340,7 @@ def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
                     cut = at[j + 1][0] if j + 1 < len(at) else len(raw)
                 texts[i] = b"".join([*parts, raw[cut:]]).decode().rstrip() if not gone.all() else ""
                 keep[i] = not gone.all()
-            batch = batch.drop_columns(["_spans"])
+            batch = batch.drop_columns([own])
             if changed:
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
                 c = batch.schema.get_field_index("n_chars")
@@ -348,7 +352,7 @@ def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(keep))
             yield batch
 
-    return _with_spans(docs, found).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 #: The same rows in DuckDB.
