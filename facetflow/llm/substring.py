@@ -6,16 +6,19 @@ travel together as one packed string to the minimiser's bucket; there, sorting b
 together, and every window but the earliest is a repeat.  A word is removed if a repeat covers it.
 
 - A task first settles what it can: a window that also starts earlier within the task's block is a
-  repeat at once and does not travel, so a passage that millions of documents share leaves each block once.
-- Minimisers with a large share of all strings would make hot buckets (the same passage within many
-  different surroundings).  They are found beforehand, from counts over all documents; their windows
-  travel one by one to buckets of their own hashes.
+  repeat at once and does not travel.
+- Minimisers with a large share of all strings would make hot buckets (a passage that very many documents
+  share, the same words within many different surroundings).  They are found beforehand, from counts over
+  all documents; their windows travel one by one to buckets of their own hashes, and in two steps: first
+  each bucket is cut by block, every part settles its own windows and sends on the earliest of each, so
+  what meets in one place is at most one string of a window for each part.
 - A hash only brings candidates together: windows count as equal if all their words are equal.
 
-Order: by doc_id, then start.  Rows that repeat a doc_id with the same text are one document: neither is
-earlier.  Rows without a doc_id have no place in the order: they stay whole
-and make nothing a repeat.  Null and empty texts have no words.  Texts with fewer than WINDOW words stay whole.  Columns
-other than doc_id and text are ignored by find() and digest(), and passed through by clean().
+Defined results: the order is by doc_id, then start.  Rows that repeat a doc_id with the same text are one
+document: neither is earlier.  Rows without a doc_id have no place in the order: they stay whole and make
+nothing a repeat.  Null and empty texts have no words; texts with fewer than WINDOW words stay whole; texts
+of any length are cut whole; an empty table gives an empty result.  Columns other than doc_id and text,
+whatever their names, are ignored by find() and digest(), and passed through by clean().
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes,
 WINDOW = 20
 SEED = 4
 BLOCK_BYTES = 2_000_000
-#: Buckets for each shuffle partition, and the largest number of minimisers that count as hot.
+#: Buckets for each shuffle partition, and bytes of text for which there is one partition at least.
 BUCKETS_EACH = 12
+PARTITION_BYTES = 48_000_000
+#: Minimisers that may be told apart as hot: what isn't hot makes less than one part in so many of all strings.
 MOST_HOT = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -156,38 +161,46 @@ def _merged(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(owner[a]), pairs[a:b].tobytes()
 
 
-def hot_minimisers(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Minimisers with more than a share 1 / parts of all packed strings, parts = min(4 buckets, MOST_HOT).
+def hot_minimisers(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """Minimisers with more than a share 1 / parts of all packed strings, parts = min(4 buckets, MOST_HOT), and
+    the number of shuffle partitions for texts of this size (width at least).
 
     At most parts of them exist.  A block reports those above half that share of its own strings: one that
     is above the share in all is so in some block.
     """
-    parts = min(4 * buckets, MOST_HOT)
+    parts = min(4 * BUCKETS_EACH * width, MOST_HOT)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, strings in _blocks(batch):
                 words = Words(strings)
                 least = words.minimisers()[words.windows]
-                if not len(least):
-                    continue
-                lead = np.append(True, (least[1:] != least[:-1]) | (np.diff(words.windows) != 1))
+                lead = np.append(True, (least[1:] != least[:-1]) | (np.diff(words.windows) != 1)) if len(least) else np.zeros(0, dtype=bool)
                 values, n = np.unique(least[lead], return_counts=True)
                 most = n >= max(2, int(lead.sum()) / (2 * parts))
-                yield pa.RecordBatch.from_arrays([pa.array(values[most].view(np.int64)), pa.array(n[most], pa.int64()), pa.array(np.zeros(int(most.sum()), dtype=np.int64))], names=["least", "n", "total"])
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([int(lead.sum())], pa.int64())], names=["least", "n", "total"])
+                # the row of the null key counts strings and bytes
+                keys = pa.array([*values[most].view(np.int64).tolist(), None], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([*n[most].tolist(), int(lead.sum())], pa.int64()), pa.array([*[0] * int(most.sum()), len(words.raw)], pa.int64())], names=["least", "n", "size"])
 
-    sums = docs.mapInArrow(count, "least long, n long, total long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    # the row of the null key holds the number of all strings
+    sums = docs.mapInArrow(count, "least long, n long, size long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     top = sums.orderBy(F.col("least").isNotNull(), F.desc("n")).limit(parts + 1).collect()
-    if not top or top[0]["least"] is not None:
-        return np.zeros(0, dtype=np.uint64)
-    total = top[0]["total"]
-    return np.sort(np.array([r["least"] for r in top[1:] if r["n"] >= max(8, total / parts)], dtype=np.int64).view(np.uint64))
+    if not top:
+        return np.zeros(0, dtype=np.uint64), width
+    total, size = top[0]["n"], top[0]["size"]
+    hot = np.sort(np.array([r["least"] for r in top[1:] if r["n"] >= max(8, total / parts)], dtype=np.int64).view(np.uint64))
+    return hot, max(width, -(-size // PARTITION_BYTES))
+
 
+def _blob(words: Words, low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Strings of words low[i] .. high[i] (inclusive) with their places, compressed."""
+    a, b = words.starts[low].tolist(), words.ends[high].tolist()
+    strings = b"\n".join([words.raw[x:y] for x, y in zip(a, b, strict=True)])
+    return squeeze.compress(np.array([len(low)], dtype="<i8").tobytes() + np.column_stack([doc, start]).astype("<i8").tobytes() + strings)
 
-def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(bucket, doc_id, data): packed strings of a bucket, compressed (doc_id null), or what a block settled."""
+
+def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, parts: int) -> DataFrame:
+    """(bucket, part, doc_id, data): packed strings of a bucket, compressed (doc_id null), or what a block
+    settled.  Windows of hot minimisers are dealt over parts by block; part is null for all others."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -200,34 +213,37 @@ def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 doc = ids[words.string[at]]
                 start = at - words.first[words.string[at]]
                 late = repeats(words, doc, start)
-                out: list[tuple[int, int | None, bytes]] = [(d % buckets, d, x) for d, x in _merged(doc[late], start[late])]
+                out: list[tuple[int, int | None, int | None, bytes]] = [(d % buckets, None, d, x) for d, x in _merged(doc[late], start[late])]
                 keep = ~late
                 at, doc, start, least = at[keep], doc[keep], start[keep], words.minimisers()[at[keep]]
                 alone = np.isin(least, hot) if len(hot) else np.zeros(len(at), dtype=bool)
                 if alone.any():
                     least = np.where(alone, span_hashes(words.hashes, at, at + WINDOW), least)
                 lead = np.ones(len(at), dtype=bool)
-                lead[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | alone[1:]
+                lead[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | alone[1:] | alone[:-1]
                 low = np.flatnonzero(lead)
                 if len(low):
                     high = np.append(low[1:], len(at)) - 1
-                    bucket = (mix64(least[low]) % np.uint64(buckets)).astype(np.int64)
+                    bucket = (mix64(least[low]) % np.uint64(buckets)).astype(np.int64) * 2 + alone[low]
                     order = np.argsort(bucket, kind="stable")
                     low, high, bucket = low[order], high[order], bucket[order]
-                    a, b = words.starts[at[low]].tolist(), words.ends[at[high] + WINDOW - 1].tolist()
-                    places = np.column_stack([doc[low], start[low]]).astype("<i8")
+                    part = int(mix64(np.array([ids[0]], dtype=np.int64).view(np.uint64))[0] % np.uint64(parts))
                     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-                    raw = words.raw
                     for i, j in zip(cuts, [*cuts[1:], len(low)], strict=True):
-                        strings_ = b"\n".join([raw[x:y] for x, y in zip(a[i:j], b[i:j], strict=True)])
-                        out.append((int(bucket[i]), None, squeeze.compress(np.array([j - i], dtype="<i8").tobytes() + places[i:j].tobytes() + strings_)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "doc_id", "data"])
+                        own, is_hot = divmod(int(bucket[i]), 2)
+                        out.append((own, part if is_hot else None, None, _blob(words, at[low[i:j]], at[high[i:j]] + WINDOW - 1, doc[low[i:j]], start[low[i:j]], squeeze)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
+
+    return docs.mapInArrow(pack, PACKED)
 
-    return docs.mapInArrow(pack, "bucket long, doc_id long, data binary")
 
+PACKED = "bucket long, part int, doc_id long, data binary"
+_PACKED_NAMES, _PACKED_TYPES = ["bucket", "part", "doc_id", "data"], (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
-def _settle(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """The repeats among all windows of a bucket."""
+
+def _settle(blobs: list[bytes], squeeze: zstandard.ZstdCompressor | None = None) -> Iterator[tuple[int | None, bytes]]:
+    """The repeats among all windows of a bucket (doc_id, spans).  With squeeze, also the windows that are none
+    (None, packed strings of one window each)."""
     doc, start, strings = [], [], []
     open_ = zstandard.ZstdDecompressor()
     for blob in blobs:
@@ -243,41 +259,57 @@ def _settle(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
     start_ = np.concatenate(start)[own] + words.windows - words.first[own]
     late = repeats(words, doc_, start_)
     yield from _merged(doc_[late], start_[late])
+    if squeeze is not None:
+        at = words.windows[~late]
+        yield None, _blob(words, at, at + WINDOW - 1, doc_[~late], start_[~late], squeeze)
 
 
-def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, spans): intervals of words that repeats cover, 64-bit pairs; some rows for a document."""
-    docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
-    width = shuffle_width(spark)
-    buckets = BUCKETS_EACH * width
-    packed = super_kmers(docs, buckets, hot_minimisers(docs, buckets))
+def _settled(packed: DataFrame, width: int, within_parts: bool) -> DataFrame:
+    """packed with its buckets settled: rows with a doc_id pass through.  Within parts, only rows that have a part
+    are one more step from the end, and become rows of their bucket without one."""
+    keys = ["bucket", "part"] if within_parts else ["bucket"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs, out = None, [], []
+        squeeze = zstandard.ZstdCompressor(level=3)
+
+        def finish() -> None:
+            if blobs:
+                own, part = current
+                out.extend((own, None, d, x) for d, x in _settle(blobs, squeeze if within_parts and part is not None else None))
+                blobs.clear()
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["doc_id", "spans"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
             out.clear()
             return made
 
         for batch in batches:
-            for bucket, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "data")), strict=True):
+            for bucket, part, doc_id, data in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
                 if doc_id is not None:
-                    out.append((doc_id, data))
+                    out.append((bucket, None, doc_id, data))
                     continue
-                if bucket != current and blobs:
-                    out.extend(_settle(blobs))
-                    blobs = []
-                current = bucket
+                if (bucket, part) != current:
+                    finish()
+                    current = (bucket, part)
                 blobs.append(data)
             if len(out) > 10_000:
                 yield batch_of()
-        if blobs:
-            out.extend(_settle(blobs))
-        if out:
-            yield batch_of()
+        finish()
+        yield batch_of()
+
+    return packed.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(settle, PACKED)
+
 
-    return packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc_id long, spans binary")
+def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, spans): intervals of words that repeats cover, 64-bit pairs; some rows for a document."""
+    docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
+    hot, width = hot_minimisers(docs, shuffle_width(spark))
+    packed = super_kmers(docs, BUCKETS_EACH * width, hot, width)
+    settled = _settled(packed, width, True)
+    if len(hot):
+        settled = _settled(settled, width, False)
+    return settled.select("doc_id", F.col("data").alias("spans"))
 
 
 def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:

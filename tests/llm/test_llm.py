@@ -232,8 +232,8 @@ def test_forward_states_match_merging():
         assert (last, total) == (parts[-1], len(parts)), word
 
 
-def brute_substring():
-    own = {i: text(i).encode().split() for i in range(len(TEXTS))}
+def brute_substring(texts_=None):
+    own = {i: (t or "").encode().split() for i, t in enumerate(texts_ or TEXTS)}
     first = {}
     for i in sorted(own):
         for k in range(len(own[i]) - 19):
@@ -269,11 +269,51 @@ def test_substring(spark, docs, none):
 def test_substring_hot_minimisers(spark, docs, monkeypatch):
     """With all minimisers taken for hot ones, every window travels alone; the result stays."""
     every = np.unique(substring.Words([" ".join(text(i).split()).encode() for i in range(len(TEXTS))]).minimisers())
-    monkeypatch.setattr(substring, "hot_minimisers", lambda d, n: every)
+    monkeypatch.setattr(substring, "hot_minimisers", lambda d, n: (every, 3))
     found = by_id(substring.digest(docs, substring.find(docs, spark)))
     assert {i: found[i]["n_removed"] for i in found} == {i: gone for i, (_, gone, _) in brute_substring().items()}
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Two rows are a block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    yield
+    spark.conf.set(name, old)
+
+
+def test_a_passage_in_every_document_meets_in_two_steps(spark, small_blocks):
+    """However many blocks hold it, at most one string of a window for each part meets in one bucket."""
+    import zstandard
+
+    rng = random.Random(4)
+    passage = words(rng, 26)
+    rows = [(i, " ".join([*words(rng, 25), *passage, *words(rng, 25)])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot, width = substring.hot_minimisers(df, 4)
+    assert len(hot) and width == 4
+    parts = 5
+    once = substring._settled(substring.super_kmers(df, 48, hot, parts), 4, True)
+
+    def strings(frame):
+        out = {}
+        for r in frame.where("doc_id is null").collect():
+            raw = zstandard.ZstdDecompressor().decompress(r["data"])
+            n = int.from_bytes(raw[:8], "little")
+            for x in raw[8 + 16 * n :].split(b"\n"):
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    window = " ".join(passage[3:23]).encode()
+    assert strings(substring.super_kmers(df, 48, hot, parts).where("part is not null"))[window] == 80
+    assert 1 <= strings(once)[window] <= parts
+    found = by_id(substring.digest(df, substring.find(df, spark)))
+    expected = brute_substring([t for _, t in rows])
+    assert all(found[i]["n_removed"] == expected[i][1] >= 26 * (i > 0) for i, _ in rows)
+
+
 def test_repeats_survive_hash_collisions(monkeypatch):
     monkeypatch.setattr(substring.Words, "window_hashes", lambda self: (self.windows % 23 % 3).astype(np.uint64))
     w = [f"w{k % 23}".encode() for k in range(90)]
