@@ -50,9 +50,9 @@ def verdict(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame,
     diffs = None
     for projection in PROJECTIONS:
         pair = [rasterize(v, f, projection, width, height, padding) for v, f in (reference, candidate)]
-        own = render_disagreement(*pair, width, height, threshold).select("mesh_id", F.lit(projection).alias("projection"), "fraction")
+        own = render_disagreement(*pair, width, height, threshold).select("mesh_id", F.lit(projection).alias("projection"), "differing", "fraction")
         diffs = own if diffs is None else diffs.union(own)
-    mean = diffs.groupBy("mesh_id").agg((F.sum("fraction") / len(PROJECTIONS)).alias("mean"))
+    mean = diffs.groupBy("mesh_id").agg((F.sum("differing") / (len(PROJECTIONS) * width * height)).alias("mean"))
     names = ["vertices", "faces", "degenerate_faces", "components"]
     stats = [structural_stats(*s).select("mesh_id", *(F.col(n).alias(f"{p}_{n}") for n in names)) for s, p in ((reference, "a"), (candidate, "b"))]
     joined = stats[0].join(stats[1], "mesh_id").join(mean, "mesh_id", "left")

@@ -13,9 +13,10 @@ THREADS = [1, 2, 4, 8, 16]
 KEYS = ["mode", "mesh", "target"]
 
 
-def sweep_matrix(spark: SparkSession, modes: list[str], meshes: list[str], targets: list[str], threads: list[int]) -> DataFrame:
-    """Every run that a sweep makes: the product of four short lists, exploded from one row."""
-    out = spark.range(1).select(F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+def sweep_matrix(spark: SparkSession, modes: list[str], meshes: list[str], targets: list[str], threads: list[int], logs: DataFrame | None = None) -> DataFrame:
+    """Every run that a sweep makes: the product of four short lists, exploded from one row (or each row of logs)."""
+    rows = spark.range(1).select() if logs is None else logs
+    out = rows.select(*rows.columns, F.explode(F.array(*map(F.lit, modes))).alias("mode"))
     for name, values in (("mesh", meshes), ("target", targets), ("threads", threads)):
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return out
@@ -40,6 +41,14 @@ def missing_runs(runs: DataFrame, expected: DataFrame, by: tuple[str, ...] = ())
     return expected.join(runs, [*by, *KEYS, "threads"], "left_anti")
 
 
+def missing_names(runs: DataFrame, by: tuple[str, ...] = (), targets: list[str] = TARGETS, meshes: list[str] = MESHES, threads: list[int] = THREADS) -> DataFrame:
+    """(*by, mode, kind, value): targets, meshes and thread counts that no run of a mode has."""
+    wanted = {"target": targets, "mesh": meshes, "threads": [str(n) for n in threads]}
+    seen = runs.groupBy(*by, "mode").agg(*(F.collect_set(F.col(k).cast("string")).alias(k) for k in wanted))  # few names each
+    lacking = [F.struct(F.lit(k).alias("kind"), F.array_except(F.array(*map(F.lit, values)), F.col(k)).alias("values")) for k, values in wanted.items()]
+    return seen.select(*by, "mode", F.inline(F.array(*lacking))).select(*by, "mode", "kind", F.explode("values").alias("value"))
+
+
 def missing_baselines(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(mode, mesh, target) combinations of what runs holds without a run with one thread."""
     lists = runs.groupBy(*by).agg(*(F.collect_set(c).alias(c) for c in KEYS))  # the different names of a sweep are few
@@ -53,6 +62,11 @@ def ranked(values: DataFrame, column: str, expected: list[str], by: tuple[str, .
     return values.select(*by, column).distinct().withColumn("rank", F.when(place > 0, place).otherwise(len(expected) + 1)).orderBy(*by, "rank", column)
 
 
+def thread_counts(runs: DataFrame) -> DataFrame:
+    """The different thread counts, ascending."""
+    return runs.select("threads").distinct().orderBy("threads")
+
+
 def first_seen(rows: DataFrame, column: str, position: str) -> DataFrame:
     """The different values in the order in which they first appear."""
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(position).alias(position)).orderBy(position)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from facetflow.functions.vecmath import Q
 from facetflow.operators import report
+from facetflow.operators.raster import PADDING, SIDE
 
-PARTS, SIZE, PAD = 8, 48, 4
+PARTS, SIZE, PAD = 8, SIDE, PADDING
 
 # name -> (what it needs, its body)
 CTES: dict[str, tuple[str, str]] = {
@@ -47,9 +50,6 @@ CTES: dict[str, tuple[str, str]] = {
     "won": ("ranked reads writes", "SELECT * FROM ranked WHERE r NOT IN (SELECT a.r FROM reads a JOIN writes b ON a.v = b.v WHERE b.r < a.r)"),
     "moved": ("faces won", """SELECT f.mesh_id, fid, coalesce(a.lo, f.v0) AS v0, coalesce(b.lo, f.v1) AS v1, coalesce(c.lo, f.v2) AS v2 FROM faces f
       LEFT JOIN won a ON f.v0 = a.hi LEFT JOIN won b ON f.v1 = b.hi LEFT JOIN won c ON f.v2 = c.hi"""),
-    "pts": ("vertices", f"""SELECT vid, {SIZE} / 2.0 - sx * k / 2 + (x - x0) * k AS px, {SIZE} - ({SIZE} / 2.0 - sy * k / 2 + (y - y0) * k) AS py, z AS depth FROM vertices,
-      (SELECT *, least({SIZE - 2 * PAD} / sx, {SIZE - 2 * PAD} / sy) AS k FROM (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), 1e-12) AS sx, greatest(max(y) - min(y), 1e-12) AS sy FROM vertices))"""),
-    "low": ("pts", "SELECT vid, px, py, least(depth, 2.5) AS depth FROM pts"),
     "lines": ("", """SELECT o_orderstatus AS log_id, o_orderkey * 3 + i AS line_no, CASE i WHEN 0 THEN CASE WHEN k % 13 = 0 THEN 'noise' ELSE head END WHEN 1 THEN '  vertices: 12' ELSE tim END AS line FROM (
       SELECT *, o_orderkey AS k, 'Running' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' mode=' || (['sequential', 'partitioned_batch'])[(o_orderkey // 2) % 2 + 1] END || ' mesh=' || (['bunny', 'buddha', 'dragon'])[(o_orderkey // 3) % 3 + 1]
         || ' target_vertices=' || (['25%', '10%', '1%', '0.5%'])[(o_orderkey // 5) % 4 + 1] || ' threads=' || ([1, 2, 4, 8, 16])[(o_orderkey // 7) % 5 + 1] || CASE WHEN o_orderkey % 2 = 0 THEN ' partitions=4' ELSE '' END AS head,
@@ -61,28 +61,80 @@ CTES: dict[str, tuple[str, str]] = {
     "pairs": ("ev", """SELECT log_id, line_no, seconds, coalesce(lag(kind) OVER o = 'run', false) AS has_run, lag(mode) OVER o AS mode, lag(mesh) OVER o AS mesh, lag(target) OVER o AS target, lag(threads) OVER o AS threads, kind
       FROM ev WINDOW o AS (PARTITION BY log_id ORDER BY line_no)"""),
     "sess": ("pairs", "SELECT log_id, mode, mesh, target, threads, arg_max(seconds, line_no) AS seconds FROM pairs WHERE kind = 'time' AND has_run GROUP BY ALL"),
-    "runs": ("sess", "SELECT mode, mesh, target, threads, seconds FROM sess WHERE log_id = 'O'"),
+    "runs": ("sess", "SELECT log_id, mode, mesh, target, threads, seconds FROM sess"),
     "matrix": ("", "SELECT * FROM (SELECT unnest(" + str(report.MODES) + ") AS mode), (SELECT unnest(" + str(report.MESHES) + ") AS mesh), (SELECT unnest(" + str(report.TARGETS) + ") AS target), (SELECT unnest(" + str(report.THREADS) + ") AS threads)"),
 }
 
 
-def _raster(points: str) -> str:
-    """Table expressions (pixels of points) as one query: px, py, depth, color."""
+# Across, up, depth, and the part of the normal that looks at the viewer, by projection.
+VIEWS = {"xy": ("x", "y", "z", "cz"), "xz": ("x", "z", "y", "cy"), "yz": ("y", "z", "x", "cx")}
+
+
+def _points(vertices: str, view: str) -> str:
+    u, v, depth, _ = VIEWS[view]
+    return f"""SELECT vid, ({SIZE} - su * k) / 2 + ({u} - u0) * k AS px, {SIZE} - (({SIZE} - sv * k) / 2 + ({v} - v0) * k) AS py, {depth} AS depth FROM {vertices},
+      (SELECT *, least({SIZE - 2 * PAD}.0 / su, {SIZE - 2 * PAD}.0 / sv) AS k FROM (SELECT min({u}) AS u0, min({v}) AS v0, greatest(max({u}) - min({u}), 1e-12) AS su, greatest(max({v}) - min({v}), 1e-12) AS sv FROM {vertices}))"""
+
+
+def _raster(points: str, faces: str, planes: str, view: str) -> str:
+    """The pixels of a surface: px, py, depth, color.  Each face meets the pixels of its box only."""
     return f"""SELECT px, py, arg_max(depth, (depth, -fid)) AS depth, arg_max(color, (depth, -fid)) AS color FROM (
       SELECT fid, i AS px, j AS py, color, round(w0 * ad + w1 * bd + w2 * cd, 9) + 0.0 AS depth FROM (
         SELECT *, ((i + 0.5 - bx) * (cy - by_) - (j + 0.5 - by_) * (cx - bx)) / area AS w0, ((i + 0.5 - cx) * (ay - cy) - (j + 0.5 - cy) * (ax - cx)) / area AS w1, ((i + 0.5 - ax) * (by_ - ay) - (j + 0.5 - ay) * (bx - ax)) / area AS w2 FROM (
-          SELECT *, (cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax) AS area FROM (
-            SELECT f.fid, a.px AS ax, a.py AS ay, a.depth AS ad, b.px AS bx, b.py AS by_, b.depth AS bd, c.px AS cx, c.py AS cy, c.depth AS cd,
-              CAST(round_even(215 - 85 * abs(s.cz / greatest(sqrt(s.cx * s.cx + s.cy * s.cy + s.cz * s.cz), 1e-12)), 0) AS INTEGER) AS color
-            FROM faces f JOIN {points} a ON f.v0 = a.vid JOIN {points} b ON f.v1 = b.vid JOIN {points} c ON f.v2 = c.vid JOIN {"plane0" if points == "pts" else "lowplane"} s ON f.fid = s.fid)), range({SIZE}) t(i), range({SIZE}) u(j)
-        WHERE abs(area) >= 1e-8 AND i >= floor(least(ax, bx, cx)) AND i <= ceil(greatest(ax, bx, cx)) AND j >= floor(least(ay, by_, cy)) AND j <= ceil(greatest(ay, by_, cy)))
+          SELECT *, unnest(range(greatest(0, CAST(floor(least(ay, by_, cy)) AS BIGINT)), least({SIZE - 1}, CAST(ceil(greatest(ay, by_, cy)) AS BIGINT)) + 1)) AS j FROM (
+            SELECT *, (cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax) AS area, unnest(range(greatest(0, CAST(floor(least(ax, bx, cx)) AS BIGINT)), least({SIZE - 1}, CAST(ceil(greatest(ax, bx, cx)) AS BIGINT)) + 1)) AS i FROM (
+              SELECT f.fid, a.px AS ax, a.py AS ay, a.depth AS ad, b.px AS bx, b.py AS by_, b.depth AS bd, c.px AS cx, c.py AS cy, c.depth AS cd,
+                CAST(round_even(215 - 85 * abs(s.{VIEWS[view][3]} / greatest(sqrt(s.cx * s.cx + s.cy * s.cy + s.cz * s.cz), 1e-12)), 0) AS INTEGER) AS color
+              FROM {faces} f JOIN {points} a ON f.v0 = a.vid JOIN {points} b ON f.v1 = b.vid JOIN {points} c ON f.v2 = c.vid JOIN {planes} s ON f.fid = s.fid)))
+        WHERE abs(area) >= 1e-8)
       WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0) GROUP BY px, py"""
 
 
+MIN_FIRST = """CASE WHEN {0} <= {1} AND {0} <= {2} THEN {0} WHEN {1} < {0} AND {1} <= {2} THEN {1} ELSE {2} END AS v0,
+  CASE WHEN {0} <= {1} AND {0} <= {2} THEN {1} WHEN {1} < {0} AND {1} <= {2} THEN {2} ELSE {0} END AS v1,
+  CASE WHEN {0} <= {1} AND {0} <= {2} THEN {2} WHEN {1} < {0} AND {1} <= {2} THEN {0} ELSE {1} END AS v2"""
+
+SHELL_FACES = f"""SELECT 'shell' AS mesh_id, fid, {MIN_FIRST.format("a", "b", "c")} FROM (
+  SELECT fid, v0 AS a, v1 AS b, v2 AS c FROM faces UNION ALL SELECT fid + 2 * w * w, v0 + w * w, v2 + w * w, v1 + w * w FROM faces, w
+  UNION ALL SELECT 4 * w * w + 2 * src, dst, src, src + w * w FROM rim, w UNION ALL SELECT 4 * w * w + 2 * src + 1, dst, src + w * w, dst + w * w FROM rim, w)"""
+
+# the terrain with its high parts cut down
 CTES["lowv"] = ("vertices", "SELECT mesh_id, vid, x, y, least(z, 2.5) AS z FROM vertices")
 CTES["lowplane"] = ("faces lowv", CTES["plane0"][1].replace("JOIN vertices", "JOIN lowv"))
-CTES["pixels"] = ("faces pts plane0", _raster("pts"))
-CTES["lowpixels"] = ("faces low lowplane", _raster("low"))
+CTES["low"] = ("lowv", _points("lowv", "xy"))
+CTES["lowpixels"] = ("faces low lowplane", _raster("low", "faces", "lowplane", "xy"))
+# the terrain after one batch of collapses
+CTES["afterv"] = ("won vertices", "SELECT v.mesh_id, vid, coalesce(px, x) AS x, coalesce(py, y) AS y, coalesce(pz, z) AS z FROM (SELECT * FROM vertices WHERE vid NOT IN (SELECT hi FROM won)) v LEFT JOIN won ON vid = lo")
+CTES["afterf"] = ("moved", f"SELECT mesh_id, fid, {MIN_FIRST.format('a', 'b', 'c')} FROM (SELECT mesh_id, fid, v0 AS a, v1 AS b, v2 AS c FROM moved WHERE v0 <> v1 AND v1 <> v2 AND v0 <> v2)")
+CTES["afterplane"] = ("afterf afterv", CTES["plane0"][1].replace("FROM faces", "FROM afterf").replace("JOIN vertices", "JOIN afterv"))
+for _view in VIEWS:
+    for _name, _v, _f, _plane in (("", "vertices", "faces", "plane0"), ("after_", "afterv", "afterf", "afterplane")):
+        CTES[f"{_name}pts_{_view}"] = (_v, _points(_v, _view))
+        CTES[f"{_name}pixels_{_view}"] = (f"{_f} {_name}pts_{_view} {_plane}", _raster(f"{_name}pts_{_view}", _f, _plane, _view))
+# the chain from faces to ranked collapses once more, for the shell
+CTES["s_vertices"] = ("vertices w", "SELECT 'shell' AS mesh_id, vid, x, y, z FROM vertices UNION ALL SELECT 'shell', vid + w * w, x, y, z - 10 FROM vertices, w")
+CTES["s_faces"] = ("faces rim w", SHELL_FACES)
+_CHAIN = "he rim two nbr closed plane0 planes quad sums dets points cand valid ranked writes reads".split()
+for _name in _CHAIN:
+    _needs, _body = CTES[_name]
+    _own = lambda text: re.sub(rf"\b({'|'.join(['vertices', 'faces', *_CHAIN])})\b", r"s_\1", text)
+    CTES[f"s_{_name}"] = (_own(_needs), _own(_body))
+# the chain from log lines to runs once more, with a log for each customer
+_LOGS = "lines ev pairs sess runs".split()
+for _name in _LOGS:
+    _needs, _body = CTES[_name]
+    _own = lambda text: re.sub(rf"\b({'|'.join(_LOGS)})\b", r"c_\1", text)
+    CTES[f"c_{_name}"] = (_own(_needs), _own(_body.replace("o_orderstatus AS log_id", "CAST(o_custkey AS VARCHAR) AS log_id")))
+#: Rounds of the greedy choice: collapses that no conflicting one precedes are won, and what reads their ends goes.
+GREEDY = """rounds(step, r, state) AS (SELECT 0, r, 'left' FROM s_ranked UNION ALL (
+  WITH l AS (SELECT step, r FROM rounds WHERE state = 'left'),
+    f AS (SELECT v, min(w.r) AS m FROM s_writes w JOIN l ON w.r = l.r GROUP BY v),
+    late AS (SELECT DISTINCT a.r FROM s_reads a JOIN l ON a.r = l.r JOIN f ON a.v = f.v WHERE f.m < a.r),
+    best AS (SELECT step, r FROM l WHERE r NOT IN (SELECT r FROM late)),
+    ends AS (SELECT DISTINCT v FROM s_writes w JOIN best ON w.r = best.r),
+    gone AS (SELECT DISTINCT a.r FROM s_reads a JOIN l ON a.r = l.r JOIN ends ON a.v = ends.v)
+  SELECT step + 1, r, 'won' FROM best UNION ALL SELECT step + 1, r, 'left' FROM l WHERE r NOT IN (SELECT r FROM gone)))"""
+MATERIALIZED = {"s_ranked", "s_writes", "s_reads"}
 
 
 def _ordered(names: str, done: list[str]) -> list[str]:
@@ -94,7 +146,7 @@ def _ordered(names: str, done: list[str]) -> list[str]:
 
 
 def sql(needs: str, body: str, recursive: str = "") -> str:
-    parts = [f'"{n}" AS ({CTES[n][1]})' if n == "class" else f"{n} AS ({CTES[n][1]})" for n in _ordered(needs, [])]
+    parts = [f'"{n}" AS {"MATERIALIZED " if n in MATERIALIZED else ""}({CTES[n][1]})' for n in _ordered(needs, [])]
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([*parts, *([recursive] if recursive else [])])} {body}"
 
 
@@ -102,15 +154,6 @@ def _tidy(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
 
 
-MIN_FIRST = """CASE WHEN {0} <= {1} AND {0} <= {2} THEN {0} WHEN {1} < {0} AND {1} <= {2} THEN {1} ELSE {2} END AS v0,
-  CASE WHEN {0} <= {1} AND {0} <= {2} THEN {1} WHEN {1} < {0} AND {1} <= {2} THEN {2} ELSE {0} END AS v1,
-  CASE WHEN {0} <= {1} AND {0} <= {2} THEN {2} WHEN {1} < {0} AND {1} <= {2} THEN {0} ELSE {1} END AS v2"""
-
-SHELL_FACES = f"""SELECT 'shell' AS mesh_id, fid, {MIN_FIRST.format("a", "b", "c")} FROM (
-  SELECT fid, v0 AS a, v1 AS b, v2 AS c FROM faces UNION ALL SELECT fid + 2 * w * w, v0 + w * w, v2 + w * w, v1 + w * w FROM faces, w
-  UNION ALL SELECT 4 * w * w + 2 * src, dst, src, src + w * w FROM rim, w UNION ALL SELECT 4 * w * w + 2 * src + 1, dst, src + w * w, dst + w * w FROM rim, w)"""
-
-
 def _euler(name: str, vertices: str, faces: str) -> str:
     return f"""SELECT '{name}' AS mesh_id, v, e, f, v - e + f AS chi FROM (SELECT {vertices} AS v FROM vertices), (SELECT count(*) AS f FROM {faces}),
       (SELECT count(*) AS e FROM (SELECT least(v0, v1), greatest(v0, v1) FROM {faces} UNION SELECT least(v1, v2), greatest(v1, v2) FROM {faces} UNION SELECT least(v0, v2), greatest(v0, v2) FROM {faces}))"""
@@ -125,8 +168,51 @@ COMPONENTS = """part_faces AS (SELECT f.* FROM faces f JOIN vertices a ON v0 = a
   adj AS (SELECT v0 AS a, v1 AS b FROM part_faces UNION SELECT v1, v0 FROM part_faces UNION SELECT v1, v2 FROM part_faces UNION SELECT v2, v1 FROM part_faces UNION SELECT v0, v2 FROM part_faces UNION SELECT v2, v0 FROM part_faces)"""
 
 
+def _differing(a: str, b: str) -> str:
+    return f"SELECT count(*) FILTER (abs(coalesce(a.color, 255) - coalesce(b.color, 255)) > 20) AS n FROM {a} a FULL JOIN {b} b ON a.px = b.px AND a.py = b.py"
+
+
+def _components(faces: str, vertices: str, name: str) -> str:
+    """Table expressions that count the components of a surface in which every vertex is used."""
+    return f"""{name}_adj AS (SELECT v0 AS a, v1 AS b FROM {faces} UNION SELECT v1, v0 FROM {faces} UNION SELECT v1, v2 FROM {faces} UNION SELECT v2, v1 FROM {faces} UNION SELECT v0, v2 FROM {faces} UNION SELECT v2, v0 FROM {faces}),
+      {name}_reach(n, step) AS (SELECT min(a), 0 FROM {name}_adj UNION SELECT b, 0 FROM {name}_reach JOIN {name}_adj ON n = a)"""
+
+
+def _verdict() -> str:
+    """The terrain against itself after one batch; both are connected, which reaching every vertex from the least shows."""
+    views = [f"SELECT '{v}' AS view, n FROM ({_differing(f'pixels_{v}', f'after_pixels_{v}')})" for v in VIEWS]
+    rows = []
+    for scope, v, f, name in (("reference", "vertices", "faces", "one"), ("candidate", "afterv", "afterf", "two")):
+        rows += [f"SELECT '{scope}' AS scope, '{n}' AS name, CAST(({q}) AS VARCHAR) AS value" for n, q in (
+            ("vertices", f"SELECT count(*) FROM {v}"), ("faces", f"SELECT count(*) FROM {f}"), ("degenerate_faces", f"SELECT count(*) FROM {f} WHERE v0 = v1 OR v1 = v2 OR v0 = v2"),
+            ("components", f"SELECT CASE WHEN (SELECT count(*) FROM {name}_reach) = (SELECT count(*) FROM {v}) THEN 1 END"),
+        )]
+    mean = f"(SELECT sum(n) / {3.0 * SIZE * SIZE} FROM diffs)"
+    rows += [f"SELECT 'summary', 'average_render_diff', CAST({mean} AS VARCHAR)", "SELECT 'summary', 'component_increase', '0'", f"SELECT 'summary', 'flagged', CAST({mean} > 0.08 AS VARCHAR)"]
+    rows += [f"SELECT 'render_diff', view, CAST(n / {SIZE * SIZE}.0 AS VARCHAR) FROM diffs"]
+    needs = "afterv afterf " + " ".join(f"pixels_{v} after_pixels_{v}" for v in VIEWS)
+    return sql(needs, " UNION ALL ".join(rows), f"diffs AS ({' UNION ALL '.join(views)}), {_components('faces', 'vertices', 'one')}, {_components('afterf', 'afterv', 'two')}")
+
+
+def _reports(pivot: str, lines: str = "lines", runs: str = "runs") -> dict[str, str]:
+    """Sweep reports for every log."""
+    keys = ("log_id", "mode", "mesh", "target", "threads")
+    same = lambda names: " AND ".join(f"m.{k} = r.{k}" for k in names)
+    return {
+        "speedups": sql(runs, f"SELECT log_id, mode, mesh, target, a.threads, a.seconds, round(b.seconds / a.seconds, 6) + 0.0 AS speedup FROM {runs} a JOIN {runs} b USING (log_id, mode, mesh, target) WHERE b.threads = 1"),
+        "time_pivot": sql(runs, f"SELECT log_id, mode, mesh, {pivot} FROM {runs} WHERE threads = 1 GROUP BY log_id, mode, mesh"),
+        "missing_runs": sql(f"{runs} matrix", f"SELECT m.* FROM (SELECT * FROM (SELECT DISTINCT log_id FROM {lines}), matrix) m ANTI JOIN {runs} r ON {same(keys)}"),
+        "missing_baselines": sql(runs, f"SELECT m.* FROM (SELECT DISTINCT a.log_id, a.mode, b.mesh, c.target FROM {runs} a JOIN {runs} b ON a.log_id = b.log_id JOIN {runs} c ON a.log_id = c.log_id) m ANTI JOIN (SELECT * FROM {runs} WHERE threads = 1) r ON {same(keys[:4])}"),
+        "target_order": sql(runs, f"SELECT DISTINCT log_id, target, CAST(coalesce(nullif(list_position({report.TARGETS[::-1]}, target), 0), 5) AS BIGINT) AS rank FROM {runs}"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     pivot = ", ".join(f"max(CASE WHEN target = '{t}' THEN seconds END) AS t_{t.rstrip('%').replace('.', 'p')}" for t in report.TARGETS)
+    zbuffer = sql("pixels_xy", f"SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, {_tidy('depth')}, color FROM pixels_xy")
+    disagreement = sql("pixels_xy lowpixels", f"SELECT 'terrain' AS mesh_id, n AS differing, round(n / {SIZE * SIZE}, 6) + 0.0 AS fraction FROM ({_differing('pixels_xy', 'lowpixels')})")
+    turned = sql("pixels_xy", f"SELECT CAST(py AS INTEGER) AS px, CAST({SIZE - 1} - px AS INTEGER) AS py, color FROM pixels_xy")
+    reports = _reports(pivot)
     return {
         "terrain_vertices": sql("vertices", "SELECT * FROM vertices"),
         "terrain_faces": sql("faces", "SELECT * FROM faces"),
@@ -165,22 +251,26 @@ def oracle_sql() -> dict[str, str]:
         "contract_vertices": sql("won vertices", "SELECT v.mesh_id, vid, round(coalesce(px, x), 6) + 0.0 AS x, round(coalesce(py, y), 6) + 0.0 AS y, round(coalesce(pz, z), 6) + 0.0 AS z FROM (SELECT * FROM vertices WHERE vid NOT IN (SELECT hi FROM won)) v LEFT JOIN won ON vid = lo"),
         "connected_components": sql("faces vertices", "SELECT 'terrain' AS mesh_id, n AS vid, min(c) AS component FROM reach GROUP BY n", f"{COMPONENTS}, reach(n, c) AS (SELECT a, a FROM adj UNION SELECT adj.b, reach.c FROM reach JOIN adj ON reach.n = adj.a AND reach.c < adj.b)"),
         "structural_stats": sql("faces vertices", "SELECT 'terrain' AS mesh_id, (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM faces) + (SELECT count(*) FROM faces JOIN vertices ON v0 = vid WHERE z < 1) AS faces, (SELECT count(*) FROM faces JOIN vertices ON v0 = vid WHERE z < 1) AS degenerate_faces, CAST(1 AS BIGINT) AS components"),
-        "raster_points": sql("pts", f"SELECT vid, {_tidy('px', 'py', 'depth')} FROM pts"),
+        "raster_points": sql("pts_xy", f"SELECT vid, {_tidy('px', 'py', 'depth')} FROM pts_xy"),
         "face_shades": sql("plane0", "SELECT fid, CAST(round_even(215 - 85 * abs(cy / greatest(sqrt(cx * cx + cy * cy + cz * cz), 1e-12)), 0) AS INTEGER) AS color FROM plane0"),
-        "raster_zbuffer": sql("pixels", f"SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, {_tidy('depth')}, color FROM pixels"),
-        "render_disagreement": sql("pixels lowpixels", f"""SELECT 'terrain' AS mesh_id, n AS differing, round(n / {SIZE * SIZE}, 6) + 0.0 AS fraction FROM (
-          SELECT count(*) FILTER (abs(coalesce(a.color, 255) - coalesce(b.color, 255)) > 20) AS n FROM pixels a FULL JOIN lowpixels b ON a.px = b.px AND a.py = b.py)"""),
-        "raster_turned": sql("pixels", f"SELECT CAST(py AS INTEGER) AS px, CAST({SIZE - 1} - px AS INTEGER) AS py, color FROM pixels"),
+        "raster_zbuffer": zbuffer,
+        "raster_zbuffer_full": zbuffer,
+        "render_disagreement": disagreement,
+        "render_disagreement_full": disagreement,
+        "raster_turned": turned,
+        "raster_turned_full": turned,
+        "quality_verdict": _verdict(),
+        "greedy_batch": sql("s_ranked s_writes s_reads", f"SELECT hi, lo, {_tidy('cost')} FROM rounds JOIN s_ranked USING (r) WHERE state = 'won'", GREEDY),
         "centred_vertices": sql("vertices", ", m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS s FROM vertices) SELECT vid, round((x - mx) / s, 6) + 0.0 AS x, round((y - my) / s, 6) + 0.0 AS y, round((z - mz) / s, 6) + 0.0 AS z FROM vertices, m"),
         "stride_sample": sql("faces", "SELECT fid, v0, v1, v2, place FROM (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS place, count(*) OVER () AS n FROM faces) WHERE place % greatest(1, n // 100) = 0"),
         "log_sessions": sql("sess", "SELECT * FROM sess"),
         "log_warnings": sql("pairs", """SELECT log_id, count(*) FILTER (kind = 'time' AND NOT has_run) AS orphans, CAST(count(*) FILTER (kind = 'time' AND has_run) - count(DISTINCT CASE WHEN kind = 'time' AND has_run THEN (mode, mesh, target, threads) END) AS BIGINT) AS duplicates,
           arg_max(kind, line_no) = 'run' AS unfinished FROM pairs GROUP BY log_id"""),
-        "speedups": sql("runs", "SELECT mode, mesh, target, a.threads, a.seconds, round(b.seconds / a.seconds, 6) + 0.0 AS speedup FROM runs a JOIN runs b USING (mode, mesh, target) WHERE b.threads = 1"),
-        "time_pivot": sql("runs", f"SELECT mode, mesh, {pivot} FROM runs WHERE threads = 1 GROUP BY mode, mesh"),
-        "missing_runs": sql("runs matrix", "SELECT m.* FROM matrix m ANTI JOIN runs r ON m.mode = r.mode AND m.mesh = r.mesh AND m.target = r.target AND m.threads = r.threads"),
-        "missing_baselines": sql("runs", ", r AS (SELECT * FROM runs WHERE threads <> 1 OR mesh <> 'bunny') SELECT m.* FROM (SELECT * FROM (SELECT DISTINCT mode FROM r), (SELECT DISTINCT mesh FROM r), (SELECT DISTINCT target FROM r)) m ANTI JOIN (SELECT * FROM r WHERE threads = 1) b ON m.mode = b.mode AND m.mesh = b.mesh AND m.target = b.target"),
+        **reports,
+        **{f"log_{name}": text for name, text in reports.items()},
+        **{f"customer_{name}": text for name, text in _reports(pivot, "c_lines", "c_runs").items() if name.startswith("missing")},
+        "customer_missing_names": sql("c_runs", " UNION ALL ".join(f"SELECT r.log_id, r.mode, '{kind}' AS kind, e.value FROM (SELECT DISTINCT log_id, mode FROM c_runs) r, (SELECT unnest({[str(v) for v in values]}) AS value) e WHERE NOT EXISTS (SELECT 1 FROM c_runs x WHERE x.log_id = r.log_id AND x.mode = r.mode AND CAST(x.{kind} AS VARCHAR) = e.value)" for kind, values in (("target", report.TARGETS), ("mesh", report.MESHES), ("threads", report.THREADS)))),
         "sweep_progress": sql("matrix pairs", "SELECT m.*, count(p.line_no) AS n FROM matrix m LEFT JOIN (SELECT * FROM pairs WHERE kind = 'time' AND has_run) p ON m.mode = p.mode AND m.mesh = p.mesh AND m.target = p.target AND m.threads = p.threads GROUP BY ALL"),
-        "target_order": sql("runs", "SELECT DISTINCT target, CAST(coalesce(nullif(list_position(" + str(report.TARGETS[::-1]) + ", target), 0), 5) AS BIGINT) AS rank FROM runs"),
+        "thread_counts": sql("ev", "SELECT DISTINCT threads FROM ev WHERE threads IS NOT NULL"),
         "first_seen_targets": sql("ev", "SELECT target, min(line_no) AS line_no FROM ev WHERE target IS NOT NULL GROUP BY target"),
     }

@@ -16,7 +16,7 @@ from facetflow.sources import obj, surfaces, sweep_log
 from facetflow.sources.surfaces import Surface, grid_side, shell, terrain
 
 PARTS = 8
-WIDTH = HEIGHT = 48
+WIDTH, HEIGHT, PADDING = raster.SIDE, raster.SIDE, raster.PADDING
 tidy = M.tidy
 
 
@@ -191,8 +191,8 @@ def obj_export(s, d):
 
 
 def independent_batch(s, d):
-    edges = stored(_edges(s, d), "edges")
     t = terrain(s, d)
+    edges = stored(topology.half_edges(t.faces), "edges")
     priced = quadrics.edge_candidates(topology.collapsible_edges(edges), t.vertices, quadrics.vertex_quadrics(t.faces, t.vertices))
     return _rounded(select.independent_batch(stored(priced, "priced"), edges).select("hi", "lo", "px", "py", "pz", "cost"), "px", "py", "pz", "cost")
 
@@ -210,7 +210,7 @@ def contract_vertices(s, d):
 
 
 def greedy_batch(s, d):
-    """What a greedy pass by cost keeps of the cheapest tenth of the shell's edges."""
+    """What a greedy pass by cost keeps of the shell's edges."""
     t = shell(s, d)
     edges = stored(topology.half_edges(t.faces), "edges")
     priced = quadrics.edge_candidates(topology.collapsible_edges(edges), t.vertices, quadrics.vertex_quadrics(t.faces, t.vertices))
@@ -249,7 +249,7 @@ def structural_stats(s, d):
 
 
 def raster_points(s, d):
-    return _rounded(raster.raster_points(terrain(s, d).vertices, "xy", WIDTH, HEIGHT, 4).drop("mesh_id"), "px", "py", "depth")
+    return _rounded(raster.raster_points(terrain(s, d).vertices, "xy", WIDTH, HEIGHT, PADDING).drop("mesh_id"), "px", "py", "depth")
 
 
 def face_shades(s, d):
@@ -259,14 +259,14 @@ def face_shades(s, d):
 
 def raster_zbuffer(s, d):
     t = terrain(s, d)
-    return _rounded(raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, 4).drop("mesh_id"), "depth")
+    return _rounded(raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, PADDING).drop("mesh_id"), "depth")
 
 
 def render_disagreement(s, d):
     """Pixels that differ once the terrain's high parts are cut down to half."""
     t = terrain(s, d)
     low = t.vertices.withColumn("z", F.when(F.col("z") > 2.5, 2.5).otherwise(F.col("z")))
-    a, b = raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, 4), raster.rasterize(low, t.faces, "xy", WIDTH, HEIGHT, 4)
+    a, b = raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, PADDING), raster.rasterize(low, t.faces, "xy", WIDTH, HEIGHT, PADDING)
     return _rounded(quality.render_disagreement(a, b, WIDTH, HEIGHT), "fraction")
 
 
@@ -281,26 +281,20 @@ def quality_verdict(s, d):
 
 def raster_turned(s, d):
     t = terrain(s, d)
-    return raster.turned_left(raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, 4), WIDTH).select("px", "py", "color")
+    return raster.turned_left(raster.rasterize(t.vertices, t.faces, "xy", WIDTH, HEIGHT, PADDING), WIDTH).select("px", "py", "color")
 
 
-# The three renders above are held by their SQL to 48 x 48 pixels; these have the operators' own size.
+# The names that these had while the ones above rendered small pictures.
 def raster_zbuffer_full(s, d):
-    t = terrain(s, d)
-    return _rounded(raster.rasterize(t.vertices, t.faces, "xy").drop("mesh_id"), "depth")
+    return raster_zbuffer(s, d)
 
 
 def render_disagreement_full(s, d):
-    """Pixels that differ once the terrain's high parts are cut down to half."""
-    t = terrain(s, d)
-    low = t.vertices.withColumn("z", F.when(F.col("z") > 2.5, 2.5).otherwise(F.col("z")))
-    a, b = raster.rasterize(t.vertices, t.faces, "xy"), raster.rasterize(low, t.faces, "xy")
-    return _rounded(quality.render_disagreement(a, b, raster.SIDE, raster.SIDE), "fraction")
+    return render_disagreement(s, d)
 
 
 def raster_turned_full(s, d):
-    t = terrain(s, d)
-    return raster.turned_left(raster.rasterize(t.vertices, t.faces, "xy"), raster.SIDE).select("px", "py", "color")
+    return raster_turned(s, d)
 
 
 def centred_vertices(s, d):
@@ -316,8 +310,8 @@ def stride_sample(s, d):
     return f.where(F.col("place") % step == 0).select("fid", "v0", "v1", "v2", "place")
 
 
-def log_lines(s: SparkSession, d: str) -> DataFrame:
-    """A sweep log for every customer segment of orders: headers, times, repeats, orphans and noise."""
+def log_lines(s: SparkSession, d: str, log: str = "o_orderstatus") -> DataFrame:
+    """A sweep log for every status of orders (or what log names): headers, times, repeats, orphans and noise."""
     o = s.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values)).cast("int") + 1)
@@ -327,7 +321,7 @@ def log_lines(s: SparkSession, d: str) -> DataFrame:
     )
     time = F.concat(F.lit("Simplification time: "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.when(k % 11 == 0, "e1").otherwise(""), F.lit(" s"))
     own = [(F.when(k % 13 == 0, "noise").otherwise(head), 0), (F.lit("  vertices: 12"), 1), (time, 2)]
-    return o.select(F.col("o_orderstatus").alias("log_id"), F.inline(F.array(*(F.struct((k * 3 + i).alias("line_no"), c.alias("line")) for c, i in own))))
+    return o.select(F.col(log).cast("string").alias("log_id"), F.inline(F.array(*(F.struct((k * 3 + i).alias("line_no"), c.alias("line")) for c, i in own))))
 
 
 def log_sessions(s, d):
@@ -338,24 +332,25 @@ def log_warnings(s, d):
     return sweep_log.warnings(log_lines(s, d))
 
 
-def _runs(s: SparkSession, d: str) -> DataFrame:
-    return sweep_log.sessions(log_lines(s, d)).where("log_id = 'O'").drop("log_id")
+BY_LOG = ("log_id",)
 
 
 def speedups(s, d):
-    return _rounded(report.speedups(_runs(s, d)), "speedup")
+    return _rounded(report.speedups(log_sessions(s, d), BY_LOG), "speedup")
 
 
 def time_pivot(s, d):
-    return report.time_pivot(_runs(s, d), report.TARGETS)
+    return report.time_pivot(log_sessions(s, d), report.TARGETS, BY_LOG)
 
 
 def missing_runs(s, d):
-    return report.missing_runs(_runs(s, d), report.sweep_matrix(s, report.MODES, report.MESHES, report.TARGETS, report.THREADS))
+    """Of every log that has lines, even if no run of it was timed."""
+    m = report.sweep_matrix(s, report.MODES, report.MESHES, report.TARGETS, report.THREADS, log_lines(s, d).select(*BY_LOG).distinct())
+    return report.missing_runs(log_sessions(s, d), m, BY_LOG)
 
 
 def missing_baselines(s, d):
-    return report.missing_baselines(_runs(s, d).where("threads <> 1 or mesh <> 'bunny'"))
+    return report.missing_baselines(log_sessions(s, d), BY_LOG)
 
 
 def sweep_progress(s, d):
@@ -366,38 +361,54 @@ def sweep_progress(s, d):
 
 
 def target_order(s, d):
-    return report.ranked(_runs(s, d), "target", report.TARGETS[::-1]).select("target", F.col("rank").cast("long").alias("rank"))
+    return report.ranked(log_sessions(s, d), "target", report.TARGETS[::-1], BY_LOG).select(*BY_LOG, "target", F.col("rank").cast("long").alias("rank"))
 
 
 def first_seen_targets(s, d):
     return report.first_seen(sweep_log.events(log_lines(s, d)), "target", "line_no")
 
 
-# The five reports above are held by their SQL to the log 'O'; these give them for every log.
-BY_LOG = ("log_id",)
+def customer_sessions(s: SparkSession, d: str) -> DataFrame:
+    """The orders of each customer as a log of their own: sweeps that lack most runs."""
+    return sweep_log.sessions(log_lines(s, d, "o_custkey"))
+
 
+def customer_missing_runs(s, d):
+    logs = log_lines(s, d, "o_custkey").select(*BY_LOG).distinct()
+    return report.missing_runs(customer_sessions(s, d), report.sweep_matrix(s, report.MODES, report.MESHES, report.TARGETS, report.THREADS, logs), BY_LOG)
 
+
+def customer_missing_baselines(s, d):
+    return report.missing_baselines(customer_sessions(s, d), BY_LOG)
+
+
+def customer_missing_names(s, d):
+    return report.missing_names(customer_sessions(s, d), BY_LOG)
+
+
+def thread_counts(s, d):
+    return report.thread_counts(sweep_log.events(log_lines(s, d)).where("threads is not null"))
+
+
+# The names that these had while the ones above told of one log only.
 def log_speedups(s, d):
-    return _rounded(report.speedups(log_sessions(s, d), BY_LOG), "speedup")
+    return speedups(s, d)
 
 
 def log_time_pivot(s, d):
-    return report.time_pivot(log_sessions(s, d), report.TARGETS, BY_LOG)
+    return time_pivot(s, d)
 
 
 def log_missing_runs(s, d):
-    """Of every log that has lines, even if no run of it was timed."""
-    m = report.sweep_matrix(s, report.MODES, report.MESHES, report.TARGETS, report.THREADS)
-    lines = log_lines(s, d)
-    return report.missing_runs(sweep_log.sessions(lines), lines.select(*BY_LOG).distinct().crossJoin(m), BY_LOG)
+    return missing_runs(s, d)
 
 
 def log_missing_baselines(s, d):
-    return report.missing_baselines(log_sessions(s, d), BY_LOG)
+    return missing_baselines(s, d)
 
 
 def log_target_order(s, d):
-    return report.ranked(log_sessions(s, d), "target", report.TARGETS[::-1], BY_LOG).select(*BY_LOG, "target", F.col("rank").cast("long").alias("rank"))
+    return target_order(s, d)
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
@@ -408,6 +419,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     simplify_stats, connected_components, structural_stats, raster_points, face_shades, raster_zbuffer, render_disagreement, quality_verdict,
     raster_turned, centred_vertices, stride_sample, log_sessions, log_warnings, speedups, time_pivot, missing_runs, missing_baselines, sweep_progress, target_order,
     first_seen_targets, log_speedups, log_time_pivot, log_missing_runs, log_missing_baselines, log_target_order,
+    customer_missing_runs, customer_missing_baselines, customer_missing_names, thread_counts,
     raster_zbuffer_full, render_disagreement_full, raster_turned_full,
 ]
 

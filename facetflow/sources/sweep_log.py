@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetflow.operators.tables import BLOCK
+
 # The two line formats.  A time has no exponent.
 HEADER = r"^Running(?:\s+mode=(\S+))?\s+mesh=(\S+)\s+target_vertices=(\S+)\s+threads=(\d+)(?:\s+partitions=(\d+))?\s*$"
 TIME = r"^Simplification time:\s*([0-9]+(?:\.[0-9]+)?)\s*s\s*$"
@@ -26,11 +28,19 @@ def events(lines: DataFrame) -> DataFrame:
 
 
 def paired(lines: DataFrame) -> DataFrame:
-    """Each time with the run before it, if that is the event before; a header serves one time."""
-    order = Window.partitionBy("log_id").orderBy("line_no")
-    before = {f"_{c}": F.lag(c).over(order) for c in ("kind", "mode", "mesh", "target", "threads")}
-    times = events(lines).withColumns(before).where("kind = 'time'")
-    return times.select("log_id", "line_no", (F.coalesce(F.col("_kind") == "run", F.lit(False))).alias("has_run"), *(F.col(f"_{c}").alias(c) for c in ("mode", "mesh", "target", "threads")), "seconds")
+    """Each time with the run before it, if that is the event before; a header serves one time.
+
+    Events meet within blocks of lines; only the last event of each block goes on to the next one.
+    """
+    found = events(lines).withColumn("_block", F.floor(F.col("line_no") / BLOCK).cast("long"))
+    own = F.struct("kind", "mode", "mesh", "target", "threads")
+    order = Window.partitionBy("log_id", "_block").orderBy("line_no")
+    ends = found.groupBy("log_id", "_block").agg(F.max_by(own, "line_no").alias("_last"))
+    carried = ends.select("log_id", "_block", F.lag("_last").over(Window.partitionBy("log_id").orderBy("_block")).alias("_carried"))
+    within = found.withColumn("_before", F.lag(own).over(order)).where("kind = 'time'")
+    before = F.coalesce("_before", "_carried")
+    times = within.join(carried, ["log_id", "_block"]).withColumn("_before", before)
+    return times.select("log_id", "line_no", F.coalesce(F.col("_before.kind") == "run", F.lit(False)).alias("has_run"), *(F.col(f"_before.{c}").alias(c) for c in ("mode", "mesh", "target", "threads")), "seconds")
 
 
 def sessions(lines: DataFrame) -> DataFrame:
