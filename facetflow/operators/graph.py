@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.operators.tables import discard
+
 MOST_ROUNDS = 60
 
 
@@ -49,7 +51,8 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame, str], Dat
     for _ in range(MOST_ROUNDS):
         if _is_settled(current):
             break
-        current = store(_small_star(_large_star(current)), "edges")
+        last, current = current, store(_small_star(_large_star(current)), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"not settled after {MOST_ROUNDS} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators.quadrics import rank_of
-from facetflow.operators.tables import stored
+from facetflow.operators.tables import discard, stored
 from facetflow.operators.topology import neighbours
 
 #: No table that can be held needs as many rounds.
@@ -50,18 +50,33 @@ def greedy_batch(candidates: DataFrame, edges: DataFrame, most_rounds: int = MOS
     """
     near = stored(neighbours(edges), "near")
     left = stored(candidates.withColumn("rank", rank_of()), "left")
-    kept = None
+    kept: list[DataFrame] = []
     for done in itertools.count():
         won = stored(_winners(left, near), "won")
         if won.isEmpty():
             break
         if done >= most_rounds:
             raise RuntimeError(f"candidates are left after {most_rounds} rounds")
-        kept = won if kept is None else stored(kept.union(won), "kept") if done % MERGE_EVERY == 0 else kept.union(won)
         touched = won.select("mesh_id", F.explode(F.array("hi", "lo")).alias("v")).distinct()
         gone = _reads(left, near).join(touched, ["mesh_id", "v"], "left_semi").select("mesh_id", "rank").distinct()
-        left = stored(left.join(gone, ["mesh_id", "rank"], "left_anti"), "left")
-    return (left.limit(0) if kept is None else kept).select(candidates.columns)
+        last, left = left, stored(left.join(gone, ["mesh_id", "rank"], "left_anti"), "left")
+        discard(last)
+        kept.append(won)
+        if len(kept) >= MERGE_EVERY:
+            kept = [_merged(kept, won.columns)]
+    out = _merged(kept or [won], candidates.columns)
+    discard(near, left, won)
+    return out
+
+
+def _merged(tables: list[DataFrame], columns: list[str]) -> DataFrame:
+    """These columns of several stored tables as one, and the tables go."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.union(table)
+    out = stored(out.select(columns), "kept")
+    discard(*tables)
+    return out
 
 
 def contract_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,16 +16,23 @@ from pyspark.sql import functions as F
 #: Positions that one window partition may hold.
 BLOCK = 1 << 16
 
+#: Where stored tables lie, and lists of those made in the open scopes.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only in local mode, where none is set."""
+    """The folder that driver and executors share; one is made only in local mode, where none is set, and goes
+    with the driver."""
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = getattr(context, "_facetflow_dir", None) or tempfile.mkdtemp(prefix="facetflow-")
-        context._facetflow_dir = where
+        where = getattr(context, "_facetflow_dir", None)
+        if where is None:
+            where = context._facetflow_dir = tempfile.mkdtemp(prefix="facetflow-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where
 
 
@@ -29,7 +41,49 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    for made in _SCOPES:
+        made.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing needs any more; other frames are left alone."""
+    for table in tables:
+        if table is not None and (path := _PATHS.pop(table, None)):
+            _delete(table.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, what was stored within it, but for tables passed to the function it gives:
+
+    with scope(spark) as keep:
+        result = keep(stored(query(spark, folder)))
+
+    Frames that still read the deleted tables must have been used before.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_PATHS[table])
+        return table
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, name: str) -> DataFrame:
@@ -48,3 +102,19 @@ def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, na
 def numbered(df: DataFrame, keys: list[str], position: str, name: str) -> DataFrame:
     """df with 0, 1, 2, ... in the order of position, for each of the keys."""
     return running_sum(df, keys, position, F.lit(1), "_n").withColumn(name, F.col("_n") - 1).drop("_n")
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with 1, 2, 3, ... in a total order, for each of the keys.
+
+    Rows are dealt by ranges of the order, and stored, as ranges are drawn anew whenever they are computed;
+    a key with any number of rows is counted a range at a time.
+    """
+    ordered = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = stored(ordered.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by))
+    return rows.join(offsets, [*keys, "_range"]).withColumn(name, F.col("_offset") + within).select(*df.columns, name)

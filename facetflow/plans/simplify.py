@@ -1,26 +1,30 @@
 """Simplifying surfaces.
 
-simplify() with mode partitioned_batch runs rounds, each one Spark job over all meshes' tables: price
-the edges, keep those that may collapse, choose a batch without conflicts, contract, store.  With mode
-sequential each mesh is one group, whose collapses follow one another by cost; meshes run in parallel.
+simplify() with mode partitioned_batch runs rounds over all meshes' tables: price the edges, keep those that
+may collapse, choose a batch without conflicts from those within slabs, contract, then one from those on
+boundaries that may still collapse, contract again.  With mode sequential each mesh is one group, whose
+collapses follow one another by cost; meshes run in parallel.
 """
 
 from __future__ import annotations
 
+import contextlib
 import heapq
+import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators import partition as P
 from facetflow.operators.quadrics import edge_candidates, vertex_quadrics
 from facetflow.operators.select import contract_faces, contract_vertices, greedy_batch
-from facetflow.operators.tables import stored
+from facetflow.operators.tables import discard, placed, stored
 from facetflow.operators.topology import collapsible_edges, half_edges, two_sided_edges
 from facetflow.plans.options import SEQUENTIAL, SimplifyOptions, target_count
 from facetflow.sources.surfaces import FACE_SCHEMA, VERTEX_SCHEMA, Surface
@@ -29,8 +33,14 @@ from facetflow.sources.surfaces import FACE_SCHEMA, VERTEX_SCHEMA, Surface
 SHARE = 0.25
 #: A guard only: rounds end at the goal, or when no edge may collapse.
 MOST_ROUNDS = 100_000
-# When slabs are made anew: this share of vertices collapsed, uneven load, many boundary edges.
-AGED, UNEVEN, MIXED = 0.005, 1.5, 0.35
+# When slabs are made anew: this share of vertices collapsed (and so many at least), uneven load, many boundary
+# edges, few of the chosen collapses made.
+AGED, LEAST_AGE, UNEVEN, MIXED, WASTED = 0.005, 256, 1.5, 0.35, 0.10
+#: Boundary collapses of a round for each slab, where a batch size is given.
+BOUNDARY_EACH = 16
+# Names in the statistics.
+PHASES = ("half_edge_build_seconds", "initial_quadrics_seconds", "initial_queue_build_seconds", "partition_build_seconds", "local_selection_seconds", "boundary_repair_seconds", "queue_refresh_seconds")
+ROUND = ("interior_edge_fraction", "boundary_edge_fraction", "partition_load_imbalance", "local_queue_size", "boundary_queue_size", "accepted_local_collapses", "accepted_boundary_collapses", "skipped_boundary_edges", "rejected_conflicts", "repartitioned")
 
 
 @dataclass
@@ -45,98 +55,182 @@ def simplify(surface: Surface, options: SimplifyOptions) -> Simplified:
     return _sequential(surface, options) if options.mode == SEQUENTIAL else _batch(surface, options)
 
 
-def _counts(df: DataFrame) -> dict[str, int]:
-    """Rows of each mesh: a row a mesh reaches the driver."""
-    return {r["mesh_id"]: r["n"] for r in df.groupBy("mesh_id").agg(F.count("*").alias("n")).collect()}
+def _order() -> list[Column]:
+    return [M.tidy(F.col("cost")), F.col("hi"), F.col("lo")]
 
 
-def _limited(chosen: DataFrame, room: dict[str, int]) -> DataFrame:
-    """At most room[mesh_id] of the chosen collapses, cheapest first."""
-    sizes = _counts(chosen)
-    tight = [m for m, n in sizes.items() if n > room.get(m, 0)]
-    if not tight:
+def _cheapest(chosen: DataFrame, keys: list[str], most: DataFrame) -> DataFrame:
+    """At most most(mesh_id, room) of the chosen collapses of each of the keys, cheapest first."""
+    sizes = chosen.groupBy(*keys).agg(F.count("*").alias("_n")).join(most, "mesh_id")
+    if sizes.where("_n > room").isEmpty():
         return chosen
-    limit = F.lit(0)
-    for m in tight:
-        limit = F.when(F.col("mesh_id") == m, room.get(m, 0)).otherwise(limit)
-    place = F.row_number().over(Window.partitionBy("mesh_id").orderBy(M.tidy(F.col("cost")), "hi", "lo"))
-    few = chosen.where(F.col("mesh_id").isin(tight)).withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
-    return chosen.where(~F.col("mesh_id").isin(tight)).union(few)
+    few = placed(chosen, keys, _order(), "_place").join(most, "mesh_id").where(F.col("_place") <= F.col("room"))
+    return few.select(chosen.columns)
+
+
+class _Rounds:
+    """The state of a simplification in rounds: tables of vertices with quadrics, faces and slabs, and progress
+    (mesh_id, goal, now).  However many meshes there are, the driver sees sums only."""
+
+    def __init__(self, surface: Surface, options: SimplifyOptions):
+        self.options, self.phases = options, dict.fromkeys(PHASES, 0.0)
+        with self.timed("initial_quadrics_seconds"):
+            quadrics = vertex_quadrics(surface.faces, surface.vertices)
+            joined = surface.vertices.join(quadrics, ["mesh_id", "vid"])
+            self.vertices, self.faces = stored(joined, "vertices"), stored(surface.faces, "faces")
+        goal = F.greatest(F.lit(1), F.ceil(F.lit(options.target_fraction) * F.count("*"))).cast("long")
+        self.progress = stored(self.vertices.groupBy("mesh_id").agg(goal.alias("goal"), F.count("*").alias("now")), "progress")
+        self.slabs: DataFrame | None = None
+        self.rounds: list[dict[str, float]] = []
+        self.age = self.repartitions = 0
+        self.made_share = 1.0
+        self.start = self.totals()
+
+    @contextlib.contextmanager
+    def timed(self, phase: str) -> Iterator[None]:
+        mark = time.time()
+        yield
+        self.phases[phase] += time.time() - mark
+
+    def totals(self) -> dict[str, int]:
+        row = self.progress.agg(F.sum("now").alias("vertices"), F.sum("goal").alias("goal"), F.sum(F.when(F.col("now") > F.col("goal"), F.col("now"))).alias("open")).first()
+        return {k: row[k] or 0 for k in ("vertices", "goal", "open")}
+
+    def has_aged(self, open_vertices: int) -> bool:
+        last = self.rounds[-1] if self.rounds else None
+        interval = self.options.repartition_every or max(LEAST_AGE, math.ceil(AGED * open_vertices))
+        return last is None or self.age >= interval or last["partition_load_imbalance"] > UNEVEN or last["boundary_edge_fraction"] > MIXED or self.made_share < WASTED
+
+    def priced(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Half edges and priced candidates with their slab (null: boundary) of the open meshes."""
+        vertices, faces = (t.join(open_, "mesh_id", "left_semi") for t in (self.vertices, self.faces))
+        with self.timed("half_edge_build_seconds"):
+            edges = stored(half_edges(faces), "edges")
+        with self.timed("queue_refresh_seconds" if self.rounds else "initial_queue_build_seconds"):
+            geometry, quadrics = vertices.select("mesh_id", "vid", "x", "y", "z"), vertices.select("mesh_id", "vid", *(f"q_{k}" for k in M.Q))
+            return edges, stored(P.edge_classes(edge_candidates(two_sided_edges(edges), geometry, quadrics), self.slabs), "priced")
+
+    def sound(self, edges: DataFrame, priced: DataFrame) -> DataFrame:
+        """Candidates that may collapse; without a batch size, the cheapest share of them."""
+        valid = collapsible_edges(edges, priced)
+        if self.options.batch_size:
+            return stored(valid, "valid")
+        # an exact quantile isn't needed: what is left out waits for a later round
+        every = stored(valid, "every")
+        limits = stored(every.groupBy("mesh_id").agg(F.percentile_approx("cost", SHARE, 1000).alias("_limit")), "limits")
+        out = stored(every.join(limits, "mesh_id").where(F.col("cost") <= F.col("_limit")).drop("_limit"), "valid")
+        discard(every, limits)
+        return out
+
+    def still_sound(self, boundary: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Half edges after the collapses done, and the boundary candidates that may still collapse; their prices
+        hold, as neither end has moved."""
+        faces = self.faces.join(boundary.select("mesh_id").distinct(), "mesh_id", "left_semi")
+        edges = stored(half_edges(faces), "edges")
+        moved = done.select("mesh_id", F.explode(F.array("hi", "lo")).alias("v"))
+        own = boundary.select("mesh_id", "hi", "lo", "px", "py", "pz", "cost", "part")
+        for end in ("hi", "lo"):
+            own = own.join(moved.select("mesh_id", F.col("v").alias(end)), ["mesh_id", end], "left_anti")
+        live = two_sided_edges(edges).join(own, ["mesh_id", "hi", "lo"])
+        return edges, stored(collapsible_edges(edges, live), "live")
+
+    def commit(self, chosen: DataFrame) -> int:
+        n = chosen.count()
+        if n:
+            made = chosen.groupBy("mesh_id").agg(F.count("*").alias("_made"))
+            now = F.col("now") - F.coalesce("_made", F.lit(0))
+            old = self.vertices, self.faces, self.slabs, self.progress
+            self.progress = stored(self.progress.join(made, "mesh_id", "left").select("mesh_id", "goal", now.alias("now")), "progress")
+            self.vertices, self.faces = stored(contract_vertices(self.vertices, chosen), "vertices"), stored(contract_faces(self.faces, chosen), "faces")
+            # what moved belongs to no slab until the next partitioning
+            moved = chosen.select("mesh_id", F.explode(F.array("hi", "lo")).alias("vid"))
+            self.slabs = stored(self.slabs.join(moved, ["mesh_id", "vid"], "left_anti"), "slabs")
+            discard(*old)
+            self.age += n
+        return n
+
+    def room(self) -> DataFrame:
+        return self.progress.select("mesh_id", (F.col("now") - F.col("goal")).alias("room"))
+
+    def chosen(self, valid: DataFrame, edges: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, int, int]:
+        """Collapses to be made now, how many were selected, and how many conflicted with them."""
+        free = greedy_batch(valid, edges)
+        selected = stored(_cheapest(free, keys, valid.select("mesh_id").distinct().withColumn("room", F.lit(most))), "selected") if most else free
+        n = selected.count()
+        out = stored(_cheapest(selected, ["mesh_id"], self.room()), "chosen")
+        rejected = valid.count() - free.count()
+        discard(free, selected)
+        return out, n, rejected
+
+    def run(self) -> bool:
+        """One round; whether it made a collapse."""
+        totals = self.totals()
+        anew = self.has_aged(totals["open"])
+        if anew:
+            with self.timed("partition_build_seconds"):
+                discard(self.slabs)
+                self.slabs, self.age = stored(P.slab_partitions(self.vertices, self.options.slabs), "slabs"), 0
+                self.repartitions += 1
+        open_ = self.progress.where("now > goal").select("mesh_id")
+        edges, priced = self.priced(open_)
+        classes = priced.agg(F.count("part").alias("i"), F.count_if(F.col("part").isNull()).alias("b")).first()
+        interior, boundary = classes["i"], classes["b"]
+        worst = P.load_imbalance(priced, self.options.slabs).agg(F.max("imbalance").alias("x")).first()["x"] or 1.0
+        row: dict[str, float] = dict.fromkeys(ROUND, 0.0)
+        total = max(1, interior + boundary)
+        row |= {"interior_edge_fraction": interior / total, "boundary_edge_fraction": boundary / total, "partition_load_imbalance": worst, "local_queue_size": interior, "boundary_queue_size": boundary, "repartitioned": float(anew)}
+        with self.timed("local_selection_seconds"):
+            valid = self.sound(edges, priced)
+            discard(priced)
+            chosen, selected, row["rejected_conflicts"] = self.chosen(valid.where("part is not null"), edges, ["mesh_id", "part"], self.options.batch_size)
+            local = self.commit(chosen)
+        row["accepted_local_collapses"] = local
+        self.made_share = local / max(1, selected)
+        with self.timed("boundary_repair_seconds"):
+            waiting = valid.where("part is null").join(self.progress.where("now > goal").select("mesh_id"), "mesh_id", "left_semi")
+            offered = waiting.count()
+            if offered:
+                after, live = self.still_sound(waiting, chosen)
+                late, _, rejected = self.chosen(live, after, ["mesh_id"], BOUNDARY_EACH * self.options.slabs if self.options.batch_size else 0)
+                row["skipped_boundary_edges"] = offered - live.count()
+                row["rejected_conflicts"] += rejected
+                row["accepted_boundary_collapses"] = self.commit(late)
+                discard(after, live, late)
+        discard(edges, valid, chosen)
+        self.rounds.append(row)
+        return bool(local or row["accepted_boundary_collapses"])
 
 
 def _batch(surface: Surface, options: SimplifyOptions) -> Simplified:
     started = time.time()
-    phases = dict.fromkeys(("half_edge_build_seconds", "initial_quadrics_seconds", "initial_queue_build_seconds", "partition_build_seconds", "local_selection_seconds", "boundary_repair_seconds", "queue_refresh_seconds"), 0.0)
-    mark = time.time()
-    vertices = stored(surface.vertices.join(vertex_quadrics(surface.faces, surface.vertices), ["mesh_id", "vid"]), "vertices")
-    faces = stored(surface.faces, "faces")
-    phases["initial_quadrics_seconds"] = time.time() - mark
-    before, faces_before = _counts(vertices), _counts(faces)
-    goal = {m: target_count(options.target_fraction, n) for m, n in before.items()}
-    now = dict(before)
-    slabs, rounds, age = None, [], 0
-    accepted_local = accepted_boundary = repartitions = 0
-    last: dict | None = None
-    while open_ := [m for m in now if now[m] > goal[m]]:
-        if len(rounds) >= MOST_ROUNDS:
-            raise RuntimeError(f"above the goal after {MOST_ROUNDS} rounds: {', '.join(open_)}")
-        mark = time.time()
-        total = sum(now.values())
-        anew = slabs is None or age >= (options.repartition_every or max(256, round(AGED * total))) or (last is not None and (last["partition_load_imbalance"] > UNEVEN or last["boundary_edge_fraction"] > MIXED))
-        if anew:
-            slabs, age = stored(P.slab_partitions(vertices, options.slabs), "slabs"), 0
-            repartitions += 1
-        phases["partition_build_seconds"] += time.time() - mark
-        mark = time.time()
-        own_v, own_f = vertices.where(F.col("mesh_id").isin(open_)), faces.where(F.col("mesh_id").isin(open_))
-        edges = stored(half_edges(own_f), "edges")
-        geometry, quadrics = own_v.select("mesh_id", "vid", "x", "y", "z"), own_v.select("mesh_id", "vid", *(f"q_{k}" for k in M.Q))
-        priced = stored(P.edge_classes(edge_candidates(two_sided_edges(edges), geometry, quadrics), slabs), "priced")
-        phases["queue_refresh_seconds"] += time.time() - mark
-        mark = time.time()
-        classes = P.class_counts(priced).agg(F.sum("interior").alias("i"), F.sum("boundary").alias("b")).first()
-        local, boundary = classes["i"] or 0, classes["b"] or 0
-        worst = P.load_imbalance(priced, options.slabs).agg(F.max("imbalance").alias("x")).first()["x"] or 1.0
-        valid = collapsible_edges(edges, priced)
-        if options.batch_size:
-            order = Window.partitionBy("mesh_id", "part").orderBy(M.tidy(F.col("cost")), "hi", "lo")
-            most = F.when(F.col("part").isNull(), 16 * options.slabs).otherwise(options.batch_size)
-            valid = valid.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
-        else:
-            # an exact quantile isn't needed: what is left out waits for a later round
-            limits = valid.groupBy("mesh_id").agg(F.percentile_approx("cost", SHARE, 1000).alias("_limit"))
-            valid = valid.join(limits, "mesh_id").where(F.col("cost") <= F.col("_limit")).drop("_limit")
-        valid = stored(valid, "valid")
-        offered = valid.count()
-        chosen = stored(_limited(greedy_batch(valid, edges), {m: now[m] - goal[m] for m in open_}), "chosen")
-        by_kind = chosen.agg(F.count("part").alias("i"), F.count_if(F.col("part").isNull()).alias("b")).first()
-        taken = by_kind["i"] + by_kind["b"]
-        phases["local_selection_seconds"] += time.time() - mark
-        last = {
-            "interior_edge_fraction": local / max(1, local + boundary), "boundary_edge_fraction": boundary / max(1, local + boundary), "partition_load_imbalance": worst,
-            "local_queue_size": local, "boundary_queue_size": boundary, "accepted_local_collapses": by_kind["i"], "accepted_boundary_collapses": by_kind["b"],
-            "skipped_boundary_edges": boundary - by_kind["b"], "rejected_conflicts": offered - taken, "repartitioned": float(anew),
-        }
-        rounds.append(last)
-        if not taken:
+    state = _Rounds(surface, options)
+    faces_before = state.faces.count()
+    while state.totals()["open"]:
+        if len(state.rounds) >= MOST_ROUNDS:
+            raise RuntimeError(f"above the goal after {MOST_ROUNDS} rounds")
+        if not state.run():
             break
-        accepted_local, accepted_boundary, age = accepted_local + by_kind["i"], accepted_boundary + by_kind["b"], age + taken
-        for m, n in _counts(chosen).items():
-            now[m] -= n
-        mark = time.time()
-        vertices, faces = stored(contract_vertices(vertices, chosen), "vertices"), stored(contract_faces(faces, chosen), "faces")
-        # what moved belongs to no slab until the next partitioning
-        slabs = slabs.join(chosen.select("mesh_id", F.explode(F.array("hi", "lo")).alias("vid")), ["mesh_id", "vid"], "left_anti")
-        phases["boundary_repair_seconds"] += time.time() - mark
-    mean = lambda k: sum(r[k] for r in rounds) / len(rounds) if rounds else 0.0
-    summary = {
-        "initial_vertex_count": sum(before.values()), "initial_face_count": sum(faces_before.values()), "target_vertex_count": sum(goal.values()), "final_vertex_count": sum(now.values()), "final_face_count": faces.count(),
-        "requested_threads": options.threads, "requested_partitions": options.slabs, "accepted_collapses": accepted_local + accepted_boundary, "accepted_local_collapses": accepted_local, "accepted_boundary_collapses": accepted_boundary,
-        "skipped_boundary_edges": sum(r["skipped_boundary_edges"] for r in rounds), "rejected_conflicts": sum(r["rejected_conflicts"] for r in rounds), "repartition_count": repartitions, "queue_refresh_count": len(rounds), "round_count": len(rounds),
-        "interior_edge_fraction_avg": mean("interior_edge_fraction"), "boundary_edge_fraction_avg": mean("boundary_edge_fraction"), "local_queue_size_avg": mean("local_queue_size"), "boundary_queue_size_avg": mean("boundary_queue_size"),
-        "partition_load_imbalance_avg": mean("partition_load_imbalance"), "partition_load_imbalance_max": max((r["partition_load_imbalance"] for r in rounds), default=1.0),
+    rounds = state.rounds
+    sums = {k: sum(r[k] for r in rounds) for k in ROUND}
+    local, boundary = sums["accepted_local_collapses"], sums["accepted_boundary_collapses"]
+    counts = {
+        "initial_vertex_count": state.start["vertices"], "initial_face_count": faces_before, "target_vertex_count": state.start["goal"], "final_vertex_count": state.totals()["vertices"], "final_face_count": state.faces.count(),
+        "accepted_collapses": local + boundary, "accepted_local_collapses": local, "accepted_boundary_collapses": boundary, "skipped_boundary_edges": sums["skipped_boundary_edges"], "rejected_conflicts": sums["rejected_conflicts"],
+        "repartition_count": state.repartitions, "queue_refresh_count": max(0, len(rounds) - 1),
     }
-    return Simplified(Surface(vertices.select("mesh_id", "vid", "x", "y", "z"), faces), _stats(options, phases, summary, rounds, time.time() - started))
+    surface = Surface(state.vertices.select("mesh_id", "vid", "x", "y", "z"), state.faces)
+    return Simplified(surface, _stats(options, state.phases, _summary(options, counts, rounds), rounds, time.time() - started))
+
+
+def _summary(options: SimplifyOptions, counts: dict[str, float], rounds: list[dict[str, float]]) -> dict[str, float]:
+    """All summary metrics, by name; the averages are over rounds and 0 without any."""
+    average = ("interior_edge_fraction", "boundary_edge_fraction", "local_queue_size", "boundary_queue_size", "partition_load_imbalance")
+    imbalance = [r["partition_load_imbalance"] for r in rounds]
+    names = ("initial_vertex_count", "initial_face_count", "target_vertex_count", "final_vertex_count", "final_face_count")
+    more = ("accepted_collapses", "accepted_local_collapses", "accepted_boundary_collapses", "skipped_boundary_edges", "rejected_conflicts", "repartition_count", "queue_refresh_count")
+    out = {k: counts[k] for k in names} | {"requested_threads": options.threads, "requested_partitions": options.slabs} | {k: counts.get(k, 0) for k in more} | {"round_count": len(rounds)}
+    out |= {f"{k}_avg": sum(r[k] for r in rounds) / len(rounds) if rounds else 0.0 for k in average}
+    return out | {"partition_load_imbalance_max": max([1.0, *imbalance])}
 
 
 def _stats(options: SimplifyOptions, phases: dict, summary: dict, rounds: list[dict], seconds: float) -> list[tuple]:
@@ -145,7 +239,7 @@ def _stats(options: SimplifyOptions, phases: dict, summary: dict, rounds: list[d
     out += [("metadata", "run", k, float(v), None) for k, v in (("target_vertex_fraction", options.target_fraction), ("threads", options.threads), ("partitions", options.partitions), ("batch_size", options.batch_size), ("repartition_every", options.repartition_every))]
     out += [("phase", "total", k, v, None) for k, v in {**phases, "total_seconds": seconds}.items()]
     out += [("metric", "summary", k, float(v), None) for k, v in summary.items()]
-    return out + [("metric", f"round_{i}", k, float(v), None) for i, r in enumerate(rounds, 1) for k, v in r.items()]
+    return out + [("metric", f"round_{i}", k, float(v), None) for i, r in enumerate(rounds) for k, v in r.items()]
 
 
 class _Mesh:
@@ -244,20 +338,21 @@ def _sequential(surface: Surface, options: SimplifyOptions) -> Simplified:
     def run(key: tuple, vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
         mesh = _Mesh(vertices, faces)
         mesh.run(target_count(fraction, len(vertices)))
-        v = pd.DataFrame([(key[0], i, *p, "v", None, None, None, None) for i, p in sorted(mesh.place.items())])
-        f = pd.DataFrame([(key[0], None, None, None, None, "f", i, *own) for i, own in sorted(mesh.faces.items())])
-        out = pd.concat([v, f]) if len(f) else v
-        out.columns = ["mesh_id", "vid", "x", "y", "z", "kind", "fid", "v0", "v1", "v2"]
-        return out.astype({c: "Int64" for c in ("vid", "fid", "v0", "v1", "v2")})
+        names = ["mesh_id", "vid", "x", "y", "z", "kind", "fid", "v0", "v1", "v2"]
+        rows = [(key[0], i, *p, "v", None, None, None, None) for i, p in sorted(mesh.place.items())]
+        rows += [(key[0], None, None, None, None, "f", i, *own) for i, own in sorted(mesh.faces.items())]
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("vid", "fid", "v0", "v1", "v2")})
 
     # both tables may stem from one; read from the shared folder they have nothing in common
     vertices, faces = stored(surface.vertices, "vertices"), stored(surface.faces, "faces")
     both = stored(vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(run, schema), "sequential")
     left = Surface(both.where("kind = 'v'").select(*(c.split()[0] for c in VERTEX_SCHEMA.split(", "))), both.where("kind = 'f'").select(*(c.split()[0] for c in FACE_SCHEMA.split(", "))))
-    n = sum(_counts(surface.vertices).values())
+    sizes = vertices.groupBy("mesh_id").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*"))).alias("goal"))
+    n, goal = sizes.agg(F.sum("n"), F.sum("goal")).first()
     m = left.vertices.count()
-    summary = {"initial_vertex_count": n, "initial_face_count": surface.faces.count(), "final_vertex_count": m, "final_face_count": left.faces.count(), "requested_threads": options.threads, "requested_partitions": 1, "accepted_collapses": n - m, "round_count": 0, "partition_load_imbalance_max": 1.0}
-    return Simplified(left, _stats(options, {}, summary, [], time.time() - started))
+    counts = {"initial_vertex_count": n, "initial_face_count": faces.count(), "target_vertex_count": goal, "final_vertex_count": m, "final_face_count": left.faces.count(), "accepted_collapses": n - m}
+    phases = dict.fromkeys(PHASES, 0.0)
+    return Simplified(left, _stats(options, phases, _summary(options, counts, []), [], time.time() - started))
 
 
 def simplify_fraction(surface: Surface, fraction: float, threads: int = 1) -> Surface:
