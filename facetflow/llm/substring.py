@@ -9,8 +9,8 @@ together, and every window but the earliest is a repeat.  A word is removed if a
   repeat at once and does not travel.
 - Minimisers with a large share of all strings would make hot buckets (a passage that very many documents
   share, the same words within many different surroundings).  They are found beforehand, from counts over
-  all documents; their windows travel one by one to buckets of their own hashes, and in two steps: first
-  each bucket is cut by block, every part settles its own windows and sends on the earliest of each, so
+  all documents, and settled in two steps: first their buckets are cut by block, and every part settles its
+  own windows; then the earliest of each travel on, window by window, to buckets of their own hashes.  So
   what meets in one place is at most one string of a window for each part.
 - A hash only brings candidates together: windows count as equal if all their words are equal.
 
@@ -200,7 +200,7 @@ def _blob(words: Words, low: np.ndarray, high: np.ndarray, doc: np.ndarray, star
 
 def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, parts: int) -> DataFrame:
     """(bucket, part, doc_id, data): packed strings of a bucket, compressed (doc_id null), or what a block
-    settled.  Windows of hot minimisers are dealt over parts by block; part is null for all others."""
+    settled.  Strings of hot minimisers are dealt over parts by block; part is null for all others."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -216,15 +216,12 @@ def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, parts: int) -> D
                 out: list[tuple[int, int | None, int | None, bytes]] = [(d % buckets, None, d, x) for d, x in _merged(doc[late], start[late])]
                 keep = ~late
                 at, doc, start, least = at[keep], doc[keep], start[keep], words.minimisers()[at[keep]]
-                alone = np.isin(least, hot) if len(hot) else np.zeros(len(at), dtype=bool)
-                if alone.any():
-                    least = np.where(alone, span_hashes(words.hashes, at, at + WINDOW), least)
                 lead = np.ones(len(at), dtype=bool)
-                lead[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1]) | alone[1:] | alone[:-1]
+                lead[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1])
                 low = np.flatnonzero(lead)
                 if len(low):
                     high = np.append(low[1:], len(at)) - 1
-                    bucket = (mix64(least[low]) % np.uint64(buckets)).astype(np.int64) * 2 + alone[low]
+                    bucket = (mix64(least[low]) % np.uint64(buckets)).astype(np.int64) * 2 + np.isin(least[low], hot)
                     order = np.argsort(bucket, kind="stable")
                     low, high, bucket = low[order], high[order], bucket[order]
                     part = int(mix64(np.array([ids[0]], dtype=np.int64).view(np.uint64))[0] % np.uint64(parts))
@@ -241,9 +238,8 @@ PACKED = "bucket long, part int, doc_id long, data binary"
 _PACKED_NAMES, _PACKED_TYPES = ["bucket", "part", "doc_id", "data"], (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
 
-def _settle(blobs: list[bytes], squeeze: zstandard.ZstdCompressor | None = None) -> Iterator[tuple[int | None, bytes]]:
-    """The repeats among all windows of a bucket (doc_id, spans).  With squeeze, also the windows that are none
-    (None, packed strings of one window each)."""
+def _opened(blobs: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The strings of a bucket, and the place (doc, start) of each of their windows."""
     doc, start, strings = [], [], []
     open_ = zstandard.ZstdDecompressor()
     for blob in blobs:
@@ -255,29 +251,39 @@ def _settle(blobs: list[bytes], squeeze: zstandard.ZstdCompressor | None = None)
         strings += raw[8 + 16 * n :].split(b"\n")
     words = Words(strings)
     own = words.string[words.windows]
-    doc_ = np.concatenate(doc)[own]
-    start_ = np.concatenate(start)[own] + words.windows - words.first[own]
-    late = repeats(words, doc_, start_)
-    yield from _merged(doc_[late], start_[late])
-    if squeeze is not None:
-        at = words.windows[~late]
-        yield None, _blob(words, at, at + WINDOW - 1, doc_[~late], start_[~late], squeeze)
+    return words, np.concatenate(doc)[own], np.concatenate(start)[own] + words.windows - words.first[own]
 
 
-def _settled(packed: DataFrame, width: int, within_parts: bool) -> DataFrame:
-    """packed with its buckets settled: rows with a doc_id pass through.  Within parts, only rows that have a part
-    are one more step from the end, and become rows of their bucket without one."""
-    keys = ["bucket", "part"] if within_parts else ["bucket"]
+def _firsts(words: Words, doc: np.ndarray, start: np.ndarray, buckets: int, squeeze: zstandard.ZstdCompressor) -> Iterator[tuple[int, bytes]]:
+    """words.windows one by one, packed for the buckets of their own hashes."""
+    at = words.windows
+    bucket = (mix64(words.window_hashes()) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() if len(at) else []
+    for i, j in zip(cuts, [*cuts[1:], len(at)], strict=False):
+        own = order[i:j]
+        yield int(bucket[own[0]]), _blob(words, at[own], at[own] + WINDOW - 1, doc[own], start[own], squeeze)
+
+
+def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFrame:
+    """packed with its buckets settled: rows with a doc_id pass through.  Unless this is the last step, what has a
+    part is settled within it, and its earliest windows become rows of their own buckets, without a part."""
+    keys = ["bucket"] if last else ["bucket", "part"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs, out = None, [], []
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def finish() -> None:
-            if blobs:
-                own, part = current
-                out.extend((own, None, d, x) for d, x in _settle(blobs, squeeze if within_parts and part is not None else None))
-                blobs.clear()
+            if not blobs:
+                return
+            words, doc, start = _opened(blobs)
+            blobs.clear()
+            late = repeats(words, doc, start)
+            out.extend((current[0], None, d, x) for d, x in _merged(doc[late], start[late]))
+            if current[1] is not None and not last:
+                words.windows = words.windows[~late]
+                out.extend((b, None, None, x) for b, x in _firsts(words, doc[~late], start[~late], buckets, squeeze))
 
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
@@ -305,10 +311,10 @@ def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, spans): intervals of words that repeats cover, 64-bit pairs; some rows for a document."""
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
     hot, width = hot_minimisers(docs, shuffle_width(spark))
-    packed = super_kmers(docs, BUCKETS_EACH * width, hot, width)
-    settled = _settled(packed, width, True)
+    buckets = BUCKETS_EACH * width
+    settled = _settled(super_kmers(docs, buckets, hot, width), width, buckets, not len(hot))
     if len(hot):
-        settled = _settled(settled, width, False)
+        settled = _settled(settled, width, buckets, True)
     return settled.select("doc_id", F.col("data").alias("spans"))
 
 
