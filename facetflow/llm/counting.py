@@ -15,7 +15,8 @@ Each different word of a block runs through the second transducer once.
 
 Counts are those of the library for word_bpe_49k.json without added tokens: text is composed (NFC) and
 lower-cased, white space dropped; special strings within a text are one token each.  Null counts as
-empty: 0 tokens.  Equal texts get equal counts; columns other than doc_id and text are not read.
+empty: 0 tokens.  Equal texts, repeated rows too, get equal counts; texts of any length are counted whole; an
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

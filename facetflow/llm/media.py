@@ -9,7 +9,9 @@ nine blocks to a restart interval; all quantizers are 1.  As no coefficient is z
 end-of-block code occurs.
 
 Defined results: a null or empty text is stored as one padded interval; equal texts give equal rows;
-texts beyond MOST_ROWS intervals use wider images, whose surplus blocks follow the payload.
+texts beyond MOST_ROWS intervals use wider images, whose surplus blocks follow the payload; no text is cut;
+repeated rows give repeated rows; an empty table gives an empty result; columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations

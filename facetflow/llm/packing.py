@@ -6,7 +6,9 @@ which lay their tokens end to end and cut them into sequences.  A partition's la
 at powers of two, which need no padding, so nothing is padded and no partition waits for another.
 
 Defined results: a null or empty text is the end token alone; equal rows are packed one after the other,
-each with its own tokens; an empty table gives no pieces; columns other than doc_id and text are not read.
+each with its own tokens; ties on the curve go by doc_id, then by the tokens; texts of any length are packed
+whole, over as many sequences as they need; an empty table gives no pieces; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ DIMS, BITS = 4, 8
 FEATURES = 512
 #: Words whose ids a Python worker remembers at most.
 REMEMBERED = 200_000
+#: Tokens for which there is one range of the curve at least.
+PARTITION_TOKENS = 24_000_000
 SPECIAL = "<|endoftext|>"
 #: White space that the fast way of encoding does not cut at: runs of blanks and feeds, and every other kind.
 UNEVEN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -156,7 +160,7 @@ def cells_of(points: np.ndarray) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id, curve key and ids (little-endian 16 bits, with the end token) of every document."""
+    """doc_id, curve key, number of tokens and ids (little-endian 16 bits, with the end token) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, basis = encoder(name), projection()
@@ -166,9 +170,9 @@ def tokenize(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
             for k in range(0, len(texts), 256):
                 ids = encode([t or "" for t in texts.slice(k, 256).to_pylist()])
                 key = hilbert_keys(cells_of(vectors([np.frombuffer(x, dtype="<u2") for x in ids], basis)))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 256), pa.array(key, pa.int64()), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "curve_key", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 256), pa.array(key, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "curve_key", "n", "ids"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, curve_key long, ids binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, curve_key long, n long, ids binary")
 
 
 def _lengths(total: int) -> list[int]:
@@ -179,7 +183,7 @@ def _lengths(total: int) -> list[int]:
 
 def pack(tokens: DataFrame, spark: SparkSession) -> DataFrame:
     """Pieces of documents in sequences, from a stored table of tokenize()."""
-    n = shuffle_width(spark)
+    n = max(shuffle_width(spark), -(-(tokens.agg(F.sum("n")).first()[0] or 0) // PARTITION_TOKENS))
     # the encoded text breaks ties between rows of one doc_id, so the order is total
     ranged = tokens.repartitionByRange(n, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids").withColumn("part", F.spark_partition_id())
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -11,7 +11,9 @@ exactly one arrives at each position.  The backward pass over the chosen arcs gi
 White space is kept: blanks become marks, one is put before a text; no piece goes from another character
 to a mark, so texts are cut there.  Characters without a piece become the pieces of their bytes.
 A null or empty text has no pieces.  Decoding turns pieces back into the text, without the mark put
-before; a text that holds the mark itself (U+2581) comes back with blanks in its place.
+before; a text that holds the mark itself (U+2581) comes back with blanks in its place.  Equal texts, repeated
+rows too, get equal pieces; ties between merges go to the left one, as in the library; texts of any length are
+encoded whole; an empty table gives an empty result; columns other than doc_id and text (ids) are not read.
 """
 
 from __future__ import annotations

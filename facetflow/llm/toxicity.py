@@ -1,17 +1,22 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's different words (lower-cased runs of letters) and their openings of 4 and 5 letters,
-hashed to 32 bits.  Terms that tell the classes apart are kept, and a factorization machine learns a
-weight and a vector for each: the score is a logistic function of the sum of weights and of all pairs'
-inner products, so that, say, an insult beside the name of a group may count for more than both alone.
+hashed to 32 bits.  A factorization machine learns a weight and a vector for each kept term: the score is a
+logistic function of the sum of weights and of all pairs' inner products, so that, say, an insult beside
+the name of a group may count for more than both alone.
+
+Kept are terms that tell the classes apart by themselves (chi-squared at least LEAST_GAIN, the KEPT_TERMS best:
+noise, and weak terms beyond them, have no part in a score), and common terms that do so only in pairs: where
+documents with both differ from what the two terms' own rates add up to.
 
 The model is fitted on a bounded sample: at most about SAMPLE labelled documents outside the held-out
-quarter, chosen by a hash of the id; executors count terms, and the driver gets the kept terms of the
+quarter, chosen by a hash of the id; executors count terms, and the driver gets the terms in question of the
 sample.  Every document is scored by its whole text.
 
 Defined results: a null or empty text has no terms and gets the score of the bias alone; equal texts get
-equal scores; without labelled rows of both classes every score is 0; columns other than doc_id and text
-(in labels: doc_id and toxic) are not read; a doc_id with several labels counts once for each.
+equal scores; without labelled rows of both classes every score is 0; an empty table gives an empty result;
+texts of any length are scored whole (as sets of terms); columns other than doc_id and text (in labels: doc_id
+and toxic) are not read; a doc_id with several labels counts once for each.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ KEPT_TERMS = 3000
 #: The least chi-squared statistic of a kept term: noise stays out.
 LEAST_GAIN = 15.0
 LEAST_DOCS = 5
+#: Terms of at least this share of documents that are tried in pairs, the COMMON_TERMS commonest; the strongest
+#: terms that join them; documents that a pair needs, and the least squared deviation from what its terms add up to.
+COMMON_SHARE, COMMON_TERMS, STRONG_TERMS = 0.01, 1000, 200
+PAIR_DOCS, PAIR_GAIN = 20, 40.0
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -132,6 +141,26 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
     return bias, weights[:-1], factors[:-1]
 
 
+def paired_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Terms (0 .. n_terms - 1) that some other term brings out: the rate of documents with both is far from
+    what the log odds of both add up to."""
+    both, bad = np.zeros((n_terms, n_terms), dtype=np.float32), np.zeros((n_terms, n_terms), dtype=np.float32)
+    for k in range(0, len(rows), 1000):
+        x = np.zeros((min(1000, len(rows) - k), n_terms), dtype=np.float32)
+        for i, own in enumerate(rows[k : k + 1000]):
+            x[i, own[own < n_terms]] = 1
+        both += x.T @ x
+        bad += (x * labels[k : k + 1000, None].astype(np.float32)).T @ x
+    rate = float(labels.mean())
+    odds = lambda p: np.log(p / (1 - p))
+    own = odds((np.diag(bad) + rate) / (np.diag(both) + 1))
+    expected = np.clip(1 / (1 + np.exp(-(own[:, None] + own[None, :] - odds(rate)))), 1e-4, 1 - 1e-4)
+    gain = (bad - both * expected) ** 2 / np.maximum(both * expected * (1 - expected), 1e-6)
+    gain[both < PAIR_DOCS] = 0
+    np.fill_diagonal(gain, 0)
+    return np.flatnonzero(gain.max(axis=1, initial=0) >= PAIR_GAIN)
+
+
 def best_shift(z: np.ndarray, labels: np.ndarray) -> float:
     """What to add to logits so that THRESHOLD parts the classes with the best F1 on these documents."""
     order = np.argsort(-z)
@@ -175,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     expected = F.col("n") * (bad / total)
     gain = (F.col("toxic") - expected) * (F.col("toxic") - expected) / (expected * (1 - bad / total)) / (1.0001 - F.col("n") / total)
     best = counts.where(f"term >= 0 and n >= {LEAST_DOCS}").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(KEPT_TERMS).collect()
-    kept = {r["term"]: i for i, r in enumerate(best)}
+    common = counts.where((F.col("term") >= 0) & (F.col("n") >= max(LEAST_DOCS, COMMON_SHARE * total)) & (F.col("n") <= 0.9 * total)).orderBy(F.desc("n"), "term").limit(COMMON_TERMS).collect()
+    # those tried in pairs come first: the strongest and the common ones
+    tried = list(dict.fromkeys(r["term"] for r in [*best[:STRONG_TERMS], *common]))
+    kept = {t: i for i, t in enumerate(dict.fromkeys([*tried, *(r["term"] for r in best)]))}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(kept)
@@ -186,6 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     seen = texts.mapInArrow(select, "doc_id long, toxic int, terms array<long>").toPandas().sort_values(["doc_id", "toxic"])
     rows = [np.asarray(x, dtype=np.int64) for x in seen["terms"]]
     y = seen["toxic"].to_numpy(dtype=float)
+    wanted = {r["term"] for r in best} | {tried[i] for i in paired_terms(rows, y, len(tried))}
+    place = np.full(len(kept) + 1, -1)
+    for i, t in enumerate(t for t in kept if t in wanted):
+        place[kept[t]] = i
+    kept = {t: int(place[i]) for t, i in kept.items() if t in wanted}
+    rows = [np.sort(place[own][place[own] >= 0]) for own in rows]
     # a fifth is kept apart to place the threshold
     apart = np.array([zlib.crc32(f"{d} apart".encode()) % 5 == 0 for d in seen["doc_id"]])
     if not (y[~apart].any() and y[apart].any()):

@@ -295,20 +295,20 @@ def test_a_passage_in_every_document_meets_in_two_steps(spark, small_blocks):
     hot, width = substring.hot_minimisers(df, 4)
     assert len(hot) and width == 4
     parts = 5
-    once = substring._settled(substring.super_kmers(df, 48, hot, parts), 4, True)
+    once = substring._settled(substring.super_kmers(df, 48, hot, parts), 4, 48, False)
 
     def strings(frame):
         out = {}
+        window = " ".join(passage[3:23]).encode()
         for r in frame.where("doc_id is null").collect():
             raw = zstandard.ZstdDecompressor().decompress(r["data"])
             n = int.from_bytes(raw[:8], "little")
             for x in raw[8 + 16 * n :].split(b"\n"):
-                out[x] = out.get(x, 0) + 1
-        return out
+                out[r["bucket"]] = out.get(r["bucket"], 0) + (window in x)
+        return max(out.values())
 
-    window = " ".join(passage[3:23]).encode()
-    assert strings(substring.super_kmers(df, 48, hot, parts).where("part is not null"))[window] == 80
-    assert 1 <= strings(once)[window] <= parts
+    assert strings(substring.super_kmers(df, 48, hot, parts).where("part is not null")) == 80
+    assert 1 <= strings(once) <= parts
     found = by_id(substring.digest(df, substring.find(df, spark)))
     expected = brute_substring([t for _, t in rows])
     assert all(found[i]["n_removed"] == expected[i][1] >= 26 * (i > 0) for i, _ in rows)
@@ -696,3 +696,29 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit(d, y.where("toxic = 0")) is None and toxicity.fit(d, y.limit(0)) is None
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(none, model).count() == 0
+
+
+def test_logits_are_sums_over_pairs():
+    """The shortcut by squares against every pair by itself."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model({}, -0.3, rng.normal(size=30), rng.normal(size=(30, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(30, n, replace=False)) for n in (0, 1, 2, 7, 30)]
+    for own, z in zip(rows, toxicity.logits(model, rows), strict=True):
+        pairs = sum(model.factors[i] @ model.factors[j] for x, i in enumerate(own) for j in own[x + 1 :])
+        assert abs(z - (model.bias + sum(model.weights[i] for i in own) + pairs)) < 1e-9
+
+
+def test_only_the_pair_tells(spark):
+    """Toxic if just one of two words occurs: neither has a signal of its own, and no sum of weights can tell."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(1600):
+        own = words(rng, 25)
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(own + ["insultword"] * one + ["groupname"] * two)))
+        labels.append((i, int(one != two)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = by_id(toxicity.score(d, toxicity.fit(d, y)))
+    truth = dict(labels)
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([found[i]["predicted"] == truth[i] for i in held]) > 0.95
