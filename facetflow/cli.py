@@ -1,31 +1,41 @@
 """Command line: simplify, compare, report and render OBJ files.
 
+Errors are told on one line of the error stream, and the exit code is 1.
+
 python -m facetflow.cli simplify IN OUT TARGET [THREADS] [--mode M] [--threads N] [--partitions N]
     [--batch-size N] [--repartition-every N] [--stats-out FILE]
 python -m facetflow.cli compare REFERENCE CANDIDATE [--output FILE]
 python -m facetflow.cli report LOG
+python -m facetflow.cli render OBJ OUT.pgm [--mesh NAME] [--projection P] [--width N] [--height N] [--padding N]
 """
 
 from __future__ import annotations
 
 import argparse
-import csv
 import sys
 import time
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.operators import quality, report
+from facetflow.operators import quality, raster, report, tables
 from facetflow.plans.options import BATCH, SEQUENTIAL, SimplifyOptions, check_paths, parse_count, parse_fraction
 from facetflow.plans.simplify import simplify
 from facetflow.sources import obj, sweep_log
 
 
+class _Parser(argparse.ArgumentParser):
+    def error(self, message: str) -> None:
+        raise ValueError(f"{message}; {self.format_usage().strip()}")
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="facetflow", allow_abbrev=False)
-    commands = top.add_subparsers(dest="command", required=True)
+    # Names of commands and flags, and defaults.
+    top = _Parser(prog="facetflow", allow_abbrev=False)
+    commands = top.add_subparsers(dest="command", required=True, parser_class=_Parser)
     s = commands.add_parser("simplify", allow_abbrev=False)
     s.add_argument("input")
     s.add_argument("output")
@@ -45,17 +55,48 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--output")
     r = commands.add_parser("report", allow_abbrev=False)
     r.add_argument("log")
+    p = commands.add_parser("render", allow_abbrev=False)
+    p.add_argument("input")
+    p.add_argument("output")
+    p.add_argument("--mesh")
+    # = is needed before a view that begins with a sign
+    p.add_argument("--projection", choices=(raster.AUTO, *raster.PROJECTIONS), default=raster.AUTO)
+    for name, default in (("--width", 900), ("--height", 700), ("--padding", 35)):
+        p.add_argument(name, type=parse_count, default=default)
     return top
 
 
-def write_rows(path: str, header: list[str], rows: list) -> None:
+def quoted(value: object) -> str:
+    """A CSV field: text always in quotes, inner ones doubled; numbers bare, nothing for None."""
+    if value is None:
+        return ""
+    return '"' + value.replace('"', '""') + '"' if isinstance(value, str) else f"{value:.17g}" if isinstance(value, float) else str(value)
+
+
+def write_rows(path: str, header: list[str], rows: list, bare: tuple[int, ...] = ()) -> None:
+    """A CSV file; columns numbered in bare hold fixed words, which are not quoted."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", encoding="utf-8", newline="") as out:
-        csv.writer(out).writerows([header, *rows])
+        out.write(",".join(header) + "\n")
+        for row in rows:
+            out.write(",".join(str(v) if i in bare else quoted(v) for i, v in enumerate(row)) + "\n")
+
+
+def write_picture(pixels: list, width: int, height: int, path: str) -> None:
+    """Pixels as a grey picture (binary PGM), blank where there are none: at most width x height of them."""
+    grey = bytearray([raster.BLANK]) * (width * height)
+    for x, y, color in pixels:
+        grey[y * width + x] = color
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_bytes(f"P5 {width} {height} 255\n".encode() + bytes(grey))
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
-    a = parser().parse_args(argv)
+    with tables.scope(spark):
+        return _run(spark, parser().parse_args(argv))
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "simplify":
         check_paths(a.input, a.output)
         options = SimplifyOptions(a.target, a.threads_ or a.threads, a.mode, a.partitions, a.batch_size, a.repartition_every)
@@ -76,7 +117,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         if a.stats_out:
             paths = [("metadata", "run", "input_path", None, a.input), ("metadata", "run", "output_path", None, a.output)]
             times = [("phase", "total", k, v, None) for k, v in took.items() if k != "simplification_seconds"]
-            write_rows(a.stats_out, ["kind", "scope", "name", "numeric_value", "text_value"], done.stats[:1] + paths + done.stats[1:] + times)
+            write_rows(a.stats_out, ["kind", "scope", "name", "numeric_value", "text_value"], done.stats[:1] + paths + done.stats[1:] + times, bare=(0,))
     elif a.command == "compare":
         pair = []
         for path in (a.reference, a.candidate):
@@ -87,6 +128,16 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             print(*row)
         if a.output:
             write_rows(a.output, ["scope", "name", "value"], [tuple(r) for r in rows])
+    elif a.command == "render":
+        view = a.projection
+        name = a.mesh or Path(a.input).stem.split("_r")[0]
+        turn = raster.DEFAULT_ROTATIONS.get(name, "none") if view == raster.AUTO else "none"
+        view = raster.DEFAULT_PROJECTIONS.get(name, "xz") if view == raster.AUTO else view
+        s = obj.read_obj(spark, a.input, "permissive")
+        pixels, width, height = raster.rasterize(s.vertices, s.faces, view, a.width, a.height, a.padding), a.width, a.height
+        if turn == "ccw":
+            pixels, width, height = raster.turned_left(pixels, width), height, width
+        write_picture([tuple(r) for r in pixels.select("px", "py", "color").toLocalIterator()], width, height, a.output)
     else:
         text = obj.read_lines(spark, a.log).withColumnRenamed("mesh_id", "log_id")
         runs = sweep_log.sessions(text).drop("log_id")
@@ -96,13 +147,16 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     return 0
 
 
-def main() -> int:
-    spark = SparkSession.builder.appName("facetflow").getOrCreate()
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    spark = spark or SparkSession.builder.appName("facetflow").getOrCreate()
     try:
-        return run(spark, sys.argv[1:])
+        return run(spark, sys.argv[1:] if argv is None else argv)
+    except (PySparkException, Py4JJavaError) as e:  # a missing file, or a line that a source refuses
+        text = str(getattr(e, "java_exception", e)).strip()
+        print(f"error: {text.splitlines()[0]}", file=sys.stderr)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
-        return 1
+    return 1
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetflow.operators.tables import stored
+
 #: The least span that slabs are cut from.
 LEAST_SPAN = 1e-12
 
@@ -24,7 +26,8 @@ def slab_partitions(vertices: DataFrame, parts: int) -> DataFrame:
     bounds = box.select("mesh_id", "axis", pick("min_").alias("low"), F.greatest(pick("max_") - pick("min_"), F.lit(LEAST_SPAN)).alias("span"), F.least(F.lit(parts), F.col("n")).alias("p"))
     share = F.least(F.greatest((pick("") - F.col("low")) / F.col("span"), F.lit(0.0)), F.lit(1.0))
     part = F.least(F.col("p") - 1, F.floor(share * F.col("p"))).cast("int")
-    # one row a mesh: small next to its vertices
+    # one row a mesh, stored: the join knows its size, and sends it to the vertices while it is small
+    bounds = stored(bounds, "bounds")
     return vertices.join(bounds, "mesh_id").select("mesh_id", "vid", part.alias("part"))
 
 
@@ -35,11 +38,11 @@ def partition_counts(parts: DataFrame) -> DataFrame:
 def edge_classes(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """edges(mesh_id, hi, lo, o1, o0, ...) with part: that of all four corners, null (boundary) where they
     differ or one has none, as vertices made since the last partitioning."""
-    out = edges
-    for k in ("hi", "lo", "o1", "o0"):
-        out = out.join(parts.select("mesh_id", F.col("vid").alias(k), F.col("part").alias(f"_{k}")), ["mesh_id", k], "left")
-    same = (F.col("_hi") == F.col("_lo")) & (F.col("_hi") == F.col("_o1")) & (F.col("_hi") == F.col("_o0"))
-    return out.select(*edges.columns, F.when(same, F.col("_hi")).alias("part"))
+    corners = edges.select(*edges.columns, F.explode(F.array("hi", "lo", "o1", "o0")).alias("_v"))
+    known = corners.join(parts.select("mesh_id", F.col("vid").alias("_v"), F.col("part").alias("_p")), ["mesh_id", "_v"], "left")
+    seen = known.groupBy(*edges.columns).agg(F.min("_p").alias("_least"), F.max("_p").alias("_most"), F.count("_p").alias("_n"))
+    same = (F.col("_n") == 4) & (F.col("_least") == F.col("_most"))
+    return seen.select(*edges.columns, F.when(same, F.col("_least")).alias("part"))
 
 
 def class_counts(classified: DataFrame) -> DataFrame:

@@ -33,7 +33,10 @@ def vertex_quadrics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def edge_candidates(edges: DataFrame, vertices: DataFrame, quadrics: DataFrame) -> DataFrame:
-    """edges(mesh_id, hi, lo, ...) with the best point px, py, pz of each and its cost."""
+    """edges(mesh_id, hi, lo, ...) with the best point px, py, pz of each and its cost.
+
+    An end without a place or a quadric is an error when the cost is used.
+    """
     known = vertices.join(quadrics, ["mesh_id", "vid"])
 
     def side(end: str, prefix: str) -> DataFrame:
@@ -41,11 +44,13 @@ def edge_candidates(edges: DataFrame, vertices: DataFrame, quadrics: DataFrame)
         return known.select("mesh_id", F.col("vid").alias(end), *(F.col(c).alias(prefix + c) for c in columns))
 
     q = M.add_quadrics(M.quadric("a_q_"), M.quadric("b_q_"))
-    joined = edges.join(side("hi", "a_"), ["mesh_id", "hi"]).join(side("lo", "b_"), ["mesh_id", "lo"])
+    joined = edges.join(side("hi", "a_"), ["mesh_id", "hi"], "left").join(side("lo", "b_"), ["mesh_id", "lo"], "left")
     p = M.best_point(q, M.vec("a_"), M.vec("b_"))
     priced = joined.withColumns({"px": p[0], "py": p[1], "pz": p[2]})
     cost = M.quadric_error(q, (F.col("px"), F.col("py"), F.col("pz")))
-    return priced.select(*edges.columns, "px", "py", "pz", cost.alias("cost"))
+    lost = F.col("a_q_aa").isNull() | F.col("b_q_aa").isNull()
+    message = F.concat(F.lit("no quadric for an end of edge "), F.col("hi").cast("string"), F.lit(", "), F.col("lo").cast("string"))
+    return priced.select(*edges.columns, "px", "py", "pz", F.when(lost, F.raise_error(message)).otherwise(cost).alias("cost"))
 
 
 def rank_of() -> Column:

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
+from facetflow.operators.tables import stored
 
 BLANK = 255
 #: Width and height of a picture, and its margin, where none are given.
 SIDE, PADDING = 512, 24
 SPLAT = 45
 LEAST_SPAN = 1e-12
+# How a known mesh is looked at, and turned, where nothing else is asked for.
+PROJECTIONS = ("xy", "-xy", "xz", "-xz", "yz", "-yz")
+AUTO = "auto"
+DEFAULT_PROJECTIONS = {"bunny": "xy", "buddha": "-xy", "dragon": "yz"}
+DEFAULT_ROTATIONS: dict[str, str] = {"dragon": "ccw"}
 #: Depth is compared after rounding, so that results don't depend on the order of operations.
 DEPTH_DIGITS = 9
 
@@ -23,6 +29,22 @@ def project(projection: str, x: Column, y: Column, z: Column) -> tuple[Column, C
     return u, v, -depth if projection.startswith("-") else depth
 
 
+def projection_of(mesh: Column, asked: str = AUTO) -> Column:
+    """What is asked for, or by default a mesh's own view, xz for unknown ones."""
+    own = F.lit(None)
+    for name, view in DEFAULT_PROJECTIONS.items():
+        own = F.when(mesh == name, view).otherwise(own)
+    return F.coalesce(own, F.lit("xz")) if asked == AUTO else F.lit(asked)
+
+
+def rotation_of(mesh: Column, asked: str = AUTO) -> Column:
+    """A mesh's own rotation where its default view is shown, else none."""
+    own = F.lit(None)
+    for name, turn in DEFAULT_ROTATIONS.items():
+        own = F.when(mesh == name, turn).otherwise(own)
+    return F.coalesce(own, F.lit("none")) if asked == AUTO else F.lit("none")
+
+
 def raster_points(vertices: DataFrame, projection: str, width: int, height: int, padding: int = 0) -> DataFrame:
     """(mesh_id, vid, px, py, depth): fitted to the picture with one scale, centred, y downwards."""
     u, v, depth = project(projection, *M.vec())
@@ -31,6 +53,7 @@ def raster_points(vertices: DataFrame, projection: str, width: int, height: int,
     su, sv = (F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(LEAST_SPAN)) for c in "uv")
     scale = F.least(F.lit(float(max(width - 2 * padding, 1))) / su, F.lit(float(max(height - 2 * padding, 1))) / sv)
     fit = box.select("mesh_id", "u0", "v0", scale.alias("scale"), ((width - su * scale) / 2).alias("left"), ((height - sv * scale) / 2).alias("low"))
+    fit = stored(fit, "fit")  # a row a mesh: the join knows its size
     px = F.col("left") + (F.col("u") - F.col("u0")) * F.col("scale")
     py = height - (F.col("low") + (F.col("v") - F.col("v0")) * F.col("scale"))
     return flat.join(fit, "mesh_id").select("mesh_id", "vid", px.alias("px"), py.alias("py"), "depth")
@@ -84,5 +107,6 @@ def turned_left(pixels: DataFrame, width: int) -> DataFrame:
 def centred(vertices: DataFrame) -> DataFrame:
     """Vertices around their mean, the widest extent scaled to 1 (unless it is zero)."""
     box = vertices.groupBy("mesh_id").agg(*(F.avg(k).alias(f"m{k}") for k in "xyz"), F.greatest(*(F.max(k) - F.min(k) for k in "xyz")).alias("span"))
+    box = stored(box, "box")
     over = F.when(F.col("span") > 0, F.col("span")).otherwise(1.0)
     return vertices.join(box, "mesh_id").select("mesh_id", "vid", *(((F.col(k) - F.col(f"m{k}")) / over).alias(k) for k in "xyz"))

@@ -62,6 +62,11 @@ CTES: dict[str, tuple[str, str]] = {
       FROM ev WINDOW o AS (PARTITION BY log_id ORDER BY line_no)"""),
     "sess": ("pairs", "SELECT log_id, mode, mesh, target, threads, arg_max(seconds, line_no) AS seconds FROM pairs WHERE kind = 'time' AND has_run GROUP BY ALL"),
     "runs": ("sess", "SELECT log_id, mode, mesh, target, threads, seconds FROM sess"),
+    "files": ("", """SELECT 'out/' || o_orderkey || '/' || (['bunny', 'buddha', 'dragon'])[(o_orderkey // 3) % 3 + 1] || '_r' || (['25', '10', '1', '0p5'])[(o_orderkey // 5) % 4 + 1] || '_t' || ([1, 2, 4, 8, 16])[(o_orderkey // 7) % 5 + 1]
+      || CASE WHEN o_orderkey % 9 = 0 THEN '.ply' ELSE '.obj' END AS path FROM orders"""),
+    "outputs": ("files", r"""SELECT regexp_extract(path, '([^/]+)_r[0-9p]+_t[0-9]+\.obj$', 1) AS mesh, replace(regexp_extract(path, '_r([0-9]+(p[0-9]+)?)_t[0-9]+\.obj$', 1), 'p', '.') AS target,
+      CAST(regexp_extract(path, '_t([0-9]+)\.obj$', 1) AS INTEGER) AS threads, path FROM files WHERE path LIKE '%.obj'"""),
+    "tile": ("faces w", "SELECT 'tile-' || (((fid // 2) // w) // 32) || '-' || (((fid // 2) % w) // 32) AS mesh_id, fid, v0, v1, v2 FROM faces, w"),
     "matrix": ("", "SELECT * FROM (SELECT unnest(" + str(report.MODES) + ") AS mode), (SELECT unnest(" + str(report.MESHES) + ") AS mesh), (SELECT unnest(" + str(report.TARGETS) + ") AS target), (SELECT unnest(" + str(report.THREADS) + ") AS threads)"),
 }
 
@@ -271,6 +276,17 @@ def oracle_sql() -> dict[str, str]:
         **{f"customer_{name}": text for name, text in _reports(pivot, "c_lines", "c_runs").items() if name.startswith("missing")},
         "customer_missing_names": sql("c_runs", " UNION ALL ".join(f"SELECT r.log_id, r.mode, '{kind}' AS kind, e.value FROM (SELECT DISTINCT log_id, mode FROM c_runs) r, (SELECT unnest({[str(v) for v in values]}) AS value) e WHERE NOT EXISTS (SELECT 1 FROM c_runs x WHERE x.log_id = r.log_id AND x.mode = r.mode AND CAST(x.{kind} AS VARCHAR) = e.value)" for kind, values in (("target", report.TARGETS), ("mesh", report.MESHES), ("threads", report.THREADS)))),
         "sweep_progress": sql("matrix pairs", "SELECT m.*, count(p.line_no) AS n FROM matrix m LEFT JOIN (SELECT * FROM pairs WHERE kind = 'time' AND has_run) p ON m.mode = p.mode AND m.mesh = p.mesh AND m.target = p.target AND m.threads = p.threads GROUP BY ALL"),
+        "obj_polygon_faces": sql("faces", "SELECT * FROM faces"),
+        "named_outputs": sql("outputs", "SELECT * FROM outputs"),
+        "outputs_with_originals": sql("outputs", """, o AS (SELECT mesh, target, threads, min(path) AS path FROM outputs WHERE mesh <> 'dragon' GROUP BY ALL)
+          SELECT * FROM o UNION ALL SELECT m.mesh, '100', coalesce(t.threads, 1), m.mesh || '.obj' FROM (SELECT unnest(['bunny', 'buddha', 'dragon']) AS mesh) m LEFT JOIN (SELECT DISTINCT mesh, threads FROM o) t ON m.mesh = t.mesh"""),
+        "render_jobs": sql("outputs", "SELECT mesh, target, threads, path, CASE mesh WHEN 'buddha' THEN '-xy' ELSE 'yz' END AS projection, CASE mesh WHEN 'dragon' THEN 'ccw' ELSE 'none' END AS rotation FROM outputs WHERE mesh <> 'bunny' AND target <> '25'"),
+        "tile_counts": sql("tile", """SELECT mesh_id, v, e, f, v - e + f AS chi FROM (SELECT mesh_id, count(*) AS f FROM tile GROUP BY mesh_id) JOIN (SELECT mesh_id, count(DISTINCT u) AS v FROM (SELECT mesh_id, unnest([v0, v1, v2]) AS u FROM tile) GROUP BY mesh_id) USING (mesh_id)
+          JOIN (SELECT mesh_id, count(*) AS e FROM (SELECT mesh_id, v0 AS p, v1 AS q FROM tile UNION SELECT mesh_id, least(v1, v2), greatest(v1, v2) FROM tile UNION SELECT mesh_id, v0, v2 FROM tile) GROUP BY mesh_id) USING (mesh_id)"""),
+        # every collapse of a closed surface takes a vertex, three edges and two faces
+        "simplify_invariants": sql("s_vertices s_faces", """, n AS (SELECT (SELECT count(*) FROM s_vertices) AS v, (SELECT count(*) FROM s_faces) AS f),
+          m AS (SELECT v, f, v - CAST(greatest(1, ceil(CAST(0.7 AS DOUBLE) * v)) AS BIGINT) AS k FROM n)
+          SELECT 'shell' AS mesh_id, v - k AS v, f * 3 // 2 - 3 * k AS e, f - 2 * k AS f, v - f // 2 AS chi, CAST(0 AS BIGINT) AS rim FROM m"""),
         "thread_counts": sql("ev", "SELECT DISTINCT threads FROM ev WHERE threads IS NOT NULL"),
         "first_seen_targets": sql("ev", "SELECT target, min(line_no) AS line_no FROM ev WHERE target IS NOT NULL GROUP BY target"),
     }

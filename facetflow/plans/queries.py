@@ -157,16 +157,18 @@ def obj_lines(s: SparkSession, d: str) -> DataFrame:
     """The terrain as OBJ text: comments, other tags, scientific numbers, slashes, negative and flat faces."""
     n = grid_side(s, d) ** 2
     t = terrain(s, d)
+    vertices = stored(t.vertices, "vertices")
+    faces = surfaces.grid_faces(vertices, grid_side(s, d))
     whole = lambda c: F.col(c).cast("long").cast("string")
-    v = t.vertices.select("mesh_id", F.col("vid").alias("line_no"), F.concat(F.lit("  v  "), whole("x"), F.lit("\t"), whole("y"), F.lit(" "), F.round(F.col("z") * 10, 0).cast("int").cast("string"), F.lit("e-1\r")).alias("line"))
+    v = vertices.select("mesh_id", F.col("vid").alias("line_no"), F.concat(F.lit("  v  "), whole("x"), F.lit("\t"), whole("y"), F.lit(" "), F.round(F.col("z") * 10, 0).cast("int").cast("string"), F.lit("e-1\r")).alias("line"))
     one, back = (lambda c: (F.col(c) + 1).cast("string")), (lambda c: (F.col(c) - n).cast("string"))
     even = F.concat(F.lit("f "), one("v0"), F.lit("/7/7 "), one("v1"), F.lit("//2 "), one("v2"))
     odd = F.concat(F.lit("f "), back("v0"), F.lit(" "), back("v1"), F.lit(" "), back("v2"), F.lit("x"))
-    f = t.faces.select("mesh_id", (F.col("fid") * 4 + n).alias("line_no"), F.when(F.col("fid") % 2 == 0, even).otherwise(odd).alias("line"))
-    again = t.faces.select("mesh_id", (F.col("fid") * 4 + n + 1).alias("line_no"), F.concat(F.lit("f "), one("v0"), F.lit(" "), one("v2"), F.lit(" "), one("v1")).alias("line"))
-    flat = t.faces.select("mesh_id", (F.col("fid") * 4 + n + 2).alias("line_no"), F.concat(F.lit("f "), one("v0"), F.lit(" "), one("v0"), F.lit(" "), one("v1")).alias("line"))
-    noise = t.faces.select("mesh_id", (F.col("fid") * 4 + n + 3).alias("line_no"), F.when(F.col("fid") % 3 == 0, "# f 1 2").otherwise("vn 0 0 1").alias("line"))
-    return v.union(f).union(again).union(flat).union(noise)
+    again = F.concat(F.lit("f "), one("v0"), F.lit(" "), one("v2"), F.lit(" "), one("v1"))
+    flat = F.concat(F.lit("f "), one("v0"), F.lit(" "), one("v0"), F.lit(" "), one("v1"))
+    noise = F.when(F.col("fid") % 3 == 0, "# f 1 2").otherwise("vn 0 0 1")
+    own = [F.when(F.col("fid") % 2 == 0, even).otherwise(odd), again, flat, noise]
+    return v.union(faces.select("mesh_id", F.inline(F.array(*(F.struct((F.col("fid") * 4 + n + i).alias("line_no"), c.alias("line")) for i, c in enumerate(own))))))
 
 
 def obj_vertices(s, d):
@@ -183,6 +185,16 @@ def obj_permissive_faces(s, d):
     return obj.parse(lines, "permissive").faces
 
 
+def obj_polygon_faces(s, d):
+    """The terrain's cells as faces of four corners, cut into fans."""
+    t = terrain(s, d)
+    w = grid_side(s, d)
+    v = t.vertices.select("mesh_id", F.col("vid").alias("line_no"), F.concat_ws(" ", F.lit("v"), *(F.col(k).cast("string") for k in "xyz")).alias("line"))
+    at = lambda k: (F.col("v0") + k + 1).cast("string")
+    f = t.faces.where("fid % 2 = 0").select("mesh_id", (F.floor(F.col("fid") / 2) + w * w).alias("line_no"), F.concat_ws(" ", F.lit("f"), at(0), at(1), at(w + 1), at(w)).alias("line"))
+    return obj.parse(v.union(f), "polygons").faces
+
+
 def obj_export(s, d):
     """The terrain without its low vertices, and so without their faces."""
     t = terrain(s, d)
@@ -223,7 +235,22 @@ def simplify_batch(s, d):
 
 
 def simplify_sequential(s, d):
-    return _rounded(simplify(terrain(s, d), SimplifyOptions(0.5, mode="sequential")).surface.vertices, "x", "y", "z")
+    """Edge by edge to half of the vertices, every tile of the terrain by itself."""
+    return _rounded(simplify(surfaces.tiles(s, d), SimplifyOptions(0.5, mode="sequential")).surface.vertices, "x", "y", "z")
+
+
+def simplify_invariants(s, d):
+    """Vertices, edges, faces and Euler characteristic of the shell simplified in rounds, and its open edges."""
+    done = simplify(shell(s, d), SimplifyOptions(0.7, threads=PARTS)).surface
+    rim = topology.boundary_edges(topology.half_edges(done.faces)).groupBy("mesh_id").agg(F.count("*").alias("rim"))
+    counts = topology.euler_characteristic(done.vertices, done.faces).join(rim, "mesh_id", "left")
+    return counts.withColumn("rim", F.coalesce("rim", F.lit(0).cast("long")))
+
+
+def tile_counts(s, d):
+    """Vertices and faces of each tile of the terrain."""
+    t = surfaces.tiles(s, d)
+    return topology.euler_characteristic(t.vertices, t.faces)
 
 
 def simplify_stats(s, d):
@@ -386,6 +413,32 @@ def customer_missing_names(s, d):
     return report.missing_names(customer_sessions(s, d), BY_LOG)
 
 
+def _outputs(s: SparkSession, d: str) -> DataFrame:
+    """Files of simplified meshes, a name for each order; some names are none."""
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values)).cast("int") + 1)
+    label = F.translate(F.rtrim(F.translate(pick(report.TARGETS, 5), "%", " ")), ".", "p")
+    name = F.concat(F.lit("out/"), k.cast("string"), F.lit("/"), pick(report.MESHES, 3), F.lit("_r"), label, F.lit("_t"), pick(report.THREADS, 7).cast("string"), F.when(k % 9 == 0, ".ply").otherwise(".obj"))
+    return s.read.parquet(f"{d}/orders.parquet").select(name.alias("path"))
+
+
+def named_outputs(s, d):
+    return obj.named_outputs(_outputs(s, d))
+
+
+def outputs_with_originals(s, d):
+    """Outputs of two meshes, each once, and the originals of three, two of which have thread counts to go by."""
+    found = obj.named_outputs(_outputs(s, d)).where("mesh <> 'dragon'").groupBy("mesh", "target", "threads").agg(F.min("path").alias("path"))
+    originals = s.read.parquet(f"{d}/orders.parquet").select(F.element_at(F.array(*map(F.lit, report.MESHES)), (F.col("o_orderkey") % 3).cast("int") + 1).alias("mesh")).distinct().select("mesh", F.concat("mesh", F.lit(".obj")).alias("path"))
+    return obj.add_originals(found, originals)
+
+
+def render_jobs(s, d):
+    """Pictures of two meshes at all targets but one, with the view and the turn of each."""
+    jobs = report.render_jobs(obj.named_outputs(_outputs(s, d)), report.MESHES[1:], report.THREADS, [t.rstrip("%") for t in report.TARGETS[1:]])
+    return jobs.select("mesh", "target", "threads", "path", raster.projection_of(F.col("mesh")).alias("projection"), raster.rotation_of(F.col("mesh")).alias("rotation"))
+
+
 def thread_counts(s, d):
     return report.thread_counts(sweep_log.events(log_lines(s, d)).where("threads is not null"))
 
@@ -420,6 +473,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     raster_turned, centred_vertices, stride_sample, log_sessions, log_warnings, speedups, time_pivot, missing_runs, missing_baselines, sweep_progress, target_order,
     first_seen_targets, log_speedups, log_time_pivot, log_missing_runs, log_missing_baselines, log_target_order,
     customer_missing_runs, customer_missing_baselines, customer_missing_names, thread_counts,
+    obj_polygon_faces, simplify_invariants, tile_counts, named_outputs, outputs_with_originals, render_jobs,
     raster_zbuffer_full, render_disagreement_full, raster_turned_full,
 ]
 

@@ -13,22 +13,30 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators.quadrics import corners
-from facetflow.operators.tables import numbered, running_sum
+from facetflow.operators.tables import numbered, running_sum, stored
 from facetflow.sources.surfaces import Surface, turned
 
 MODES = ("strict", "permissive", "polygons")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(mesh_id, line_no, line) of the files at path; the mesh is named after its file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """(mesh_id, line_no, line) of the files at path; the mesh is named after its file.
+
+    A file may be read in many blocks: lines are counted within a block, and blocks are placed by the counts
+    of those before them.  The rows are stored first, so that blocks stay as they were cut.
+    """
+    text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = stored(text, "lines")
+    counts = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(counts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")), "blocks")
     name = F.regexp_replace("file", r"\.obj$", "")
-    return text.select(name.alias("mesh_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    return rows.join(offsets, ["file", "block"]).select(name.alias("mesh_id"), (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def _fail(bad: Column, message: str, otherwise: Column) -> Column:
@@ -53,7 +61,8 @@ def _corner(token: Column, seen: Column, strict: bool) -> Column:
 
 
 def parse(lines: DataFrame, mode: str = "strict") -> Surface:
-    """The surface that lines(mesh_id, line_no, line) describe; a face's fid follows its line."""
+    """The surface that lines(mesh_id, line_no, line) describe; a face's fid is its line, or, of polygons, its
+    number in the order of lines and corners."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     strict = mode == "strict"
@@ -72,9 +81,10 @@ def parse(lines: DataFrame, mode: str = "strict") -> Surface:
     vertices = counted.where(is_vertex).select("mesh_id", (F.col("seen") - 1).alias("vid"), *(c.alias(k) for c, k in zip(xyz, "xyz", strict=True)))
     faces = counted.where("tag = 'f'")
     if mode == "polygons":
-        faces = faces.where(size >= 4).withColumn("k", F.explode(F.sequence(F.lit(2), size - 2)))
+        faces = running_sum(faces.where(size >= 4), ["mesh_id"], "line_no", size - 3, "upto")
+        faces = faces.withColumn("k", F.explode(F.sequence(F.lit(2), size - 2)))
         picked = [F.get(F.col("t"), k) for k in (F.lit(1), F.col("k"), F.col("k") + 1)]
-        fid = F.col("line_no") * 1000 + F.col("k")
+        fid = F.col("upto") - size + 1 + F.col("k")
     else:
         faces = faces if strict else faces.where(size == 4)
         picked = [token(k) for k in (1, 2, 3)]
@@ -155,14 +165,20 @@ def write_obj_file(surface: Surface, path: str) -> None:
             out.write(row["line"] + "\n")
 
 
+NAME = r"([^/]+)_r([0-9]+(?:p[0-9]+)?)_t([0-9]+)\.obj$"
+
+
+def named_outputs(files: DataFrame, targets: list[str] | None = None) -> DataFrame:
+    """(mesh, target, threads, path) of files(path) named <mesh>_r<label>_t<threads>.obj, p for the decimal point."""
+    part = lambda k: F.regexp_extract("path", NAME, k)
+    found = files.where(F.col("path").rlike(NAME)).select(part(1).alias("mesh"), F.translate(part(2), "p", ".").alias("target"), part(3).cast("int").alias("threads"), "path")
+    return found.where(F.col("target").isin(targets)) if targets is not None else found
+
+
 def discover(spark: SparkSession, folder: str, targets: list[str] | None = None) -> DataFrame:
-    """(mesh, target, threads, path) of outputs named <mesh>_r<label>_t<threads>.obj, p for the decimal point."""
+    """named_outputs() of the files in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.obj").load(folder).select("path")
-    pattern = r"([^/]+)_r([0-9]+(?:p[0-9]+)?)_t([0-9]+)\.obj$"
-    found = files.where(F.col("path").rlike(pattern)).select(
-        F.regexp_extract("path", pattern, 1).alias("mesh"), F.translate(F.regexp_extract("path", pattern, 2), "p", ".").alias("target"), F.regexp_extract("path", pattern, 3).cast("int").alias("threads"), "path"
-    )
-    return found.where(F.col("target").isin(targets)) if targets is not None else found
+    return named_outputs(files, targets)
 
 
 def add_originals(outputs: DataFrame, originals: DataFrame) -> DataFrame:

@@ -43,12 +43,17 @@ def terrain(spark: SparkSession, sf_dir: str) -> Surface:
     row, column = F.floor(F.col("vid") / max(w, 1)).cast("long"), F.col("vid") % max(w, 1)
     grid = numbered(part, ["mesh_id"], "p_partkey", "vid").where(F.col("vid") < w * w)
     vertices = grid.select("mesh_id", "vid", column.cast("double").alias("x"), row.cast("double").alias("y"), (F.col("p_size") / 10.0).alias("z"))
+    return Surface(vertices, grid_faces(vertices, w))
+
+
+def grid_faces(vertices: DataFrame, w: int) -> DataFrame:
+    """Two faces for each cell of a grid of w x w vertices."""
     cells = vertices.where((F.col("x") < w - 1) & (F.col("y") < w - 1)).select("mesh_id", F.col("vid").alias("a"))
     corners = F.array(
         F.struct((F.col("a") * 2).alias("fid"), F.col("a").alias("v0"), (F.col("a") + 1).alias("v1"), (F.col("a") + w + 1).alias("v2")),
         F.struct((F.col("a") * 2 + 1).alias("fid"), F.col("a").alias("v0"), (F.col("a") + w + 1).alias("v1"), (F.col("a") + w).alias("v2")),
     )
-    return Surface(vertices, cells.select("mesh_id", F.inline(corners)))
+    return cells.select("mesh_id", F.inline(corners))
 
 
 def shell(spark: SparkSession, sf_dir: str) -> Surface:
@@ -72,3 +77,15 @@ def shell(spark: SparkSession, sf_dir: str) -> Surface:
     )
     faces = top.faces.union(under).union(walls).withColumn("mesh_id", F.lit("shell"))
     return Surface(vertices, turned(faces))
+
+
+def tiles(spark: SparkSession, sf_dir: str, side: int = 32) -> Surface:
+    """The terrain cut into meshes of side x side cells: as many meshes as the table asks for, none larger."""
+    whole = terrain(spark, sf_dir)
+    w = grid_side(spark, sf_dir)
+    at = F.col("fid") / 2  # twice the cell's corner
+    row, column = F.floor(F.floor(at) / max(w, 1) / side), F.floor(F.floor(at) % max(w, 1) / side)
+    name = F.concat_ws("-", F.lit("tile"), row.cast("string"), column.cast("string"))
+    faces = whole.faces.withColumn("mesh_id", name)
+    used = faces.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
+    return Surface(used.join(whole.vertices.drop("mesh_id"), "vid").select("mesh_id", "vid", "x", "y", "z"), faces)

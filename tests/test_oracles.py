@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(frame):
     out = []
     for row in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row))
+        # a column of integers with nulls comes as floats from one side only
+        out.append(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
     return sorted(out)
 
 
