@@ -134,11 +134,15 @@ _DRAWN: list[tuple] = []
 def _draws() -> tuple[np.ndarray, ...]:
     """Fixed random values: r and ln c (of Gamma(2, 1) variables), b uniform; a row for each hash."""
     if not _DRAWN:
-        u = (mix64(np.arange(5 * HASHES * DRAWS, dtype=np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / (1 << 53)
-        u = np.maximum(u, 1e-12).reshape(5, HASHES, DRAWS)
-        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
+        shape = (HASHES, DRAWS)
+        r, inverse, log_c, b = (np.empty(shape, dtype=np.float32) for _ in range(4))
+        for k in range(HASHES):  # one hash at a time, as a task's memory is small
+            at = (np.arange(5, dtype=np.uint64)[:, None] * np.uint64(HASHES) + np.uint64(k)) * np.uint64(DRAWS) + np.arange(DRAWS, dtype=np.uint64)
+            u = np.maximum((mix64(at + np.uint64(1)) >> np.uint64(11)).astype(float) / (1 << 53), 1e-12)
+            own = -np.log(u[0] * u[1])
+            r[k], inverse[k], log_c[k], b[k] = own, 1 / own, np.log(-np.log(u[2] * u[3])), u[4]
         multipliers = mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
-        _DRAWN.append((r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32), u[4].astype(np.float32), multipliers))
+        _DRAWN.append((r, inverse, log_c, b, multipliers))
     return _DRAWN[0]
 
 
