@@ -3,6 +3,11 @@
 Five stages, each over all that the one before kept, stored in between in the shared folder: documents
 whose language is known; one document of each group of near duplicates; texts without the passages that
 other documents brought before; texts without secrets; pieces of documents in packed sequences.
+
+Defined results, as the operators state them: rows with null or empty texts go in the first stage, as no
+language is known; rows without a doc_id are kept and take no part in what compares documents; of rows with
+equal doc_id and text one is left; an empty table gives no pieces; texts of any length are handled whole;
+other columns, whatever their names, are passed through to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from facetflow.llm import langid, minhash, packing, secrets, substring
-from facetflow.llm.common import stored
+from facetflow.operators.tables import discard, scope, stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, spark, f"stage-{name}")
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before = docs
+        with scope(spark) as keep:  # what a stage stores for itself goes with it
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(before)
     return docs

@@ -276,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
         **{f"customer_{name}": text for name, text in _reports(pivot, "c_lines", "c_runs").items() if name.startswith("missing")},
         "customer_missing_names": sql("c_runs", " UNION ALL ".join(f"SELECT r.log_id, r.mode, '{kind}' AS kind, e.value FROM (SELECT DISTINCT log_id, mode FROM c_runs) r, (SELECT unnest({[str(v) for v in values]}) AS value) e WHERE NOT EXISTS (SELECT 1 FROM c_runs x WHERE x.log_id = r.log_id AND x.mode = r.mode AND CAST(x.{kind} AS VARCHAR) = e.value)" for kind, values in (("target", report.TARGETS), ("mesh", report.MESHES), ("threads", report.THREADS)))),
         "sweep_progress": sql("matrix pairs", "SELECT m.*, count(p.line_no) AS n FROM matrix m LEFT JOIN (SELECT * FROM pairs WHERE kind = 'time' AND has_run) p ON m.mode = p.mode AND m.mesh = p.mesh AND m.target = p.target AND m.threads = p.threads GROUP BY ALL"),
-        "obj_polygon_faces": sql("faces", "SELECT * FROM faces"),
+        "obj_polygon_faces": sql("faces", "SELECT mesh_id, row_number() OVER (ORDER BY fid) - 1 AS fid, v0, v1, v2 FROM faces"),
         "named_outputs": sql("outputs", "SELECT * FROM outputs"),
         "outputs_with_originals": sql("outputs", """, o AS (SELECT mesh, target, threads, min(path) AS path FROM outputs WHERE mesh <> 'dragon' GROUP BY ALL)
           SELECT * FROM o UNION ALL SELECT m.mesh, '100', coalesce(t.threads, 1), m.mesh || '.obj' FROM (SELECT unnest(['bunny', 'buddha', 'dragon']) AS mesh) m LEFT JOIN (SELECT DISTINCT mesh, threads FROM o) t ON m.mesh = t.mesh"""),
