@@ -10,18 +10,26 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators.quadrics import rank_of
-from facetflow.operators.tables import discard, stored
+from facetflow.operators.tables import discard, placed, stored
 from facetflow.operators.topology import neighbours
 
 #: No table that can be held needs as many rounds.
 MOST_ROUNDS = 100_000
 #: After so many rounds their results are stored as one table, so that plans stay short.
 MERGE_EVERY = 20
+#: Rows (collapse, vertex) that one task may hold: a few megabytes.
+SETTLED = 200_000
+
+
+def _rank_columns() -> tuple[Column, ...]:
+    return M.tidy(F.col("cost")), F.col("hi"), F.col("lo")
 
 
 def _reads(candidates: DataFrame, near: DataFrame) -> DataFrame:
@@ -43,32 +51,58 @@ def _winners(ranked: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def greedy_batch(candidates: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Rounds until every candidate is kept or conflicts with a kept one.
+    """What a greedy pass in the order of ranks keeps: every candidate is kept or conflicts with a kept one.
 
-    Where costs tie over a wide area, choices follow one another in a chain, and rounds grow with its length.
+    Rounds keep what no conflicting one precedes.  Where costs tie over a wide area, choices follow one another
+    in a chain, and rounds grow with its length; so once what is left is no more than SETTLED rows in all, every
+    mesh's share of it is passed through in order by one task.  The set is the same either way.
     Each round keeps at least the first of the rest; most_rounds only guards against running on for ever.
     """
-    near = stored(neighbours(edges), "near")
-    left = stored(candidates.withColumn("rank", rank_of()), "left")
+    ranked = stored(placed(candidates, ["mesh_id"], list(_rank_columns()), "r"), "ranked")
+    ends = ranked.select("mesh_id", "r", F.explode(F.array("hi", "lo")).alias("v"))
+    near = ends.join(neighbours(edges), ["mesh_id", "v"]).select("mesh_id", "r", F.col("n").alias("v"))
+    touched = ends.select("*", F.lit(True).alias("own")).union(near.select("*", F.lit(False).alias("own")))
+    # the ends of a collapse are neighbours of each other, too: a vertex is either written or only read
+    left = stored(touched.groupBy("mesh_id", "r", "v").agg(F.max("own").alias("own")), "left")
     kept: list[DataFrame] = []
     for done in itertools.count():
-        won = stored(_winners(left, near), "won")
-        if won.isEmpty():
+        rows = left.count()
+        if rows <= SETTLED:
+            kept.append(stored(left.groupBy("mesh_id").applyInPandas(_passed, "mesh_id string, r long"), "kept"))
             break
         if done >= most_rounds:
             raise RuntimeError(f"candidates are left after {most_rounds} rounds")
-        touched = won.select("mesh_id", F.explode(F.array("hi", "lo")).alias("v")).distinct()
-        gone = _reads(left, near).join(touched, ["mesh_id", "v"], "left_semi").select("mesh_id", "rank").distinct()
-        last, left = left, stored(left.join(gone, ["mesh_id", "rank"], "left_anti"), "left")
-        discard(last)
-        kept.append(won)
+        first = left.where("own").groupBy("mesh_id", "v").agg(F.min("r").alias("first"))
+        met = left.join(first, ["mesh_id", "v"])
+        won = met.groupBy("mesh_id", "r").agg(F.min("first").alias("least")).where("least = r").select("mesh_id", F.col("r").alias("first"), F.lit(True).alias("won"))
+        # who reads what a winner writes goes; only the first to write a vertex can have won
+        gone = met.join(won, ["mesh_id", "first"]).groupBy("mesh_id", "r").agg(F.max(F.col("first") == F.col("r")).alias("won"))
+        state = stored(left.join(gone, ["mesh_id", "r"], "left"), "state")
+        kept.append(stored(state.where("won and own").select("mesh_id", "r").distinct(), "kept"))
         if len(kept) >= MERGE_EVERY:
-            kept = [_merged(kept, won.columns)]
-    out = _merged(kept or [won], candidates.columns)
-    discard(near, left, won)
+            kept = [_merged(kept, ["mesh_id", "r"])]
+        last, left = left, stored(state.where("won is null").drop("won"), "left")
+        discard(last, state)
+    chosen = _merged(kept, ["mesh_id", "r"])
+    out = stored(ranked.join(chosen, ["mesh_id", "r"], "left_semi").select(candidates.columns), "greedy")
+    discard(ranked, left, chosen)
     return out
 
 
+def _passed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A greedy pass over what is left of a mesh: rows (mesh_id, r, v, own)."""
+    rows = rows.sort_values("r", kind="stable")
+    taken: set[int] = set()
+    kept = []
+    cuts = np.flatnonzero(np.append(True, np.diff(rows["r"].to_numpy()) != 0)) if len(rows) else []
+    v, own, r = rows["v"].to_numpy(), rows["own"].to_numpy(), rows["r"].to_numpy()
+    for i, j in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+        if taken.isdisjoint(v[i:j].tolist()):
+            kept.append(int(r[i]))
+            taken.update(v[i:j][own[i:j]].tolist())
+    return pd.DataFrame({"mesh_id": pd.Series([rows["mesh_id"].iloc[0]] * len(kept), dtype=object), "r": pd.Series(kept, dtype="int64")})
+
+
 def _merged(tables: list[DataFrame], columns: list[str]) -> DataFrame:
     """These columns of several stored tables as one, and the tables go."""
     out = tables[0]

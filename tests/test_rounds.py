@@ -18,10 +18,13 @@ def chained(spark, w):
     return stored(topology.collapsible_edges(edges).selectExpr("*", "0.0 as cost"), "priced"), edges
 
 
-def test_greedy_batch_goes_on_to_the_fixpoint(spark):
+@pytest.mark.parametrize(("w", "settled"), [(30, 200_000), (12, 0), (14, 500)])
+def test_greedy_batch_goes_on_to_the_fixpoint(spark, monkeypatch, w, settled):
+    """In one task at the end, in rounds to the end, or first in rounds and then in a task."""
     from facetflow.operators import topology
 
-    priced, edges = chained(spark, 30)
+    monkeypatch.setattr(select, "SETTLED", settled)
+    priced, edges = chained(spark, w)
     near = {}
     for r in topology.neighbours(edges).collect():
         near.setdefault(r["v"], {r["v"]}).add(r["n"])
@@ -35,6 +38,7 @@ def test_greedy_batch_goes_on_to_the_fixpoint(spark):
 
 def test_running_out_of_rounds_is_an_error(spark, monkeypatch):
     priced, edges = chained(spark, 8)
+    monkeypatch.setattr(select, "SETTLED", 0)
     with pytest.raises(RuntimeError, match="rounds"):
         select.greedy_batch(priced, edges, 1)
     monkeypatch.setattr(S, "MOST_ROUNDS", 1)
