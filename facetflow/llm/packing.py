@@ -17,7 +17,7 @@ import base64
 import itertools
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +143,17 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+@cache
+def _buckets() -> np.ndarray:
+    """The hashed feature of each 16-bit id."""
+    return (mix64(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(50)).astype(np.int64) % FEATURES
+
+
 def vectors(ids: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
     """Unit vectors of hashed, damped token counts, projected; rows of zeros for texts without tokens."""
-    counts = np.zeros((len(ids), FEATURES))
-    for i, own in enumerate(ids):
-        if len(own):
-            bucket = (mix64(own.astype(np.uint64)) >> np.uint64(50)).astype(np.int64) % FEATURES
-            counts[i] = np.sqrt(np.bincount(bucket, minlength=FEATURES))
+    owner = np.repeat(np.arange(len(ids)), [len(own) for own in ids])
+    flat = np.concatenate([*ids, np.zeros(0, dtype=np.uint16)])
+    counts = np.sqrt(np.bincount(owner * FEATURES + _buckets()[flat], minlength=len(ids) * FEATURES)).reshape(len(ids), FEATURES)
     norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     return (counts / np.where(norm > 0, norm, 1)) @ basis
 
