@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes, unused, words_of
+from facetflow.llm.common import id_and_text, mix64, shuffle_width, span_hashes, stored, unused, words_of
 
 WINDOW = 20
 SEED = 4
@@ -254,15 +254,44 @@ def _opened(blobs: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, np.concatenate(doc)[own], np.concatenate(start)[own] + words.windows - words.first[own]
 
 
-def _firsts(words: Words, doc: np.ndarray, start: np.ndarray, buckets: int, squeeze: zstandard.ZstdCompressor) -> Iterator[tuple[int, bytes]]:
-    """words.windows one by one, packed for the buckets of their own hashes."""
-    at = words.windows
-    bucket = (mix64(words.window_hashes()) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist() if len(at) else []
-    for i, j in zip(cuts, [*cuts[1:], len(at)], strict=False):
-        own = order[i:j]
-        yield int(bucket[own[0]]), _blob(words, at[own], at[own] + WINDOW - 1, doc[own], start[own], squeeze)
+class _Firsts:
+    """Windows that wait to be packed, one by one, for the buckets of their own hashes."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.strings: list[bytes] = []
+        self.rows: list[np.ndarray] = []
+
+    def add(self, words: Words, late: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        bucket = (mix64(words.window_hashes()[~late]) % np.uint64(self.buckets)).astype(np.int64)
+        at = words.windows[~late]
+        a, b = words.starts[at].tolist(), words.ends[at + WINDOW - 1].tolist()
+        self.strings += [words.raw[x:y] for x, y in zip(a, b, strict=True)]
+        self.rows.append(np.column_stack([bucket, doc[~late], start[~late]]))
+
+    def packed(self, squeeze: zstandard.ZstdCompressor) -> Iterator[tuple[int, bytes]]:
+        if not self.strings:
+            return
+        rows = np.concatenate(self.rows)
+        order = np.argsort(rows[:, 0], kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(rows[order, 0]) != 0)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            own = order[i:j]
+            strings = b"\n".join([self.strings[k] for k in own.tolist()])
+            yield int(rows[own[0], 0]), squeeze.compress(np.array([len(own)], dtype="<i8").tobytes() + rows[own, 1:].astype("<i8").tobytes() + strings)
+        self.strings, self.rows = [], []
+
+
+def _pooled(rows: list[tuple]) -> list[tuple]:
+    """Rows of one document as one: their spans one after the other."""
+    spans: dict[int, list] = {}
+    out = []
+    for row in rows:
+        if row[2] is None:
+            out.append(row)
+        else:
+            spans.setdefault(row[2], [row[0]]).append(row[3])
+    return out + [(bucket, None, doc_id, b"".join(parts)) for doc_id, (bucket, *parts) in spans.items()]
 
 
 def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFrame:
@@ -272,7 +301,7 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs, out = None, [], []
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, firsts = zstandard.ZstdCompressor(level=3), _Firsts(buckets)
 
         def finish() -> None:
             if not blobs:
@@ -282,13 +311,12 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
             late = repeats(words, doc, start)
             out.extend((current[0], None, d, x) for d, x in _merged(doc[late], start[late]))
             if current[1] is not None and not last:
-                words.windows = words.windows[~late]
-                out.extend((b, None, None, x) for b, x in _firsts(words, doc[~late], start[~late], buckets, squeeze))
+                firsts.add(words, late, doc, start)
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
+            rows = _pooled(out) + [(b, None, None, x) for b, x in firsts.packed(squeeze)]
             out.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
 
         for batch in batches:
             for bucket, part, doc_id, data in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
@@ -299,7 +327,7 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
                     finish()
                     current = (bucket, part)
                 blobs.append(data)
-            if len(out) > 10_000:
+            if len(out) > 50_000 or len(firsts.strings) > 50_000:
                 yield batch_of()
         finish()
         yield batch_of()
@@ -312,9 +340,12 @@ def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
     hot, width = hot_minimisers(docs, shuffle_width(spark))
     buckets = BUCKETS_EACH * width
-    settled = _settled(super_kmers(docs, buckets, hot, width), width, buckets, not len(hot))
+    settled = _settled(super_kmers(docs, buckets, hot, width), width, width, not len(hot))
     if len(hot):
-        settled = _settled(settled, width, buckets, True)
+        # stored, so that spans found so far needn't travel with the few windows that are settled again
+        settled = stored(settled, spark, "spans")
+        again = _settled(settled.where("doc_id is null"), width, width, True)
+        settled = settled.where("doc_id is not null").union(again)
     return settled.select("doc_id", F.col("data").alias("spans"))
 
 
