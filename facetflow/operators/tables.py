@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 #: Positions that one window partition may hold.
 BLOCK = 1 << 16
 
-#: Where stored tables lie, and lists of those made in the open scopes.
+#: Where stored tables lie, and lists of those made in the open scopes of this thread, the outermost first.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_SCOPES: list[list[str]] = []
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+#: Tables that nobody deleted yet: they go with the driver.
+_LEFT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +46,10 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    for made in _SCOPES:
+    if not _LEFT:
+        atexit.register(_delete_left, spark._jvm, spark._jsc.hadoopConfiguration())
+    _LEFT.add(path)
+    for made in _SCOPES.get():
         made.append(path)
     return out
 
@@ -51,6 +57,15 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _LEFT.discard(path)
+
+
+def _delete_left(jvm, configuration) -> None:
+    for path in _LEFT:
+        with contextlib.suppress(Exception):  # the session may be gone before the driver
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(configuration).delete(where, True)
+    _LEFT.clear()
 
 
 def discard(*tables: DataFrame | None) -> None:
@@ -76,11 +91,11 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(_PATHS[table])
         return table
 
-    _SCOPES.append(made)
+    token = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield keep
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(token)
         for path in made:
             if path not in kept:
                 _delete(spark, path)
