@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +131,64 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     h *= inverse[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
     return mix64(h)
+
+
+def members(pattern: bytes) -> np.ndarray:
+    """For each byte, whether it matches a class of single bytes, such as rb"[0-9]"."""
+    found = re.compile(pattern, re.DOTALL)
+    return np.array([found.match(bytes([b])) is not None for b in range(256)])
+
+
+def runs_of(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that are members."""
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = member[data]
+    edge = np.diff(inside)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def distinct_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each of some spans that don't touch, in order, equal just for equal spans; the spans by number."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, dtype=np.int64), pa.array([], pa.large_binary())
+    # spans and what lies between them, in turn
+    cuts = np.empty(2 * n + 1, dtype=np.int64)
+    cuts[0:-1:2], cuts[1::2], cuts[-1] = starts, ends, len(raw)
+    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw)])
+    encoded = both.dictionary_encode()
+    index = encoded.indices.to_numpy(zero_copy_only=False)[0::2]
+    used = np.zeros(len(encoded.dictionary), dtype=bool)
+    used[index] = True
+    return (np.cumsum(used) - 1)[index], encoded.dictionary.filter(pa.array(used))
+
+
+def joined(strings: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The strings with a line feed after each but the last, and where each begins (one more than there are)."""
+    sizes = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    return b"\n".join(strings), np.concatenate([[0], np.cumsum(sizes + 1)])
+
+
+def packed(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value for each of the lengths (in elements of data, one after the other)."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]) * data.dtype.itemsize
+    if offsets[-1] < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of binary values, and how many each of them has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), dtype=dtype), np.diff(offsets) // size
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the starts, one after the other."""
+    total = int(lengths.sum())
+    before = np.cumsum(lengths) - lengths
+    return np.arange(total) + np.repeat(starts - before, lengths)
