@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,18 @@ def text_blocks(batch: pa.RecordBatch, limit: int = BLOCK_CHARS) -> Iterator[tup
         yield rows, texts
 
 
+def byte_blocks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Rows of a batch whose texts have about limit bytes together: from, to, texts."""
+    texts = batch.column("text").cast(pa.binary())
+    if not len(texts):
+        return
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // limit
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
+        yield a, b, texts[a:b].to_pylist()
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import distinct_spans, joined, members, packed, ranges, runs_of, stored, unpacked
+from facetflow.llm.common import byte_blocks, distinct_spans, joined, members, packed, ranges, runs_of, stored, unpacked
 from facetflow.operators.tables import placed
 
 #: Documents of its language that hold a kept term, at least, and reported terms of a source.
@@ -122,13 +122,9 @@ def count_chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, first = _Counts(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
             group, lang = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "l"))
-            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() if len(block) else []
-            for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
-                counts.add(texts[a:b].to_pylist(), first, group[a:b], lang[a:b])
+            for a, b, texts in byte_blocks(batch, BLOCK_BYTES):
+                counts.add(texts, first, group[a:b], lang[a:b])
                 first += b - a
                 if counts.held >= HELD:
                     yield counts.sent()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetflow.llm import counting, divergence, langid, media, minhash, packing, pieces, prefixes, secrets, substring, toxicity, vectors
+from facetflow.llm import counting, divergence, langid, lexical, media, minhash, packing, pieces, prefixes, secrets, substring, toxicity, vectors
 from facetflow.llm.common import id_hash_mod, table
 
 
@@ -55,6 +55,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"), spark)
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), spark)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), spark)
 
@@ -64,8 +69,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_media, op3_sentencepiece, op4_toxicity, op5_substring, op6_embeddings, op7_token_counts, op8_minhash, op9_secrets, op10_language, op12_divergence, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_media, op3_sentencepiece, op4_toxicity, op5_substring, op6_embeddings, op7_token_counts, op8_minhash, op9_secrets, op10_language, op11_lexical, op12_divergence, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": substring.SQL, "op6_embeddings": vectors.SQL, "op12_divergence": divergence.SQL}
+    return {"op5_substring": substring.SQL, "op6_embeddings": vectors.SQL, "op11_lexical": lexical.SQL, "op12_divergence": divergence.SQL}
