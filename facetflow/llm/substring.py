@@ -15,7 +15,9 @@ together, and every window but the earliest is a repeat.  A word is removed if a
 - A hash only brings candidates together: windows count as equal if all their words are equal.
 
 Defined results: the order is by doc_id, then start.  Rows that repeat a doc_id with the same text are one
-document: neither is earlier.  Rows without a doc_id have no place in the order: they stay whole and make
+document: neither is earlier.  Rows that repeat a doc_id with different texts have one place in the order, by
+start, but each loses only words of its own: what is found for them is told apart by a key of the text, which is
+0 for all other rows, so that it costs them nothing.  Rows without a doc_id have no place in the order: they stay whole and make
 nothing a repeat.  Null and empty texts have no words; texts with fewer than WINDOW words stay whole; texts
 of any length are cut whole; an empty table gives an empty result.  Columns other than doc_id and text,
 whatever their names, are ignored by find() and digest(), and passed through by clean().
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -129,9 +132,10 @@ def repeats(words: Words, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return late
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Doc ids and normalized texts, in the order of the ids, about BLOCK_BYTES at a time."""
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Doc ids, keys and normalized texts, in the order of the ids, about BLOCK_BYTES at a time."""
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    keys = batch.column("key").to_numpy(zero_copy_only=False) if "key" in batch.schema.names else np.zeros_like(ids)
     texts = batch.column("text").cast(pa.binary())
     order = np.argsort(ids, kind="stable")
     start, size, strings = 0, 0, []
@@ -140,25 +144,25 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         strings.append(own)
         size += len(own) + 1
         if size >= BLOCK_BYTES or k + 1 == len(order):
-            yield ids[order[start : k + 1]], strings
+            yield ids[order[start : k + 1]], keys[order[start : k + 1]], strings
             start, size, strings = k + 1, 0, []
 
 
-def _merged(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Each document's repeats as intervals of words [from, to), in 64-bit pairs."""
     if not len(doc):
         return
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    apart = np.ones(len(doc), dtype=bool)
-    apart[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    order = np.lexsort((start, key, doc))
+    doc, key, start = doc[order], key[order], start[order]
+    other = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+    apart = other.copy()
+    apart[1:] |= start[1:] > start[:-1] + 1
     low = np.flatnonzero(apart)
     high = np.append(low[1:], len(doc)) - 1
     pairs = np.column_stack([start[low], start[high] + WINDOW]).astype("<i8")
-    owner = doc[low]
-    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
-        yield int(owner[a]), pairs[a:b].tobytes()
+    cuts = np.flatnonzero(other[low])
+    for a, b in zip(cuts, np.append(cuts[1:], len(low)), strict=True):
+        yield int(doc[low[a]]), int(key[low[a]]), pairs[a:b].tobytes()
 
 
 def hot_minimisers(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
@@ -172,7 +176,7 @@ def hot_minimisers(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, strings in _blocks(batch):
+            for _, _, strings in _blocks(batch):
                 words = Words(strings)
                 least = words.minimisers()[words.windows]
                 lead = np.append(True, (least[1:] != least[:-1]) | (np.diff(words.windows) != 1)) if len(least) else np.zeros(0, dtype=bool)
@@ -191,31 +195,40 @@ def hot_minimisers(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return hot, max(width, -(-size // PARTITION_BYTES))
 
 
-def _blob(words: Words, low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+def _blob(words: Words, low: np.ndarray, high: np.ndarray, places: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
     """Strings of words low[i] .. high[i] (inclusive) with their places, compressed."""
     a, b = words.starts[low].tolist(), words.ends[high].tolist()
     strings = b"\n".join([words.raw[x:y] for x, y in zip(a, b, strict=True)])
-    return squeeze.compress(np.array([len(low)], dtype="<i8").tobytes() + np.column_stack([doc, start]).astype("<i8").tobytes() + strings)
+    return squeeze.compress(_head(places) + strings)
+
+
+def _head(places: np.ndarray) -> bytes:
+    """The number of strings and their places (doc, key, start); keys are left out where all are 0, and the number
+    is negative where they aren't."""
+    keyed = places[:, 1].any()
+    some = places if keyed else places[:, [0, 2]]
+    return np.array([-len(places) if keyed else len(places)], dtype="<i8").tobytes() + some.astype("<i8").tobytes()
 
 
 def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, parts: int) -> DataFrame:
-    """(bucket, part, doc_id, data): packed strings of a bucket, compressed (doc_id null), or what a block
+    """(bucket, part, doc_id, key, data): packed strings of a bucket, compressed (doc_id null), or what a block
     settled.  Strings of hot minimisers are dealt over parts by block; part is null for all others."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for ids, strings in _blocks(batch):
+            for ids, keys, strings in _blocks(batch):
                 words = Words(strings)
                 at = words.windows
                 if not len(at):
                     continue
-                doc = ids[words.string[at]]
+                doc, key = ids[words.string[at]], keys[words.string[at]]
                 start = at - words.first[words.string[at]]
                 late = repeats(words, doc, start)
-                out: list[tuple[int, int | None, int | None, bytes]] = [(d % buckets, None, d, x) for d, x in _merged(doc[late], start[late])]
+                out: list[tuple] = [(d % buckets, None, d, k, x) for d, k, x in _merged(doc[late], key[late], start[late])]
                 keep = ~late
-                at, doc, start, least = at[keep], doc[keep], start[keep], words.minimisers()[at[keep]]
+                at, least = at[keep], words.minimisers()[at[keep]]
+                places = np.column_stack([doc[keep], key[keep], start[keep]])
                 lead = np.ones(len(at), dtype=bool)
                 lead[1:] = (np.diff(at) != 1) | (least[1:] != least[:-1])
                 low = np.flatnonzero(lead)
@@ -228,30 +241,33 @@ def super_kmers(docs: DataFrame, buckets: int, hot: np.ndarray, parts: int) -> D
                     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
                     for i, j in zip(cuts, [*cuts[1:], len(low)], strict=True):
                         own, is_hot = divmod(int(bucket[i]), 2)
-                        out.append((own, part if is_hot else None, None, _blob(words, at[low[i:j]], at[high[i:j]] + WINDOW - 1, doc[low[i:j]], start[low[i:j]], squeeze)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
+                        out.append((own, part if is_hot else None, None, None, _blob(words, at[low[i:j]], at[high[i:j]] + WINDOW - 1, places[low[i:j]], squeeze)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
 
     return docs.mapInArrow(pack, PACKED)
 
 
-PACKED = "bucket long, part int, doc_id long, data binary"
-_PACKED_NAMES, _PACKED_TYPES = ["bucket", "part", "doc_id", "data"], (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+PACKED = "bucket long, part int, doc_id long, key long, data binary"
+_PACKED_NAMES, _PACKED_TYPES = ["bucket", "part", "doc_id", "key", "data"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
-def _opened(blobs: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The strings of a bucket, and the place (doc, start) of each of their windows."""
-    doc, start, strings = [], [], []
+def _opened(blobs: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of a bucket, and the place (doc, key, start) of each of their windows."""
+    all_places, strings = [], []
     open_ = zstandard.ZstdDecompressor()
     for blob in blobs:
         raw = open_.decompress(blob)
         n = int(np.frombuffer(raw[:8], dtype="<i8")[0])
-        places = np.frombuffer(raw[8 : 8 + 16 * n], dtype="<i8").reshape(n, 2)
-        doc.append(places[:, 0])
-        start.append(places[:, 1])
-        strings += raw[8 + 16 * n :].split(b"\n")
+        wide = 2 if n > 0 else 3
+        end = 8 + 8 * wide * abs(n)
+        places = np.zeros((abs(n), 3), dtype=np.int64)
+        places[:, [0, 2] if wide == 2 else [0, 1, 2]] = np.frombuffer(raw[8:end], dtype="<i8").reshape(-1, wide)
+        all_places.append(places)
+        strings += raw[end:].split(b"\n")
     words = Words(strings)
     own = words.string[words.windows]
-    return words, np.concatenate(doc)[own], np.concatenate(start)[own] + words.windows - words.first[own]
+    doc, key, start = np.concatenate(all_places)[own].T
+    return words, doc, key, start + words.windows - words.first[own]
 
 
 class _Firsts:
@@ -262,12 +278,12 @@ class _Firsts:
         self.strings: list[bytes] = []
         self.rows: list[np.ndarray] = []
 
-    def add(self, words: Words, late: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+    def add(self, words: Words, late: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> None:
         bucket = (mix64(words.window_hashes()[~late]) % np.uint64(self.buckets)).astype(np.int64)
         at = words.windows[~late]
         a, b = words.starts[at].tolist(), words.ends[at + WINDOW - 1].tolist()
         self.strings += [words.raw[x:y] for x, y in zip(a, b, strict=True)]
-        self.rows.append(np.column_stack([bucket, doc[~late], start[~late]]))
+        self.rows.append(np.column_stack([bucket, doc[~late], key[~late], start[~late]]))
 
     def packed(self, squeeze: zstandard.ZstdCompressor) -> Iterator[tuple[int, bytes]]:
         if not self.strings:
@@ -278,20 +294,20 @@ class _Firsts:
         for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[i:j]
             strings = b"\n".join([self.strings[k] for k in own.tolist()])
-            yield int(rows[own[0], 0]), squeeze.compress(np.array([len(own)], dtype="<i8").tobytes() + rows[own, 1:].astype("<i8").tobytes() + strings)
+            yield int(rows[own[0], 0]), squeeze.compress(_head(rows[own, 1:]) + strings)
         self.strings, self.rows = [], []
 
 
 def _pooled(rows: list[tuple]) -> list[tuple]:
     """Rows of one document as one: their spans one after the other."""
-    spans: dict[int, list] = {}
+    spans: dict[tuple[int, int], list] = {}
     out = []
     for row in rows:
         if row[2] is None:
             out.append(row)
         else:
-            spans.setdefault(row[2], [row[0]]).append(row[3])
-    return out + [(bucket, None, doc_id, b"".join(parts)) for doc_id, (bucket, *parts) in spans.items()]
+            spans.setdefault(row[2:4], [row[0]]).append(row[4])
+    return out + [(bucket, None, *place, b"".join(parts)) for place, (bucket, *parts) in spans.items()]
 
 
 def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFrame:
@@ -306,22 +322,22 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
         def finish() -> None:
             if not blobs:
                 return
-            words, doc, start = _opened(blobs)
+            words, doc, key, start = _opened(blobs)
             blobs.clear()
             late = repeats(words, doc, start)
-            out.extend((current[0], None, d, x) for d, x in _merged(doc[late], start[late]))
+            out.extend((current[0], None, d, k, x) for d, k, x in _merged(doc[late], key[late], start[late]))
             if current[1] is not None and not last:
-                firsts.add(words, late, doc, start)
+                firsts.add(words, late, doc, key, start)
 
         def batch_of() -> pa.RecordBatch:
-            rows = _pooled(out) + [(b, None, None, x) for b, x in firsts.packed(squeeze)]
+            rows = _pooled(out) + [(b, None, None, None, x) for b, x in firsts.packed(squeeze)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
 
         for batch in batches:
-            for bucket, part, doc_id, data in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
+            for bucket, part, doc_id, key, data in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
                 if doc_id is not None:
-                    out.append((bucket, None, doc_id, data))
+                    out.append((bucket, None, doc_id, key, data))
                     continue
                 if (bucket, part) != current:
                     finish()
@@ -335,9 +351,37 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
     return packed.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(settle, PACKED)
 
 
-def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, spans): intervals of words that repeats cover, 64-bit pairs; some rows for a document."""
+@dataclass
+class Found:
+    """Intervals of words that repeats cover (doc_id, key, spans: 64-bit pairs; some rows for a document), and the
+    ids that stand for different texts (None: no id does)."""
+
+    spans: DataFrame
+    shared: DataFrame | None
+
+
+def _shared_ids(docs: DataFrame, spark: SparkSession) -> DataFrame | None:
+    """(doc_id) of rows with one id and different texts; hashes are counted, not texts."""
+    texts = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    shared = stored(texts.where("a <> b").select("doc_id"), spark, "shared-ids")
+    return None if shared.isEmpty() else shared
+
+
+def _keyed(docs: DataFrame, shared: DataFrame | None, name: str) -> DataFrame:
+    """docs with a key of the text where other rows have the same id, else 0."""
+    if shared is None:
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    own, mark = unused(docs, "shared_doc", "shared_mark")
+    marks = shared.select(F.col("doc_id").alias(own), F.lit(True).alias(mark))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(marks, docs["doc_id"].cast("long") == F.col(own), "left").withColumn(name, F.when(F.col(mark), F.xxhash64(text)).otherwise(F.lit(0))).drop(own, mark)
+
+
+def find(docs: DataFrame, spark: SparkSession) -> Found:
+    """What repeats cover in each document."""
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
+    shared = _shared_ids(docs, spark)
+    docs = _keyed(docs, shared, "key")
     hot, width = hot_minimisers(docs, shuffle_width(spark))
     buckets = BUCKETS_EACH * width
     settled = _settled(super_kmers(docs, buckets, hot, width), width, width, not len(hot))
@@ -346,14 +390,15 @@ def find(docs: DataFrame, spark: SparkSession) -> DataFrame:
         settled = stored(settled, spark, "spans")
         again = _settled(settled.where("doc_id is null"), width, width, True)
         settled = settled.where("doc_id is not null").union(again)
-    return settled.select("doc_id", F.col("data").alias("spans"))
+    return Found(settled.select("doc_id", "key", F.col("data").alias("spans")), shared)
 
 
-def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, found: Found) -> tuple[DataFrame, str]:
     """docs with their spans, and that column's name; a document's spans are bounded by its length."""
-    key, own = unused(docs, "span_doc", "spans")
-    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("spans").alias(own))
-    return docs.join(spans, docs["doc_id"].cast("long") == F.col(key), "left").drop(key), own
+    doc, key, own, mine = unused(docs, "span_doc", "span_key", "spans", "text_key")
+    spans = found.spans.groupBy(F.col("doc_id").alias(doc), F.col("key").alias(key)).agg(F.collect_list("spans").alias(own))
+    keyed = _keyed(docs, found.shared, mine)
+    return keyed.join(spans, (keyed["doc_id"].cast("long") == F.col(doc)) & (keyed[mine] == F.col(key)), "left").drop(doc, key, mine), own
 
 
 def _removed(n: int, spans: list[bytes] | None) -> np.ndarray:
@@ -363,7 +408,7 @@ def _removed(n: int, spans: list[bytes] | None) -> np.ndarray:
     return gone
 
 
-def digest(docs: DataFrame, found: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, found: Found) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by single blanks."""
 
     rows, own = _with_spans(id_and_text(docs), found)
@@ -385,7 +430,7 @@ def digest(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, found: Found) -> DataFrame:
     """docs, all columns, with the repeated words cut out of the texts; other white space stays.
 
     n_chars, where docs has it, follows the text.  Documents of which nothing is left are dropped.
