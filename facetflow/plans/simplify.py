@@ -1,36 +1,48 @@
 """Simplifying surfaces.
 
-simplify() with mode partitioned_batch runs rounds over all meshes' tables: price the edges, keep those that
-may collapse, choose a batch without conflicts from those within slabs, contract, then one from those on
-boundaries that may still collapse, contract again.  With mode sequential each mesh is one group, whose
-collapses follow one another by cost; meshes run in parallel.
+Both modes keep three tables, vertices with quadrics, faces and priced edges, and change them round by round.
+In a round, pieces of meshes (regions) go to tasks with the faces and vertices around them; a task collapses
+edges within its piece and gives back only what changed, the new prices of edges around its survivors among it.
+
+- partitioned_batch: the regions are slabs along the longest axis, of equal numbers of vertices and never more
+  than MOST.  A task chooses a batch without conflicts from the edges whose neighbourhoods lie within the slab,
+  and makes it, testing each once more at its turn.  Slabs shifted by half their width then take the edges that
+  crossed a border.
+- sequential: the result of collapsing the cheapest sound edge of a mesh again and again.  Costs don't fall as
+  vertices merge, so whatever happens below a threshold happens around edges below it: the vertices of these
+  edges, linked where they are neighbours, fall into regions that can't disturb each other, and each goes through
+  its own sequence in one task.  Then the threshold is raised.  The collapses that exceed a mesh's goal are cut
+  off in the order of the whole sequence.  A mesh with at most MOST vertices is one region from the start.
 """
 
 from __future__ import annotations
 
 import contextlib
-import heapq
 import math
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
-from facetflow.operators import partition as P
-from facetflow.operators.quadrics import edge_candidates, vertex_quadrics
-from facetflow.operators.select import contract_faces, contract_vertices, greedy_batch
+from facetflow.operators.graph import connected_components
+from facetflow.operators.partition import bounding_box
+from facetflow.operators.patch import Patch, price
+from facetflow.operators.quadrics import vertex_quadrics
 from facetflow.operators.tables import discard, placed, stored
-from facetflow.operators.topology import collapsible_edges, half_edges, two_sided_edges
-from facetflow.plans.options import SEQUENTIAL, SimplifyOptions, target_count
-from facetflow.sources.surfaces import FACE_SCHEMA, VERTEX_SCHEMA, Surface
+from facetflow.operators.topology import boundary_edges, half_edges, two_sided_edges
+from facetflow.plans.options import SEQUENTIAL, SimplifyOptions
+from facetflow.sources.surfaces import Surface
 
-#: The share of the candidates, cheapest first, that a round chooses from where no batch size is given.
+#: The share of a slab's sound edges, cheapest first, that a round chooses from where no batch size is given.
 SHARE = 0.25
+#: Vertices of a region, at most: some 50 MB in a task.
+MOST = 20_000
+#: The share of the edges above a threshold that the next one takes in.
+STEP = 0.05
 #: A guard only: rounds end at the goal, or when no edge may collapse.
 MOST_ROUNDS = 100_000
 # When slabs are made anew: this share of vertices collapsed (and so many at least), uneven load, many boundary
@@ -42,6 +54,17 @@ BOUNDARY_EACH = 16
 PHASES = ("half_edge_build_seconds", "initial_quadrics_seconds", "initial_queue_build_seconds", "partition_build_seconds", "local_selection_seconds", "boundary_repair_seconds", "queue_refresh_seconds")
 ROUND = ("interior_edge_fraction", "boundary_edge_fraction", "partition_load_imbalance", "local_queue_size", "boundary_queue_size", "accepted_local_collapses", "accepted_boundary_collapses", "skipped_boundary_edges", "rejected_conflicts", "repartitioned")
 
+_Q = [f"q_{k}" for k in M.Q]
+_VERTEX = ["mesh_id", "vid", "x", "y", "z", *_Q, "pri", "rim", "place"]
+_EDGE = ["mesh_id", "hi", "lo", "pri_hi", "pri_lo", "cost", "bound", "px", "py", "pz"]
+EDGE_SCHEMA = "mesh_id string, hi long, lo long, pri_hi long, pri_lo long, cost double, bound double, px double, py double, pz double"
+# Rows to and from a task.  In: own (v) and other (h) vertices, faces (f), edges (e), threshold (t) and limit (l).
+# Out: survivors (v), vertices gone (x), changed faces (f), faces gone (g), edges (e), the sequence (c), counts (s).
+_NUMBERS = ["a", "b", "c", "d", "pri", "pri2"]
+_REALS = ["x", "y", "z", "cost", "bound", *_Q]
+PIECE = ", ".join(["mesh_id string", "region long", "kind string", *(f"{c} long" for c in _NUMBERS), *(f"{c} double" for c in _REALS)])
+_PIECE = [c.split()[0] for c in PIECE.split(", ")]
+
 
 @dataclass
 class Simplified:
@@ -49,42 +72,123 @@ class Simplified:
     stats: list[tuple[str, str, str, float | None, str | None]] = field(default_factory=list)
 
 
+@dataclass(frozen=True)
+class _Rule:
+    """How a task chooses: a sequence, or a batch of most (0: a share) edges; fresh: from all edges of the slab."""
+
+    sequence: bool
+    most: int = 0
+    fresh: bool = True
+    shift: int = 0
+
+
 def simplify(surface: Surface, options: SimplifyOptions) -> Simplified:
     if surface.faces.isEmpty():
         raise ValueError("a mesh needs at least one face to be simplified")
     return _sequential(surface, options) if options.mode == SEQUENTIAL else _batch(surface, options)
 
 
-def _order() -> list[Column]:
-    return [M.tidy(F.col("cost")), F.col("hi"), F.col("lo")]
-
-
-def _cheapest(chosen: DataFrame, keys: list[str], most: DataFrame) -> DataFrame:
-    """At most most(mesh_id, room) of the chosen collapses of each of the keys, cheapest first."""
-    sizes = chosen.groupBy(*keys).agg(F.count("*").alias("_n")).join(most, "mesh_id")
-    if sizes.where("_n > room").isEmpty():
-        return chosen
-    few = placed(chosen, keys, _order(), "_place").join(most, "mesh_id").where(F.col("_place") <= F.col("room"))
-    return few.select(chosen.columns)
-
-
-class _Rounds:
-    """The state of a simplification in rounds: tables of vertices with quadrics, faces and slabs, and progress
-    (mesh_id, goal, now).  However many meshes there are, the driver sees sums only."""
+def _priced(pairs: DataFrame) -> DataFrame:
+    """Edges with the attributes of both ends (a_ and b_), priced: the end with the higher priority survives."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            ends = [frame[[f"{p}{c}" for c in ("vid", "pri", "x", "y", "z", *_Q)]].to_numpy(dtype=object).tolist() for p in ("a_", "b_")]
+            for mesh, a, b in zip(frame["mesh_id"].tolist(), *ends, strict=True):
+                if (a[1], a[0]) < (b[1], b[0]):
+                    a, b = b, a
+                cost, bound, p = price([x + y for x, y in zip(a[5:], b[5:], strict=True)], tuple(a[2:5]), tuple(b[2:5]))
+                rows.append((mesh, a[0], b[0], a[1], b[1], cost, bound, *p))
+            yield pd.DataFrame(rows, columns=_EDGE).astype({"hi": "int64", "lo": "int64", "pri_hi": "int64", "pri_lo": "int64"})
+
+    return pairs.mapInPandas(run, EDGE_SCHEMA)
+
+
+def _row(mesh: str, region: int, kind: str, **values: object) -> tuple:
+    return mesh, region, kind, *(values.get(c, 0) for c in _NUMBERS), *(values.get(c, 0.0) for c in _REALS)
+
+
+def _piece(df: DataFrame, kind: str, **values: str) -> DataFrame:
+    """Rows of a kind for a task; what isn't named is 0, as nulls would turn whole numbers into floats."""
+    columns = [F.expr(values.get(c, "0")).cast("long").alias(c) for c in _NUMBERS] + [F.expr(values.get(c, "0")).cast("double").alias(c) for c in _REALS]
+    return df.select("mesh_id", F.col("region").cast("long").alias("region"), F.lit(kind).alias("kind"), *columns)
+
+
+def _worked(rows: pd.DataFrame, rule: _Rule) -> pd.DataFrame:
+    """What a task does with its piece."""
+    mesh, region = rows["mesh_id"].iloc[0], int(rows["region"].iloc[0])
+    patch, bound, limit = Patch(), None, None
+    at = {c: k for k, c in enumerate(_PIECE)}
+    columns = {c: rows[c].tolist() for c in _PIECE}
+    table = list(zip(*(columns[c] for c in _PIECE), strict=True))
+    q = slice(at["q_aa"], at["q_dd"] + 1)
+    for r in table:
+        kind, a = r[2], r[at["a"]]
+        if kind in ("v", "h"):
+            patch.place[a], patch.quadric[a], patch.priority[a] = (r[at["x"]], r[at["y"]], r[at["z"]]), r[q], r[at["pri"]]
+            patch.around.setdefault(a, set())
+            if r[at["b"]]:
+                patch.rims.add(a)
+            if kind == "v":
+                patch.own.add(a)
+                patch.slab[a] = r[at["c"]]
+        elif kind == "f":
+            patch.add_face(a, r[at["b"] : at["d"] + 1])
+        elif kind == "t":
+            bound = (r[at["cost"]], r[at["pri"]])
+        elif kind == "l":
+            limit = a
+    for r in table:
+        if r[2] == "e":
+            patch.prices[r[at["a"]], r[at["b"]]] = r[at["cost"]], r[at["bound"]], (r[at["x"]], r[at["y"]], r[at["z"]])
+    places = {v: int(d) for v, d, kind in zip(columns["a"], columns["d"], columns["kind"], strict=True) if kind == "v"}
+    if rule.sequence:
+        done = list(patch.sequence(bound, limit))
+        counts = (0, len(done), 0, len(done))
+    else:
+        done, counts = patch.batch(SHARE, rule.most, limit, rule.fresh)
+    out = [_row(mesh, region, "s", a=counts[0], b=counts[1], c=counts[2], d=counts[3])]
+    for k, (greatest, _) in enumerate(done):
+        out.append(_row(mesh, region, "c", cost=greatest[0], pri=greatest[1], pri2=greatest[2], a=greatest[3], b=greatest[4], c=k))
+    for v in patch.moved:
+        x, y, z = patch.place[v]
+        out.append(_row(mesh, region, "v", a=v, b=int(v in patch.rims), d=places[v], pri=patch.priority[v], x=x, y=y, z=z, **dict(zip(_Q, patch.quadric[v], strict=True))))
+    out += [_row(mesh, region, "x", a=v) for v in patch.gone]
+    for f in patch.changed - patch.lost:
+        b, c, d = patch.faces[f]
+        out.append(_row(mesh, region, "f", a=f, b=b, c=c, d=d))
+    out += [_row(mesh, region, "g", a=f) for f in patch.lost]
+    for (hi, lo), (cost, least, p) in patch.new_edges():
+        out.append(_row(mesh, region, "e", a=hi, b=lo, pri=patch.priority[hi], pri2=patch.priority[lo], cost=cost, bound=least, x=p[0], y=p[1], z=p[2]))
+    return pd.DataFrame(out, columns=_PIECE)
+
+
+class _Work:
+    """The tables of a simplification, and progress (mesh_id, goal, now).  However many meshes there are, the
+    driver sees sums only."""
 
     def __init__(self, surface: Surface, options: SimplifyOptions):
         self.options, self.phases = options, dict.fromkeys(PHASES, 0.0)
+        with self.timed("half_edge_build_seconds"):
+            self.faces = stored(surface.faces, "faces")
+            edges = stored(half_edges(self.faces), "half-edges")
         with self.timed("initial_quadrics_seconds"):
-            quadrics = vertex_quadrics(surface.faces, surface.vertices)
-            joined = surface.vertices.join(quadrics, ["mesh_id", "vid"])
-            self.vertices, self.faces = stored(joined, "vertices"), stored(surface.faces, "faces")
+            rims = boundary_edges(edges).select("mesh_id", F.explode(F.array("src", "dst")).alias("vid")).distinct().withColumn("rim", F.lit(1))
+            every = surface.vertices.join(vertex_quadrics(self.faces, surface.vertices), ["mesh_id", "vid"]).join(rims, ["mesh_id", "vid"], "left")
+            self.vertices = stored(every.select("mesh_id", "vid", "x", "y", "z", *_Q, F.xxhash64("vid").alias("pri"), F.coalesce("rim", F.lit(0)).alias("rim"), F.lit(0).cast("long").alias("place")), "vertices")
+        with self.timed("initial_queue_build_seconds"):
+            inner = self.vertices.where("rim = 0")
+            pairs = two_sided_edges(edges).select("mesh_id", F.col("hi").alias("a_vid"), F.col("lo").alias("b_vid"))
+            for p in ("a_", "b_"):
+                pairs = pairs.join(inner.select("mesh_id", *(F.col(c).alias(p + c) for c in ("vid", "pri", "x", "y", "z", *_Q))), ["mesh_id", f"{p}vid"])
+            self.edges = stored(_priced(pairs), "edges")
         goal = F.greatest(F.lit(1), F.ceil(F.lit(options.target_fraction) * F.count("*"))).cast("long")
         self.progress = stored(self.vertices.groupBy("mesh_id").agg(goal.alias("goal"), F.count("*").alias("now")), "progress")
-        self.slabs: DataFrame | None = None
+        discard(edges)
         self.rounds: list[dict[str, float]] = []
-        self.age = self.repartitions = 0
-        self.made_share = 1.0
         self.start = self.totals()
+        self.faces_before = self.faces.count()
 
     @contextlib.contextmanager
     def timed(self, phase: str) -> Iterator[None]:
@@ -96,115 +200,145 @@ class _Rounds:
         row = self.progress.agg(F.sum("now").alias("vertices"), F.sum("goal").alias("goal"), F.sum(F.when(F.col("now") > F.col("goal"), F.col("now"))).alias("open")).first()
         return {k: row[k] or 0 for k in ("vertices", "goal", "open")}
 
+    def pieces(self, regions: DataFrame, edges: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """Rows of all regions(mesh_id, vid, region, part): own vertices, touching faces, the vertices around, edges
+        with both ends in one region."""
+        own = self.vertices.join(regions, ["mesh_id", "vid"])
+        attributes = {"a": "vid", "b": "rim", "pri": "pri", **{c: c for c in ("x", "y", "z", *_Q)}}
+        corners = self.faces.select("*", F.explode(F.array("v0", "v1", "v2")).alias("vid"))
+        touching = stored(corners.join(regions.select("mesh_id", "vid", "region"), ["mesh_id", "vid"]).select("mesh_id", "region", "fid", "v0", "v1", "v2").distinct(), "touching")
+        self.spent.append(touching)
+        seen = touching.select("mesh_id", "region", F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
+        around = seen.join(regions.select("mesh_id", "region", "vid"), ["mesh_id", "region", "vid"], "left_anti").join(self.vertices, ["mesh_id", "vid"])
+        inside = edges
+        for end in ("hi", "lo"):
+            inside = inside.join(regions.select("mesh_id", F.col("vid").alias(end), F.col("region").alias(f"_{end}")), ["mesh_id", end])
+        inside = inside.where("_hi = _lo").withColumn("region", F.col("_hi"))
+        rows = _piece(own, "v", c="part", d="place", **attributes).union(_piece(around, "h", **attributes))
+        rows = rows.union(_piece(touching, "f", a="fid", b="v0", c="v1", d="v2"))
+        rows = rows.union(_piece(inside, "e", a="hi", b="lo", cost="cost", bound="bound", x="px", y="py", z="pz"))
+        return rows if more is None else rows.union(more)
+
+    def work(self, regions: DataFrame, edges: DataFrame, rule: _Rule, more: DataFrame | None = None) -> dict[str, int]:
+        """Lets the tasks work on their regions and takes over what they did, no more than each mesh's goal allows;
+        how many edges counted, were chosen, conflicted and were done in all, and the most and least of a region."""
+        self.spent: list[DataFrame] = []
+        given = stored(self.pieces(regions, edges, more), "pieces")
+        run = lambda rows: _worked(rows, rule)
+        done = stored(given.groupBy("mesh_id", "region").applyInPandas(run, PIECE), "done")
+        made = done.where("kind = 's'").groupBy("mesh_id").agg(F.sum("d").alias("made")).join(self.progress, "mesh_id")
+        over = made.where("made > now - goal").select("mesh_id", (F.col("now") - F.col("goal")).alias("room"))
+        if not over.isEmpty():
+            # the first of all that was done stays: in the order of the whole sequence, or by cost
+            over = stored(over, "over")
+            order = [F.col(c) for c in ("cost", "pri", "pri2", "a", "b", "c")]
+            ranked = placed(done.where("kind = 'c'").join(over, "mesh_id"), ["mesh_id"], order, "_place")
+            few = ranked.where(F.col("_place") <= F.col("room")).groupBy("mesh_id", "region").agg(F.count("*").alias("n"))
+            limits = done.where("kind = 's'").select("mesh_id", "region").join(over, "mesh_id", "left_semi").join(few, ["mesh_id", "region"], "left")
+            limited = given.union(_piece(limits, "l", a="coalesce(n, 0)"))
+            self.spent += [done, over]
+            done = stored(limited.groupBy("mesh_id", "region").applyInPandas(run, PIECE), "done")
+        row = done.where("kind = 's'").agg(*(F.sum(c).alias(c) for c in "abcd"), F.max("a").alias("most"), F.min("a").alias("least"), F.count("*").alias("n")).first()
+        counts = {k: row[c] or 0 for k, c in (("counted", "a"), ("chosen", "b"), ("conflicts", "c"), ("done", "d"), ("most", "most"), ("least", "least"), ("regions", "n"))}
+        if counts["done"]:
+            self.take(done)
+        discard(given, done, *self.spent)
+        return counts
+
+    def take(self, done: DataFrame) -> None:
+        with self.timed("queue_refresh_seconds"):
+            old = self.vertices, self.faces, self.edges, self.progress
+            made = done.where("kind = 's'").groupBy("mesh_id").agg(F.sum("d").alias("_made"))
+            self.progress = stored(self.progress.join(made, "mesh_id", "left").select("mesh_id", "goal", (F.col("now") - F.coalesce("_made", F.lit(0))).alias("now")), "progress")
+            touched = done.where("kind in ('v', 'x')").select("mesh_id", F.col("a").alias("vid"))
+            moved = done.where("kind = 'v'").select("mesh_id", F.col("a").alias("vid"), "x", "y", "z", *_Q, "pri", F.col("b").cast("int").alias("rim"), F.col("d").alias("place"))
+            self.vertices = stored(self.vertices.join(touched, ["mesh_id", "vid"], "left_anti").select(_VERTEX).union(moved.select(_VERTEX)), "vertices")
+            faces = done.where("kind in ('f', 'g')").select("mesh_id", F.col("a").alias("fid"))
+            changed = done.where("kind = 'f'").select("mesh_id", F.col("a").alias("fid"), F.col("b").alias("v0"), F.col("c").alias("v1"), F.col("d").alias("v2"))
+            self.faces = stored(self.faces.join(faces, ["mesh_id", "fid"], "left_anti").select("mesh_id", "fid", "v0", "v1", "v2").union(changed), "faces")
+            rest = self.edges
+            for end in ("hi", "lo"):
+                rest = rest.join(touched.select("mesh_id", F.col("vid").alias(end)), ["mesh_id", end], "left_anti")
+            new = done.where("kind = 'e'").select("mesh_id", F.col("a").alias("hi"), F.col("b").alias("lo"), F.col("pri").alias("pri_hi"), F.col("pri2").alias("pri_lo"), "cost", "bound", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+            self.edges = stored(rest.select(_EDGE).union(new.select(_EDGE)), "edges")
+            discard(*old)
+
+    def result(self, counts: dict[str, float], started: float) -> Simplified:
+        counts |= {"initial_vertex_count": self.start["vertices"], "initial_face_count": self.faces_before, "target_vertex_count": self.start["goal"], "final_vertex_count": self.totals()["vertices"], "final_face_count": self.faces.count()}
+        discard(self.edges, self.progress)
+        surface = Surface(self.vertices.select("mesh_id", "vid", "x", "y", "z"), self.faces)
+        return Simplified(surface, _stats(self.options, self.phases, _summary(self.options, counts, self.rounds), self.rounds, time.time() - started))
+
+
+class _Slabs(_Work):
+    """Rounds of batches."""
+
+    def __init__(self, surface: Surface, options: SimplifyOptions):
+        super().__init__(surface, options)
+        self.age = self.repartitions = 0
+        self.made_share = 1.0
+        #: slabs are so many times wider than they should be while nothing can be done in narrower ones
+        self.wide = 1
+        self.sizes: DataFrame | None = None
+
     def has_aged(self, open_vertices: int) -> bool:
         last = self.rounds[-1] if self.rounds else None
         interval = self.options.repartition_every or max(LEAST_AGE, math.ceil(AGED * open_vertices))
         return last is None or self.age >= interval or last["partition_load_imbalance"] > UNEVEN or last["boundary_edge_fraction"] > MIXED or self.made_share < WASTED
 
-    def priced(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Half edges and priced candidates with their slab (null: boundary) of the open meshes."""
-        vertices, faces = (t.join(open_, "mesh_id", "left_semi") for t in (self.vertices, self.faces))
-        with self.timed("half_edge_build_seconds"):
-            edges = stored(half_edges(faces), "edges")
-        with self.timed("queue_refresh_seconds" if self.rounds else "initial_queue_build_seconds"):
-            geometry, quadrics = vertices.select("mesh_id", "vid", "x", "y", "z"), vertices.select("mesh_id", "vid", *(f"q_{k}" for k in M.Q))
-            return edges, stored(P.edge_classes(edge_candidates(two_sided_edges(edges), geometry, quadrics), self.slabs), "priced")
-
-    def sound(self, edges: DataFrame, priced: DataFrame) -> DataFrame:
-        """Candidates that may collapse; without a batch size, the cheapest share of them."""
-        valid = collapsible_edges(edges, priced)
-        if self.options.batch_size:
-            return stored(valid, "valid")
-        # an exact quantile isn't needed: what is left out waits for a later round
-        every = stored(valid, "every")
-        limits = stored(every.groupBy("mesh_id").agg(F.percentile_approx("cost", SHARE, 1000).alias("_limit")), "limits")
-        out = stored(every.join(limits, "mesh_id").where(F.col("cost") <= F.col("_limit")).drop("_limit"), "valid")
-        discard(every, limits)
-        return out
-
-    def still_sound(self, boundary: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Half edges after the collapses done, and the boundary candidates that may still collapse; their prices
-        hold, as neither end has moved."""
-        faces = self.faces.join(boundary.select("mesh_id").distinct(), "mesh_id", "left_semi")
-        edges = stored(half_edges(faces), "edges")
-        moved = done.select("mesh_id", F.explode(F.array("hi", "lo")).alias("v"))
-        own = boundary.select("mesh_id", "hi", "lo", "px", "py", "pz", "cost", "part")
-        for end in ("hi", "lo"):
-            own = own.join(moved.select("mesh_id", F.col("v").alias(end)), ["mesh_id", end], "left_anti")
-        live = two_sided_edges(edges).join(own, ["mesh_id", "hi", "lo"])
-        return edges, stored(collapsible_edges(edges, live), "live")
-
-    def commit(self, chosen: DataFrame) -> int:
-        n = chosen.count()
-        if n:
-            made = chosen.groupBy("mesh_id").agg(F.count("*").alias("_made"))
-            now = F.col("now") - F.coalesce("_made", F.lit(0))
-            old = self.vertices, self.faces, self.slabs, self.progress
-            self.progress = stored(self.progress.join(made, "mesh_id", "left").select("mesh_id", "goal", now.alias("now")), "progress")
-            self.vertices, self.faces = stored(contract_vertices(self.vertices, chosen), "vertices"), stored(contract_faces(self.faces, chosen), "faces")
-            # what moved belongs to no slab until the next partitioning
-            moved = chosen.select("mesh_id", F.explode(F.array("hi", "lo")).alias("vid"))
-            self.slabs = stored(self.slabs.join(moved, ["mesh_id", "vid"], "left_anti"), "slabs")
-            discard(*old)
-            self.age += n
-        return n
-
-    def room(self) -> DataFrame:
-        return self.progress.select("mesh_id", (F.col("now") - F.col("goal")).alias("room"))
-
-    def chosen(self, valid: DataFrame, edges: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, int, int]:
-        """Collapses to be made now, how many were selected, and how many conflicted with them."""
-        free = greedy_batch(valid, edges)
-        selected = stored(_cheapest(free, keys, valid.select("mesh_id").distinct().withColumn("room", F.lit(most))), "selected") if most else free
-        n = selected.count()
-        out = stored(_cheapest(selected, ["mesh_id"], self.room()), "chosen")
-        rejected = valid.count() - free.count()
-        discard(free, selected)
-        return out, n, rejected
+    def deal(self) -> None:
+        """Numbers the vertices of each mesh along its longest axis; a slab is a range of numbers."""
+        box = stored(bounding_box(self.vertices).select("mesh_id", "axis", F.least(F.lit(MOST), F.ceil(F.col("n") / self.options.slabs)).cast("long").alias("size")), "boxes")
+        along = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
+        old = self.vertices, self.sizes
+        numbered = placed(self.vertices.drop("place").join(box.select("mesh_id", "axis"), "mesh_id"), ["mesh_id"], [along, F.col("vid")], "place")
+        self.vertices = stored(numbered.select(*_VERTEX[:-1], F.col("place").cast("long").alias("place")), "vertices")
+        self.sizes = box.select("mesh_id", "size")
+        discard(*old)
+
+    def regions(self, shift: bool) -> DataFrame:
+        """The slabs of the open meshes, shifted by half a slab or not, and the slab without a shift (part)."""
+        open_ = self.progress.where("now > goal").select("mesh_id")
+        size = F.col("size") * self.wide
+        part = F.floor((F.col("place") - 1) / size)
+        own = F.floor((F.col("place") - 1 + size / 2) / size) if shift else part
+        return self.vertices.join(open_, "mesh_id", "left_semi").join(self.sizes, "mesh_id").select("mesh_id", "vid", own.cast("long").alias("region"), part.cast("long").alias("part"))
 
     def run(self) -> bool:
-        """One round; whether it made a collapse."""
-        totals = self.totals()
-        anew = self.has_aged(totals["open"])
+        """One round; whether to go on."""
+        anew = self.has_aged(self.totals()["open"])
         if anew:
             with self.timed("partition_build_seconds"):
-                discard(self.slabs)
-                self.slabs, self.age = stored(P.slab_partitions(self.vertices, self.options.slabs), "slabs"), 0
-                self.repartitions += 1
+                self.deal()
+                self.age, self.repartitions = 0, self.repartitions + 1
+        options = self.options
         open_ = self.progress.where("now > goal").select("mesh_id")
-        edges, priced = self.priced(open_)
-        classes = priced.agg(F.count("part").alias("i"), F.count_if(F.col("part").isNull()).alias("b")).first()
-        interior, boundary = classes["i"], classes["b"]
-        worst = P.load_imbalance(priced, self.options.slabs).agg(F.max("imbalance").alias("x")).first()["x"] or 1.0
-        row: dict[str, float] = dict.fromkeys(ROUND, 0.0)
-        total = max(1, interior + boundary)
-        row |= {"interior_edge_fraction": interior / total, "boundary_edge_fraction": boundary / total, "partition_load_imbalance": worst, "local_queue_size": interior, "boundary_queue_size": boundary, "repartitioned": float(anew)}
+        total = self.edges.join(open_, "mesh_id", "left_semi").count()
         with self.timed("local_selection_seconds"):
-            valid = self.sound(edges, priced)
-            discard(priced)
-            chosen, selected, row["rejected_conflicts"] = self.chosen(valid.where("part is not null"), edges, ["mesh_id", "part"], self.options.batch_size)
-            local = self.commit(chosen)
-        row["accepted_local_collapses"] = local
-        self.made_share = local / max(1, selected)
-        with self.timed("boundary_repair_seconds"):
-            waiting = valid.where("part is null").join(self.progress.where("now > goal").select("mesh_id"), "mesh_id", "left_semi")
-            offered = waiting.count()
-            if offered:
-                after, live = self.still_sound(waiting, chosen)
-                late, _, rejected = self.chosen(live, after, ["mesh_id"], BOUNDARY_EACH * self.options.slabs if self.options.batch_size else 0)
-                row["skipped_boundary_edges"] = offered - live.count()
-                row["rejected_conflicts"] += rejected
-                row["accepted_boundary_collapses"] = self.commit(late)
-                discard(after, live, late)
-        discard(edges, valid, chosen)
+            local = self.work(self.regions(False), self.edges, _Rule(False, options.batch_size))
+        boundary = total - local["counted"]
+        late = dict.fromkeys(local, 0)
+        if boundary:
+            with self.timed("boundary_repair_seconds"):
+                late = self.work(self.regions(True), self.edges, _Rule(False, BOUNDARY_EACH if options.batch_size else 0, False))
+        imbalance = 1.0 if not local["most"] else float(local["most"]) if not local["least"] else local["most"] / local["least"]
+        row: dict[str, float] = dict.fromkeys(ROUND, 0.0)
+        row |= {"interior_edge_fraction": local["counted"] / max(1, total), "boundary_edge_fraction": boundary / max(1, total), "partition_load_imbalance": imbalance, "local_queue_size": local["counted"], "boundary_queue_size": boundary, "repartitioned": float(anew)}
+        row |= {"accepted_local_collapses": local["done"], "accepted_boundary_collapses": late["done"], "skipped_boundary_edges": late["chosen"] - late["done"], "rejected_conflicts": local["conflicts"] + late["conflicts"]}
         self.rounds.append(row)
-        return bool(local or row["accepted_boundary_collapses"])
+        self.age += local["done"] + late["done"]
+        self.made_share = local["done"] / max(1, local["chosen"])
+        if local["done"] or late["done"]:
+            self.wide = 1
+            return True
+        # nothing fits a slab: wider ones, until one holds all
+        self.wide *= 2
+        return boundary > 0
 
 
 def _batch(surface: Surface, options: SimplifyOptions) -> Simplified:
     started = time.time()
-    state = _Rounds(surface, options)
-    faces_before = state.faces.count()
+    state = _Slabs(surface, options)
     while state.totals()["open"]:
         if len(state.rounds) >= MOST_ROUNDS:
             raise RuntimeError(f"above the goal after {MOST_ROUNDS} rounds")
@@ -214,12 +348,108 @@ def _batch(surface: Surface, options: SimplifyOptions) -> Simplified:
     sums = {k: sum(r[k] for r in rounds) for k in ROUND}
     local, boundary = sums["accepted_local_collapses"], sums["accepted_boundary_collapses"]
     counts = {
-        "initial_vertex_count": state.start["vertices"], "initial_face_count": faces_before, "target_vertex_count": state.start["goal"], "final_vertex_count": state.totals()["vertices"], "final_face_count": state.faces.count(),
         "accepted_collapses": local + boundary, "accepted_local_collapses": local, "accepted_boundary_collapses": boundary, "skipped_boundary_edges": sums["skipped_boundary_edges"], "rejected_conflicts": sums["rejected_conflicts"],
         "repartition_count": state.repartitions, "queue_refresh_count": max(0, len(rounds) - 1),
     }
-    surface = Surface(state.vertices.select("mesh_id", "vid", "x", "y", "z"), state.faces)
-    return Simplified(surface, _stats(options, state.phases, _summary(options, counts, rounds), rounds, time.time() - started))
+    return state.result(counts, started)
+
+
+class _Sequence(_Work):
+    """Sequences up to rising thresholds (cost, priority of the survivor)."""
+
+    def __init__(self, surface: Surface, options: SimplifyOptions):
+        super().__init__(surface, options)
+        #: thresholds reached so far, by mesh; the share of edges that the next step takes in
+        self.reached: DataFrame | None = None
+        self.step = STEP
+
+    def _above(self, edges: DataFrame, reached: DataFrame | None) -> DataFrame:
+        if reached is None:
+            return edges
+        known = edges.join(reached, "mesh_id", "left")
+        return known.where("_c IS NULL OR bound > _c OR (bound = _c AND pri_hi > _p)").drop("_c", "_p")
+
+    def threshold(self, open_: DataFrame) -> DataFrame:
+        """(mesh_id, _c, _p): takes in a share of each mesh's edges that no threshold did before, by cost, and where
+        many costs are equal, by priority."""
+        left = stored(self._above(self.edges.join(open_, "mesh_id", "left_semi"), self.reached).select("mesh_id", "bound", "pri_hi"), "left")
+        cost = stored(left.groupBy("mesh_id").agg(F.percentile_approx("bound", self.step, 1000).alias("_c"), F.count("*").alias("_n")), "costs")
+        met = left.join(cost, "mesh_id")
+        parts = [(k + 1) / 20 for k in range(20)]
+        ties = met.groupBy("mesh_id", "_c", "_n").agg(F.count_if(F.col("bound") < F.col("_c")).alias("_less"), F.count_if(F.col("bound") == F.col("_c")).alias("_same"), F.percentile_approx(F.when(F.col("bound") == F.col("_c"), F.col("pri_hi")), parts, 1000).alias("_pris"))
+        share = (F.lit(self.step) * F.col("_n") - F.col("_less")) / F.col("_same")
+        place = F.least(F.lit(20), F.greatest(F.lit(1), F.ceil(share * 20))).cast("int")
+        out = stored(ties.select("mesh_id", "_c", F.element_at("_pris", place).cast("long").alias("_p")), "threshold")
+        discard(left, cost)
+        return out
+
+    def regions(self, large: DataFrame, threshold: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(mesh_id, vid, region) of the vertices of edges below the threshold, linked where they are neighbours; only
+        regions with an edge that no threshold took in before.  And the edges that count in them."""
+        low = stored(self.edges.join(large, "mesh_id", "left_semi").join(threshold, "mesh_id").where("bound < _c OR (bound = _c AND pri_hi <= _p)").select(_EDGE), "low")
+        nodes = stored(low.select("mesh_id", F.explode(F.array("hi", "lo")).alias("vid")).distinct(), "nodes")
+        links = self.edges
+        for end in ("hi", "lo"):
+            links = links.join(nodes.select("mesh_id", F.col("vid").alias(end)), ["mesh_id", end], "left_semi")
+        node = lambda end: F.struct(F.col("mesh_id"), F.col(end).alias("vid"))
+        found = connected_components(links.select(node("hi").alias("a"), node("lo").alias("b")), stored)
+        by = found.select(F.col("node.mesh_id").alias("mesh_id"), F.col("node.vid").alias("vid"), F.col("component.vid").alias("region"))
+        by = stored(by, "regions")
+        live = self._above(low, self.reached).select("mesh_id", F.col("hi").alias("vid")).join(by, ["mesh_id", "vid"]).select("mesh_id", "region").distinct()
+        sizes = by.groupBy("mesh_id", "region").agg(F.count("*").alias("_size")).join(live, ["mesh_id", "region"])
+        self.spare += [low, nodes, by]
+        return stored(by.join(sizes, ["mesh_id", "region"]).select("mesh_id", "vid", "region", "_size"), "live"), low
+
+    def run(self) -> bool:
+        """One step; whether there may be more to do."""
+        self.spare: list[DataFrame] = []
+        whole = F.lit(0).cast("long")
+        open_ = self.progress.where("now > goal")
+        small = open_.where(F.col("now") <= MOST).select("mesh_id")
+        done = 0
+        if not small.isEmpty():
+            small = stored(small, "small")
+            own = self.vertices.join(small, "mesh_id", "left_semi").select("mesh_id", "vid", whole.alias("region"), whole.alias("part"))
+            done += self.work(own, self.edges.join(small, "mesh_id", "left_semi"), _Rule(True))["done"]
+            # whatever of these is still open can't be brought down further
+            finished = small.select("mesh_id", F.lit(True).alias("_end"))
+            old = self.progress
+            self.progress = stored(self.progress.join(finished, "mesh_id", "left").select("mesh_id", F.when(F.col("_end"), F.col("now")).otherwise(F.col("goal")).alias("goal"), "now"), "progress")
+            discard(old, small)
+        large = self.progress.where((F.col("now") > F.col("goal")) & (F.col("now") > MOST)).select("mesh_id")
+        if large.isEmpty():
+            return False
+        large = stored(large, "large")
+        threshold = self.threshold(large)
+        if threshold.isEmpty():
+            return False
+        regions, low = self.regions(large, threshold)
+        largest = regions.agg(F.max("_size")).first()[0] or 0
+        if largest > MOST and self.step > 1e-9:
+            # too much hangs together below this threshold: nothing was done yet, so a lower one is as good
+            self.step /= 4
+        else:
+            rows = regions.select("mesh_id", "region").distinct().join(threshold, "mesh_id")
+            more = _piece(rows, "t", cost="_c", pri="_p")
+            self.work(regions.select("mesh_id", "vid", "region", whole.alias("part")), low, _Rule(True), more)
+            kept = threshold if self.reached is None else threshold.union(self.reached.join(threshold, "mesh_id", "left_anti"))
+            old, self.reached = self.reached, stored(kept, "reached")
+            discard(old)
+            self.step = min(STEP, self.step * 2)
+        discard(threshold, regions, large, *self.spare)
+        return True
+
+
+def _sequential(surface: Surface, options: SimplifyOptions) -> Simplified:
+    started = time.time()
+    state = _Sequence(surface, options)
+    with state.timed("local_selection_seconds"):
+        steps = 0
+        while state.totals()["open"] and state.run():
+            steps += 1
+            if steps >= MOST_ROUNDS:
+                raise RuntimeError(f"above the goal after {MOST_ROUNDS} rounds")
+    return state.result({"accepted_collapses": state.start["vertices"] - state.totals()["vertices"]}, started)
 
 
 def _summary(options: SimplifyOptions, counts: dict[str, float], rounds: list[dict[str, float]]) -> dict[str, float]:
@@ -242,119 +472,6 @@ def _stats(options: SimplifyOptions, phases: dict, summary: dict, rounds: list[d
     return out + [("metric", f"round_{i}", k, float(v), None) for i, r in enumerate(rounds) for k, v in r.items()]
 
 
-class _Mesh:
-    """One mesh in memory, collapsed edge by edge: a helper of the sequential mode."""
-
-    def __init__(self, vertices: pd.DataFrame, faces: pd.DataFrame):
-        self.place = dict(zip(vertices["vid"].tolist(), vertices[["x", "y", "z"]].to_numpy(float), strict=True))
-        self.faces = {f: (a, b, c) for f, a, b, c in faces[["fid", "v0", "v1", "v2"]].itertuples(index=False)}
-        self.around: dict[int, set[int]] = {v: set() for v in self.place}
-        self.sum = {v: np.zeros((4, 4)) for v in self.place}
-        for f, own in self.faces.items():
-            p = [self.place[v] for v in own]
-            n = np.cross(p[1] - p[0], p[2] - p[0])
-            size = np.sqrt(n @ n)
-            n = n / size if size else n * 0
-            plane = np.append(n, -n @ p[0])
-            for v in own:
-                self.around[v].add(f)
-                self.sum[v] += np.outer(plane, plane)
-
-    def edge(self, a: int, b: int) -> tuple[float, np.ndarray]:
-        q = self.sum[a] + self.sum[b]
-        m = q[:3, :3]
-        point = np.linalg.solve(m, -q[:3, 3]) if abs(np.linalg.det(m)) >= M.SINGULAR else (self.place[a] + self.place[b]) / 2
-        full = np.append(point, 1.0)
-        return float(full @ q @ full), point
-
-    def near(self, v: int) -> set[int]:
-        return {w for f in self.around[v] for w in self.faces[f]} - {v}
-
-    def closed(self, v: int) -> bool:
-        ring = {}
-        for f in self.around[v]:
-            a, b, c = self.faces[f]
-            x, y = (b, c) if a == v else (c, a) if b == v else (a, b)
-            if x in ring:
-                return False
-            ring[x] = y
-        if not ring:
-            return False
-        first = at = next(iter(ring))
-        for k in range(1, len(ring) + 1):
-            at = ring.get(at)
-            if at is None or (at == first) != (k == len(ring)):
-                return False
-        return True
-
-    def sound(self, a: int, b: int) -> bool:
-        both = self.around[a] & self.around[b]
-        opposite = {w for f in both for w in self.faces[f]} - {a, b}
-        return len(both) == 2 and self.closed(a) and self.closed(b) and self.near(a) & self.near(b) == opposite
-
-    def collapse(self, hi: int, lo: int, point: np.ndarray) -> None:
-        for f in list(self.around[hi]):
-            own = tuple(lo if v == hi else v for v in self.faces[f])
-            if len(set(own)) < 3:
-                for v in self.faces[f]:
-                    self.around[v].discard(f)
-                del self.faces[f]
-            else:
-                self.faces[f] = own
-                self.around[lo].add(f)
-        self.place[lo] = point
-        self.sum[lo] = self.sum[lo] + self.sum[hi]
-        del self.place[hi], self.sum[hi], self.around[hi]
-
-    def run(self, goal: int) -> None:
-        version: dict[tuple[int, int], int] = {}
-        heap: list[tuple] = []
-
-        def offer(a: int, b: int) -> None:
-            key = (max(a, b), min(a, b))
-            cost, point = self.edge(*key)
-            version[key] = version.get(key, 0) + 1
-            heapq.heappush(heap, (round(cost, 6) + 0.0, *key, version[key], tuple(point)))
-
-        for a, b in {(max(x, y), min(x, y)) for own in self.faces.values() for x, y in ((own[0], own[1]), (own[1], own[2]), (own[2], own[0]))}:
-            offer(a, b)
-        while heap and len(self.place) > goal:
-            _, hi, lo, n, point = heapq.heappop(heap)
-            if version.get((hi, lo)) != n or hi not in self.place or lo not in self.place or not self.sound(hi, lo):
-                continue
-            for v in self.near(hi):
-                version.pop((max(hi, v), min(hi, v)), None)
-            self.collapse(hi, lo, np.array(point))
-            ring = self.near(lo)
-            for a, b in {(max(v, w), min(v, w)) for v in ring | {lo} for w in self.near(v)}:
-                offer(a, b)
-
-
-def _sequential(surface: Surface, options: SimplifyOptions) -> Simplified:
-    started = time.time()
-    schema = f"{VERTEX_SCHEMA}, kind string, fid long, v0 long, v1 long, v2 long"
-    fraction = options.target_fraction
-
-    def run(key: tuple, vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
-        mesh = _Mesh(vertices, faces)
-        mesh.run(target_count(fraction, len(vertices)))
-        names = ["mesh_id", "vid", "x", "y", "z", "kind", "fid", "v0", "v1", "v2"]
-        rows = [(key[0], i, *p, "v", None, None, None, None) for i, p in sorted(mesh.place.items())]
-        rows += [(key[0], None, None, None, None, "f", i, *own) for i, own in sorted(mesh.faces.items())]
-        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("vid", "fid", "v0", "v1", "v2")})
-
-    # both tables may stem from one; read from the shared folder they have nothing in common
-    vertices, faces = stored(surface.vertices, "vertices"), stored(surface.faces, "faces")
-    both = stored(vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(run, schema), "sequential")
-    left = Surface(both.where("kind = 'v'").select(*(c.split()[0] for c in VERTEX_SCHEMA.split(", "))), both.where("kind = 'f'").select(*(c.split()[0] for c in FACE_SCHEMA.split(", "))))
-    sizes = vertices.groupBy("mesh_id").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.count("*"))).alias("goal"))
-    n, goal = sizes.agg(F.sum("n"), F.sum("goal")).first()
-    m = left.vertices.count()
-    counts = {"initial_vertex_count": n, "initial_face_count": faces.count(), "target_vertex_count": goal, "final_vertex_count": m, "final_face_count": left.faces.count(), "accepted_collapses": n - m}
-    phases = dict.fromkeys(PHASES, 0.0)
-    return Simplified(left, _stats(options, phases, _summary(options, counts, []), [], time.time() - started))
-
-
 def simplify_fraction(surface: Surface, fraction: float, threads: int = 1) -> Surface:
     """Sequential simplification to a fraction of the vertices."""
     return simplify(surface, SimplifyOptions(fraction, threads, SEQUENTIAL)).surface
