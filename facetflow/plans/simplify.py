@@ -83,8 +83,6 @@ class _Rule:
 
 
 def simplify(surface: Surface, options: SimplifyOptions) -> Simplified:
-    if surface.faces.isEmpty():
-        raise ValueError("a mesh needs at least one face to be simplified")
     return _sequential(surface, options) if options.mode == SEQUENTIAL else _batch(surface, options)
 
 
@@ -172,10 +170,13 @@ class _Work:
         self.options, self.phases = options, dict.fromkeys(PHASES, 0.0)
         with self.timed("half_edge_build_seconds"):
             self.faces = stored(surface.faces, "faces")
-            edges = stored(half_edges(self.faces), "half-edges")
+            self.faces_before = self.faces.count()
+            if not self.faces_before:
+                raise ValueError("a mesh needs at least one face to be simplified")
+            points, edges = stored(surface.vertices, "points"), stored(half_edges(self.faces), "half-edges")
         with self.timed("initial_quadrics_seconds"):
             rims = boundary_edges(edges).select("mesh_id", F.explode(F.array("src", "dst")).alias("vid")).distinct().withColumn("rim", F.lit(1))
-            every = surface.vertices.join(vertex_quadrics(self.faces, surface.vertices), ["mesh_id", "vid"]).join(rims, ["mesh_id", "vid"], "left")
+            every = points.join(vertex_quadrics(self.faces, points), ["mesh_id", "vid"]).join(rims, ["mesh_id", "vid"], "left")
             self.vertices = stored(every.select("mesh_id", "vid", "x", "y", "z", *_Q, F.xxhash64("vid").alias("pri"), F.coalesce("rim", F.lit(0)).alias("rim"), F.lit(0).cast("long").alias("place")), "vertices")
         with self.timed("initial_queue_build_seconds"):
             inner = self.vertices.where("rim = 0")
@@ -185,10 +186,9 @@ class _Work:
             self.edges = stored(_priced(pairs), "edges")
         goal = F.greatest(F.lit(1), F.ceil(F.lit(options.target_fraction) * F.count("*"))).cast("long")
         self.progress = stored(self.vertices.groupBy("mesh_id").agg(goal.alias("goal"), F.count("*").alias("now")), "progress")
-        discard(edges)
+        discard(points, edges)
         self.rounds: list[dict[str, float]] = []
         self.start = self.totals()
-        self.faces_before = self.faces.count()
 
     @contextlib.contextmanager
     def timed(self, phase: str) -> Iterator[None]:
