@@ -43,7 +43,7 @@ LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 #: Bytes of text, and documents, of a block that is indexed at once; a shard is no larger.
 BLOCK_BYTES, BLOCK_DOCS = 1_500_000, 60_000
 #: Bytes of text for which there is one index partition, and bytes of shards that are visited together.
-PARTITION_BYTES, HELD_BYTES = 48_000_000, 16_000_000
+PARTITION_BYTES, HELD_BYTES = 16_000_000, 16_000_000
 #: Terms of a block of items; an item counts as ITEM_TERMS more.
 BLOCK_TERMS, ITEM_TERMS = 100_000, 100
 #: Postings that are scored, and scores that are held, at once.
