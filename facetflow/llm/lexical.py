@@ -6,8 +6,9 @@ tf, and the impact of a tf is computed once for all documents that share it.  Th
 what an item's terms can add up to in a stratum; items visit strata by falling bounds, and leave out those
 whose bound is below the least score that they have to beat.
 
-- Documents are dealt by ranges of (m, doc_id), so a stratum of any size is cut over as many tasks as it needs;
-  what one task holds of a stratum is a shard, with a header (terms, documents and largest tf by term) and
+- Documents are dealt by ranges of their lengths that hold about equal numbers of bytes, and a range that holds
+  more is dealt again at random, so a stratum of any size is cut over as many tasks as it needs; what one task
+  holds of a stratum is a shard, with a header (terms, documents and largest tf by term) and
   postings apart from it.
 - Items are answered in blocks of a bounded number of terms, each against the whole index: a first pass over
   headers counts the documents of each term, a second one visits every task's best shard for each item and so
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import byte_blocks, distinct_spans, id_and_text, joined, members, ranges, runs_of, shuffle_width, stored
+from facetflow.llm.common import byte_blocks, distinct_spans, id_and_text, joined, members, mix64, ranges, runs_of, shuffle_width, stored
 from facetflow.operators.tables import placed, running_sum
 
 BEST = 10
@@ -72,30 +73,63 @@ def _cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]
     return data.tobytes(), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _lengths(docs: DataFrame, column: str) -> DataFrame:
-    """docs with the number of terms of each text."""
+def _kind(n: np.ndarray) -> np.ndarray:
+    """Numbers of terms by size, sixteen kinds each time they double: at most a thousand kinds."""
+    return np.floor(16 * np.log2(n)).astype(np.int64)
+
+
+def _dealt(docs: DataFrame, documents: int, terms: int, first: np.ndarray, wide: np.ndarray) -> DataFrame:
+    """doc_id, text, m and slot of the documents with terms: those of kind k go to wide[k] slots from first[k]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.uint64(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            n = [np.bincount(_cut(texts)[3], minlength=b - a) for a, b, texts in byte_blocks(batch, BLOCK_BYTES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], names=[*batch.schema.names, column])
+            n = np.concatenate([np.zeros(0, np.int64), *(np.bincount(_cut(texts)[3], minlength=b - a) for a, b, texts in byte_blocks(batch, BLOCK_BYTES))])
+            at = np.flatnonzero(n)
+            kind = _kind(n[at])
+            # by the place in the input, so that rows that repeat one id part, too
+            slot = first[kind] + (mix64(row + at.astype(np.uint64)) % wide[kind].astype(np.uint64)).astype(np.int64)
+            row += np.uint64(len(n))
+            m = [10 + (90 * x * documents) // terms for x in n[at].tolist()]
+            some = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(m, pa.int64()), pa.array(slot)], names=["doc_id", "text", "m", "slot"])
 
-    return docs.mapInArrow(run, f"doc_id long, text string, {column} long")
+    return docs.mapInArrow(run, "doc_id long, text string, m long, slot long")
 
 
-def _totals(docs: DataFrame) -> tuple[int, int, int]:
-    """Documents with terms, their terms, and bytes of text."""
+def _totals(docs: DataFrame) -> list[tuple[int, int, int, int]]:
+    """By kind of length: documents with terms, their terms, and bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(3, dtype=np.int64)
+        sums = np.zeros((3, 1024), dtype=np.int64)
         for batch in batches:
             for a, b, texts in byte_blocks(batch, BLOCK_BYTES):
                 n = np.bincount(_cut(texts)[3], minlength=b - a)
-                sums += [np.count_nonzero(n), n.sum(), sum(map(len, texts))]
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], names=["n", "l", "size"])
-
-    row = docs.mapInArrow(run, "n long, l long, size long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "l", "size"))).first()
-    return row["n"], row["l"], row["size"]
+                at = np.flatnonzero(n)
+                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+                for own, values in zip(sums, (np.ones(len(at), np.int64), n[at], sizes[at]), strict=True):
+                    np.add.at(own, _kind(n[at]), values)
+        kinds = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(x[kinds]) for x in sums)], names=["kind", "n", "l", "size"])
+
+    rows = docs.mapInArrow(run, "kind long, n long, l long, size long").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "l", "size")))
+    return [tuple(r) for r in rows.orderBy("kind").collect()]
+
+
+def _slots(totals: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """First slot and number of slots of each kind, and how many there are: about PARTITION_BYTES each."""
+    first, wide = np.zeros(1024, dtype=np.int64), np.ones(1024, dtype=np.int64)
+    slot, filled = 0, 0
+    for kind, _, _, size in totals:
+        parts = -(-size // PARTITION_BYTES)
+        if filled and filled + size > PARTITION_BYTES:
+            slot, filled = slot + 1, 0
+        first[kind], wide[kind] = slot, max(1, parts)
+        if parts > 1:
+            slot, filled = slot + parts, 0
+        else:
+            filled += size
+    return first, wide, slot + 1
 
 
 def _shards(ids: np.ndarray, m: np.ndarray, texts: list[bytes]) -> Iterator[tuple]:
@@ -132,12 +166,11 @@ def _shards(ids: np.ndarray, m: np.ndarray, texts: list[bytes]) -> Iterator[tupl
 
 
 def build_index(docs: DataFrame, spark: SparkSession) -> Index:
-    """Indexes every document: texts are dealt by ranges of (m, doc_id) and cut into terms where they arrive."""
+    """Indexes every document: texts are dealt by length and cut into terms where they arrive."""
     docs = id_and_text(docs).where(F.col("doc_id").isNotNull())
-    documents, terms, size = _totals(docs)
-    # the last key parts rows that repeat one id
-    sized = _lengths(docs, "n").where("n > 0").withColumn("m", F.expr(f"10 + (90L * n * {documents}L) div {max(terms, 1)}L")).withColumn("row", F.monotonically_increasing_id())
-    width = max(shuffle_width(spark), -(-size // PARTITION_BYTES))
+    totals = _totals(docs)
+    documents, terms = sum(t[1] for t in totals), sum(t[2] for t in totals)
+    first, wide, slots = _slots(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -168,7 +201,7 @@ def build_index(docs: DataFrame, spark: SparkSession) -> Index:
         if texts:
             yield made()
 
-    dealt = sized.repartitionByRange(width, "m", "doc_id", "row").sortWithinPartitions("m", "doc_id")
+    dealt = _dealt(docs, documents, terms, first, wide).repartition(max(shuffle_width(spark), slots), "slot").sortWithinPartitions("m", "doc_id")
     return Index(stored(dealt.select("m", "doc_id", "text").mapInArrow(run, _INDEX), spark, "shards"), documents, terms)
 
 
