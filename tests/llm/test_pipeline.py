@@ -59,7 +59,7 @@ def test_query_matches_sql(spark, sf_dir, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found, expected = queries()[name](spark, sf_dir).toPandas(), db.sql(oracle_sql()[name]).df()
     tidy = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(str).itertuples(index=False, name=None)))
