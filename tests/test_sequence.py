@@ -87,7 +87,7 @@ SURFACES = {"terrain": lambda s: terrain(s, "/root/testdata/sf0.001"), "shell":
 @pytest.mark.parametrize(("name", "most", "fraction"), [("terrain", 20_000, 0.6), ("shell", 350, 0.85), ("flat", 90, 0.6)])
 def test_the_sequence_is_the_plain_one(spark, monkeypatch, name, most, fraction):
     monkeypatch.setattr(S, "MOST", most)
-    monkeypatch.setattr(S, "STEP", 0.1)
+    monkeypatch.setattr(S, "STEP", 0.04 if name == "shell" else 0.1)
     options = SimplifyOptions(fraction, mode="sequential")
     work = S._Sequence(SURFACES[name](spark), options)
     plain = Plain(work.vertices.collect(), work.faces.collect())
