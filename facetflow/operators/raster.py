@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators.tables import stored
 
-BLANK = 255
+# Background, colour of a lone vertex, shade of a face and its share that falls off, least
+# span of a picture and least area (twice) of a face in it.
+BLANK, SPLAT = 255, 45
+SHADE, FALL = 215, 85
+LEAST_SPAN, LEAST_AREA = 1e-12, 1e-8
 #: Width and height of a picture, and its margin, where none are given.
 SIDE, PADDING = 512, 24
-SPLAT = 45
-LEAST_SPAN = 1e-12
+#: Side of a tile, pixels that a task looks at together, and winners that it holds before it sends them off.
+TILE, AT_ONCE, HELD = 64, 1 << 20, 1 << 20
 # How a known mesh is looked at, and turned, where nothing else is asked for.
 PROJECTIONS = ("xy", "-xy", "xz", "-xz", "yz", "-yz")
 AUTO = "auto"
@@ -59,44 +67,144 @@ def raster_points(vertices: DataFrame, projection: str, width: int, height: int,
     return flat.join(fit, "mesh_id").select("mesh_id", "vid", px.alias("px"), py.alias("py"), "depth")
 
 
-def face_shades(faces: DataFrame, vertices: DataFrame, projection: str) -> DataFrame:
-    """(mesh_id, fid, color): flat shade by how far a face looks at the viewer, halves to even."""
-    from facetflow.operators.quadrics import corners
-
-    n = M.cross(M.sub(M.vec("b"), M.vec("a")), M.sub(M.vec("c"), M.vec("a")))
+def face_shade(projection: str, a: M.Vec, b: M.Vec, c: M.Vec) -> Column:
+    """Flat shade of a face by how far it looks at the viewer, halves to even."""
+    n = M.cross(M.sub(b, a), M.sub(c, a))
     size = F.greatest(M.length(n), F.lit(1e-12))
-    plane = projection.removeprefix("-")
-    toward = {"xy": n[2], "yz": n[0]}.get(plane, n[1])
-    return corners(faces, vertices).select("mesh_id", "fid", F.bround(215 - 85 * F.abs(toward / size), 0).cast("int").alias("color"))
+    toward = {"xy": n[2], "yz": n[0]}.get(projection.removeprefix("-"), n[1])
+    return F.bround(SHADE - FALL * F.abs(toward / size), 0).cast("int")
+
+
+def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sizes 2, 3: the owners 0 0 1 1 1 and the places 0 1 0 1 2."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _shares(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes add up to most, or that hold one."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _rounded(depth: np.ndarray) -> np.ndarray:
+    """To DEPTH_DIGITS, halves away from zero; doubles too large to have such digits stay."""
+    k = 10.0**DEPTH_DIGITS
+    return np.where(np.abs(depth) * k >= 2.0**52, depth, np.copysign(np.floor(np.abs(depth) * k + 0.5) / k, depth)) + 0.0
+
+
+def _nearest(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A row for each key: the greatest depth, the first face among equals."""
+    order = np.lexsort((rows["fid"], -rows["depth"], rows["key"]))
+    keys = rows["key"][order]
+    first = order[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else order
+    return {name: column[first] for name, column in rows.items()}
+
+
+def _painter(width: int, height: int, tile: int, at_once: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Faces in, winners out.  Faces are binned by the tiles that their boxes touch, tiles are filled in shares
+    of at_once pixels, and no more than about held winners are kept before they go to be merged with those of
+    other tasks; so a task's memory doesn't grow with its faces."""
+    across = -(-width // tile)
+
+    def share(face: dict[str, np.ndarray], own: np.ndarray, tx: np.ndarray, ty: np.ndarray) -> dict[str, np.ndarray]:
+        """Winners among bins: the face own meets the tile (tx, ty)."""
+        left, right = np.maximum(face["x0"][own], tx * tile), np.minimum(face["x1"][own], tx * tile + tile - 1)
+        top, bottom = np.maximum(face["y0"][own], ty * tile), np.minimum(face["y1"][own], ty * tile + tile - 1)
+        wide = right - left + 1
+        bin_of, at = _runs(wide * (bottom - top + 1))
+        px, py, f = left[bin_of] + at % wide[bin_of], top[bin_of] + at // wide[bin_of], own[bin_of]
+        x, y = px + 0.5, py + 0.5
+        w = []
+        for u, v in ("bc", "ca", "ab"):
+            ux, uy, vx, vy = (face[k][f] for k in (f"{u}x", f"{u}y", f"{v}x", f"{v}y"))
+            w.append(((x - ux) * (vy - uy) - (y - uy) * (vx - ux)) / face["area"][f])
+        inside = (w[0] >= 0) & (w[1] >= 0) & (w[2] >= 0)
+        f, w = f[inside], [k[inside] for k in w]
+        depth = _rounded(w[0] * face["ad"][f] + w[1] * face["bd"][f] + w[2] * face["cd"][f])
+        key = (face["mesh"][f] * height + py[inside]) * width + px[inside]
+        return _nearest({"key": key, "depth": depth, "fid": face["fid"][f], "color": face["color"][f]})
+
+    def binned(face: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        ranges = [(face[f"{k}0"] // tile, face[f"{k}1"] // tile) for k in "xy"]
+        counts = (ranges[0][1] - ranges[0][0] + 1) * (ranges[1][1] - ranges[1][0] + 1)
+        for part in _shares(counts, at_once):
+            n = ranges[0][1][part] - ranges[0][0][part] + 1
+            owner, at = _runs(counts[part])
+            tx, ty, own = ranges[0][0][part][owner] + at % n[owner], ranges[1][0][part][owner] + at // n[owner], owner + part.start
+            order = np.lexsort((ty * across + tx, face["mesh"][own]))  # a tile's faces together
+            own, tx, ty = own[order], tx[order], ty[order]
+            wide = np.minimum(face["x1"][own], tx * tile + tile - 1) - np.maximum(face["x0"][own], tx * tile) + 1
+            high = np.minimum(face["y1"][own], ty * tile + tile - 1) - np.maximum(face["y0"][own], ty * tile) + 1
+            for some in _shares(wide * high, at_once):
+                yield share(face, own[some], tx[some], ty[some])
+
+    def out(names: list[str], rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        mesh, pixel = np.divmod(rows["key"], width * height)
+        return pa.RecordBatch.from_pydict(
+            {
+                "mesh_id": pa.DictionaryArray.from_arrays(pa.array(mesh.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string()),
+                "fid": rows["fid"],
+                "px": (pixel % width).astype(np.int32),
+                "py": (pixel // width).astype(np.int32),
+                "depth": rows["depth"],
+                "color": rows["color"].astype(np.int32),
+            }
+        )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mesh = batch.column("mesh_id").dictionary_encode()
+            code = np.array([codes.setdefault(n, len(codes)) for n in mesh.dictionary.to_pylist()], dtype=np.int64)
+            face = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "mesh_id"}
+            face["mesh"] = code[mesh.indices.to_numpy()]
+            for found in binned(face):
+                best = found if best is None else _nearest({n: np.concatenate((c, found[n])) for n, c in best.items()})
+                if len(best["key"]) > held:
+                    yield out(list(codes), best)
+                    best = None
+            if best is None:
+                codes = {}
+        if best is not None:
+            yield out(list(codes), best)
+
+    return task
 
 
 def rasterize(vertices: DataFrame, faces: DataFrame, projection: str, width: int = SIDE, height: int = SIDE, padding: int = PADDING) -> DataFrame:
     """(mesh_id, px, py, depth, color) of the pixels that a face covers; all others are blank.
 
-    A face is spread over the pixels of its box, at most width x height rows; the greatest depth wins, the
-    first face among equals.  A mesh without faces shows its vertices.
+    The greatest depth wins, the first face among equals.  Tasks fill the tiles that their faces touch and
+    send only each pixel's winner, so what is shuffled follows faces and pixels of the picture, not their
+    product.  Faces with a corner that doesn't exist or has no place aren't drawn.  A mesh without faces shows
+    its vertices; an empty table gives no pixels.
     """
-    points = raster_points(vertices, projection, width, height, padding)
+    c = F.col
+    points = raster_points(vertices, projection, width, height, padding).join(vertices.select("mesh_id", "vid", *"xyz"), ["mesh_id", "vid"])
     out = faces.select("mesh_id", "fid", "v0", "v1", "v2")
     for v, k in (("v0", "a"), ("v1", "b"), ("v2", "c")):
-        out = out.join(points.select("mesh_id", F.col("vid").alias(v), F.col("px").alias(f"{k}x"), F.col("py").alias(f"{k}y"), F.col("depth").alias(f"{k}d")), ["mesh_id", v])
-    c = F.col
-    out = out.withColumn("area", M.edge_side(c("ax"), c("ay"), c("bx"), c("by"), c("cx"), c("cy"))).where(F.abs("area") >= 1e-8)
+        own = [c("px").alias(f"{k}x"), c("py").alias(f"{k}y"), c("depth").alias(f"{k}d"), *(c(axis).alias(f"{k}_{axis}") for axis in "xyz")]
+        out = out.join(points.select("mesh_id", c("vid").alias(v), *own), ["mesh_id", v])
+    area = M.edge_side(c("ax"), c("ay"), c("bx"), c("by"), c("cx"), c("cy"))
     low = lambda k: F.greatest(F.lit(0), F.floor(F.least(f"a{k}", f"b{k}", f"c{k}"))).cast("int")
     high = lambda k, n: F.least(F.lit(n - 1), F.ceil(F.greatest(f"a{k}", f"b{k}", f"c{k}"))).cast("int")
-    for k, name, n in (("x", "px", width), ("y", "py", height)):
-        out = out.withColumns({"_from": low(k), "_to": high(k, n)}).where("_from <= _to").withColumn(name, F.explode(F.sequence("_from", "_to")))
-    x, y = c("px") + 0.5, c("py") + 0.5
-    w0 = M.edge_side(c("bx"), c("by"), c("cx"), c("cy"), x, y) / c("area")
-    w1 = M.edge_side(c("cx"), c("cy"), c("ax"), c("ay"), x, y) / c("area")
-    w2 = M.edge_side(c("ax"), c("ay"), c("bx"), c("by"), x, y) / c("area")
-    inside = out.withColumns({"w0": w0, "w1": w1, "w2": w2}).where("w0 >= 0 and w1 >= 0 and w2 >= 0")
-    depth = F.round(c("w0") * c("ad") + c("w1") * c("bd") + c("w2") * c("cd"), DEPTH_DIGITS) + F.lit(0.0)
-    lit = inside.select("mesh_id", "fid", "px", "py", depth.alias("depth")).join(face_shades(faces, vertices, projection), ["mesh_id", "fid"])
+    boxes = out.where(F.abs(area) >= LEAST_AREA).select(
+        "mesh_id", c("fid").cast("long").alias("fid"), *(k + j for k in "abc" for j in "xyd"), area.alias("area"), face_shade(projection, *(M.vec(f"{k}_") for k in "abc")).alias("color"),
+        low("x").alias("x0"), high("x", width).alias("x1"), low("y").alias("y0"), high("y", height).alias("y1"),
+    )
+    seen = boxes.where("x0 <= x1 and y0 <= y1").where((c("ad") + c("bd") + c("cd")).isNotNull())
+    lit = seen.mapInArrow(_painter(width, height, TILE, AT_ONCE, HELD), "mesh_id string, fid long, px int, py int, depth double, color int")
     bare = points.join(faces.select("mesh_id").distinct(), "mesh_id", "left_anti")
     dots = bare.select("mesh_id", c("vid").alias("fid"), F.bround("px", 0).cast("int").alias("px"), F.bround("py", 0).cast("int").alias("py"), "depth", F.lit(SPLAT).alias("color")).where(f"px >= 0 and px < {width} and py >= 0 and py < {height}")
     nearest = F.max_by(F.struct("depth", "color"), F.struct("depth", -c("fid"))).alias("n")
-    return lit.select("mesh_id", "fid", "px", "py", "depth", "color").union(dots).groupBy("mesh_id", "px", "py").agg(nearest).select("mesh_id", "px", "py", "n.depth", "n.color")
+    return lit.union(dots).groupBy("mesh_id", "px", "py").agg(nearest).select("mesh_id", "px", "py", "n.depth", "n.color")
 
 
 def turned_left(pixels: DataFrame, width: int) -> DataFrame:
