@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 Vec = tuple[Column, Column, Column]
 #: The ten entries of a symmetric 4 x 4 matrix, by row.
 Q = ("aa", "ab", "ac", "ad", "bb", "bc", "bd", "cc", "cd", "dd")
-#: Below this determinant (absolute) a quadric has no single best point.
-SINGULAR = 1e-8
+# Below this determinant, or with a pivot below the second (absolute), a quadric has no single best point.
+SINGULAR, LEAST_PIVOT = 1e-8, 1e-12
 
 
 def vec(prefix: str = "") -> Vec:
@@ -102,10 +102,27 @@ def solve(q: Sequence[Column]) -> tuple[Column, Vec]:
     return whole, tuple(F.try_divide(determinant(r), whole) for r in replaced)
 
 
+def least_pivot(m: Sequence[Sequence[Column]]) -> Column:
+    """The least pivot (absolute) of an elimination that takes the largest entry of each column; null if one is 0.
+
+    Pivots are quotients of leading minors, and choosing rows chooses among the minors: the first is the
+    largest entry of the first column, the first two make the largest 2 x 2 minor with that row, all three
+    make the determinant.  So no elimination has to be written out.
+    """
+    first = [F.abs(m[k][0]) for k in range(3)]
+    pair = {(i, j): F.abs(m[i][0] * m[j][1] - m[j][0] * m[i][1]) for i, j in ((0, 1), (0, 2), (1, 2))}
+    one = F.greatest(*first)
+    two = F.when(first[0] == one, F.greatest(pair[0, 1], pair[0, 2])).when(first[1] == one, F.greatest(pair[0, 1], pair[1, 2])).otherwise(F.greatest(pair[0, 2], pair[1, 2]))
+    second, third = F.try_divide(two, one), F.try_divide(F.abs(determinant(m)), two)
+    return F.when(second.isNotNull() & third.isNotNull(), F.least(one, second, third))
+
+
 def best_point(q: Sequence[Column], a: Vec, b: Vec) -> Vec:
-    """Where the quadric is least, or halfway between a and b if that isn't determined."""
+    """Where the quadric is least, or halfway between a and b if that isn't determined: the determinant is
+    small, or a pivot of the elimination is."""
     whole, point = solve(q)
-    return tuple(F.when((F.abs(whole) >= SINGULAR) & p.isNotNull(), p).otherwise((x + y) / 2) for p, x, y in zip(point, a, b, strict=True))
+    known = (F.abs(whole) >= SINGULAR) & F.coalesce(least_pivot(upper(q)) >= LEAST_PIVOT, F.lit(False))
+    return tuple(F.when(known & p.isNotNull(), p).otherwise((x + y) / 2) for p, x, y in zip(point, a, b, strict=True))
 
 
 def plane(p0: Vec, p1: Vec, p2: Vec) -> tuple[Vec, Column, Column]:

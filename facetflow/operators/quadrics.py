@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
+from facetflow.functions.exact import exact_sums
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -24,11 +25,14 @@ def face_planes(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def vertex_quadrics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(mesh_id, vid, q_aa .. q_dd): sums over the planes of a vertex's faces, zeros for unused ones."""
+    """(mesh_id, vid, q_aa .. q_dd): sums over the planes of a vertex's faces, zeros for unused ones.
+
+    The sums are exact, so they have the same bits whatever the order and the number of partitions.
+    """
     planes = face_planes(faces, vertices)
     products = M.outer([F.col(c) for c in ("nx", "ny", "nz", "d")])
     spread = planes.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vid"), *(p.alias(f"q_{k}") for p, k in zip(products, M.Q, strict=True)))
-    sums = spread.groupBy("mesh_id", "vid").agg(*(F.sum(f"q_{k}").alias(f"q_{k}") for k in M.Q))
+    sums = exact_sums(spread, ["mesh_id", "vid"], [f"q_{k}" for k in M.Q])
     return vertices.select("mesh_id", "vid").join(sums, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *(F.coalesce(f"q_{k}", F.lit(0.0)).alias(f"q_{k}") for k in M.Q))
 
 

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.operators.tables import discard, stored
+
+#: Spokes of a vertex that one row may hold.
+HUB = 64
+
 
 def half_edges(faces: DataFrame) -> DataFrame:
     """Three directed edges a face.  Where faces claim the same one, the last face has it."""
@@ -42,25 +47,60 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("mesh_id", F.inline(both)).distinct()
 
 
-def closed_vertices(edges: DataFrame) -> DataFrame:
-    """(mesh_id, vid) of vertices whose faces form one cycle.
-
-    All their edges have two sides, and walking from corner to corner comes back to the first after just
-    as many steps as there are faces.  (A vertex where two fans touch has two cycles and isn't closed.)
-    """
-    corners = edges.groupBy("mesh_id", F.col("src").alias("vid")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "opp"))).alias("ring"))
-    first = F.element_at(F.map_keys("ring"), 1)
-    steps = F.size("ring")
-    # (where the walk is, steps until it first came back to the start)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), steps),
-        F.struct(first.alias("at"), F.lit(0).alias("back")),
+def _rings_in_rows(edges: DataFrame) -> DataFrame:
+    """Rings of vertices with up to HUB spokes: a row holds a vertex, steps are doubled within it."""
+    spokes = edges.groupBy("mesh_id", "src").agg(F.array_sort(F.collect_list(F.struct("dst", "opp"))).alias("s")).withColumn("dsts", F.col("s.dst"))
+    at = F.transform("s", lambda e: (F.nullif(F.array_position("dsts", e["opp"]), F.lit(0)) - 1).cast("int"))
+    places = spokes.select("mesh_id", "src", "dsts", at.alias("at"), F.sequence(F.lit(0), F.size("s") - 1).alias("ids"))
+    jump = F.aggregate(
+        F.sequence(F.lit(1), F.lit(HUB.bit_length() - 1)),
+        F.struct(F.col("at"), F.col("ids").alias("least")),
         lambda state, k: F.struct(
-            F.try_element_at(F.col("ring"), state["at"]).alias("at"),
-            F.when((state["back"] == 0) & (F.try_element_at(F.col("ring"), state["at"]) == first), k).otherwise(state["back"]).alias("back"),
+            F.transform(F.col("ids"), lambda i: F.get(state["at"], F.get(state["at"], i))).alias("at"),
+            F.transform(F.col("ids"), lambda i: F.least(F.get(state["least"], i), F.get(state["least"], F.get(state["at"], i)))).alias("least"),
         ),
     )
-    return corners.where(walk["back"] == steps).select("mesh_id", "vid")
+    walked = places.select("mesh_id", "src", "dsts", "ids", jump.alias("j"))
+    ring = F.transform("ids", lambda i: F.struct(F.get("dsts", i).alias("dst"), F.when(F.array_contains("j.at", i), F.get("dsts", F.get("j.least", i))).alias("ring")))
+    return walked.select("mesh_id", "src", F.inline(ring))
+
+
+def _rings_by_joins(edges: DataFrame, most: int) -> DataFrame:
+    """Rings of vertices with any number of spokes, up to most: a row is a spoke, steps are doubled by joins."""
+    keys = ["mesh_id", "src", "at"]
+    state = stored(edges.select("mesh_id", "src", "dst", F.col("opp").alias("at"), F.col("dst").alias("least")), "spokes")
+    for _ in range((most - 1).bit_length()):
+        onward = state.select("mesh_id", "src", F.col("dst").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        last, state = state, stored(state.join(onward, keys, "left").select("mesh_id", "src", "dst", F.col("_at").alias("at"), F.least("least", "_least").alias("least")), "spokes")
+        discard(last)
+    reached = state.select("mesh_id", "src", F.col("at").alias("dst"), F.lit(True).alias("_on")).distinct()
+    return state.join(reached, ["mesh_id", "src", "dst"], "left").select("mesh_id", "src", "dst", F.when(F.col("_on"), F.col("least")).alias("ring"))
+
+
+def rings(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(mesh_id, src, dst, ring): every spoke of src with the least dst of its fan if the fan is closed, else null.
+
+    The next spoke after src -> dst is src -> opp.  Doubling steps (pointer jumping) finds in a few rounds
+    where each spoke is after as many steps as its vertex has spokes: nowhere in an open fan, and in closed ones the
+    spokes reached are just those of the rings.  Vertices above hub spokes are walked spoke by spoke with joins,
+    so no row and no task holds one; the driver gets their largest number of spokes.  An empty table has no rings.
+    """
+    if hub > HUB:
+        raise ValueError(f"a row holds {HUB} spokes at most")
+    counts = edges.groupBy("mesh_id", "src").agg(F.count("*").alias("n")).where(F.col("n") > hub)
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return _rings_in_rows(edges)
+    hubs = stored(counts.select("mesh_id", "src"), "hubs")
+    few = _rings_in_rows(edges.join(hubs, ["mesh_id", "src"], "left_anti"))
+    return few.unionByName(_rings_by_joins(edges.join(hubs, ["mesh_id", "src"], "left_semi"), most))
+
+
+def closed_vertices(edges: DataFrame) -> DataFrame:
+    """(mesh_id, vid) of vertices whose faces form one cycle.  (Where two fans touch there are two, and the
+    vertex isn't closed, though both of its rings may be.)"""
+    one = (F.count("*") == F.count("ring")) & (F.min("ring") == F.max("ring"))
+    return rings(edges).groupBy("mesh_id", F.col("src").alias("vid")).agg(one.alias("one")).where("one").select("mesh_id", "vid")
 
 
 def link_violations(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,11 +116,12 @@ def link_violations(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def collapsible_edges(edges: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """Candidates (two-sided edges by default) that keep the surface sound: closed ends, link condition."""
+    """Candidates (two-sided edges by default) that keep the surface sound: closed rings around both ends, link
+    condition.  Of a vertex where fans touch only the edge's own fan counts."""
     candidates = two_sided_edges(edges) if candidates is None else candidates
-    closed = closed_vertices(edges)
-    for end in ("hi", "lo"):
-        candidates = candidates.join(closed.select("mesh_id", F.col("vid").alias(end)), ["mesh_id", end], "left_semi")
+    closed = rings(edges).where("ring is not null")
+    for src, dst in (("hi", "lo"), ("lo", "hi")):
+        candidates = candidates.join(closed.select("mesh_id", F.col("src").alias(src), F.col("dst").alias(dst)), ["mesh_id", "hi", "lo"], "left_semi")
     return candidates.join(link_violations(candidates, edges), ["mesh_id", "hi", "lo"], "left_anti")
 
 
