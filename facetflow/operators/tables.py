@@ -39,10 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -54,7 +59,8 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of any file system, with all below it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _LEFT.discard(path)
@@ -72,7 +78,7 @@ def discard(*tables: DataFrame | None) -> None:
     """Deletes stored tables that nothing needs any more; other frames are left alone."""
     for table in tables:
         if table is not None and (path := _PATHS.pop(table, None)):
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 @contextlib.contextmanager
@@ -98,7 +104,7 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _SCOPES.reset(token)
         for path in made:
             if path not in kept:
-                _delete(spark, path)
+                delete(spark, path)
 
 
 def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, name: str) -> DataFrame:

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from facetflow.functions import vecmath as M
 from facetflow.operators.quadrics import corners
-from facetflow.operators.tables import numbered, running_sum, stored
+from facetflow.operators.tables import delete, discard, new_path, numbered, running_sum, stored
 from facetflow.sources.surfaces import Surface, turned
 
 MODES = ("strict", "permissive", "polygons")
@@ -138,31 +140,82 @@ def reindexed(surface: Surface) -> Surface:
     return Surface(ids.select("mesh_id", F.col("new").alias("vid"), "x", "y", "z"), turned(faces))
 
 
-def export_lines(surface: Surface) -> DataFrame:
+@F.pandas_udf(StringType())
+def seventeen(numbers: pd.Series) -> pd.Series:
+    """Numbers with 17 significant digits, rounded from their exact values, without trailing zeros."""
+    return numbers.map("{:.17g}".format)
+
+
+def export_lines(surface: Surface, digits: int | None = None) -> DataFrame:
     """(mesh_id, section, a, b, c, line): vertex lines in the order of ids, then faces by corners, 1-based.
 
-    Numbers are written as the shortest text that reads back as the same double.
+    Numbers are written as the shortest text that reads back as the same double, or with 17 digits.  An empty
+    surface has no lines; vertices without a place are an error with 17 digits.
     """
+    if digits not in (None, 17):
+        raise ValueError("digits are the shortest (None) or 17")
+    number = (lambda c: F.when(c.isNull(), F.raise_error(F.lit("a vertex has no place"))).otherwise(seventeen(c))) if digits else (lambda c: c.cast("string"))
     dense = reindexed(surface)
     zero = F.lit(0).cast("long")
-    v = dense.vertices.select("mesh_id", F.lit(0).alias("section"), F.col("vid").alias("a"), zero.alias("b"), zero.alias("c"), F.concat_ws(" ", F.lit("v"), *(F.col(k).cast("string") for k in "xyz")).alias("line"))
+    v = dense.vertices.select("mesh_id", F.lit(0).alias("section"), F.col("vid").alias("a"), zero.alias("b"), zero.alias("c"), F.concat_ws(" ", F.lit("v"), *(number(F.col(k)) for k in "xyz")).alias("line"))
     f = dense.faces.select("mesh_id", F.lit(1).alias("section"), F.col("v0").alias("a"), F.col("v1").alias("b"), F.col("v2").alias("c"), F.concat_ws(" ", F.lit("f"), *((F.col(k) + 1).cast("string") for k in ("v0", "v1", "v2"))).alias("line"))
     return v.union(f)
 
 
+def _in_ranges(lines: DataFrame) -> DataFrame:
+    """Dealt by ranges of the order of the file, so that tasks write neighbouring sections side by side."""
+    order = ["mesh_id", "section", "a", "b", "c"]
+    return lines.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_obj(surface: Surface, path: str) -> None:
-    """One text file a mesh under path (a folder a mesh); the format needs its lines in one order."""
-    lines = export_lines(surface).repartition("mesh_id").sortWithinPartitions("mesh_id", "section", "a", "b", "c")
-    lines.select("mesh_id", "line").write.partitionBy("mesh_id").text(path)
+    """A folder a mesh under path; its parts, by their numbers, are the sections of one OBJ text with 17 digits.
 
+    However large a mesh is, a task writes a range of its lines.
+    """
+    lines = stored(export_lines(surface, 17), "export")  # ranges are drawn from what is written, not made anew
+    _in_ranges(lines).select("mesh_id", "line").write.partitionBy("mesh_id").text(path)
+    discard(lines)
 
-def write_obj_file(surface: Surface, path: str) -> None:
-    """One mesh as one local file, in the driver, row by row."""
-    rows = export_lines(surface).orderBy("section", "a", "b", "c").select("line").toLocalIterator()
+
+def parts_of(spark: SparkSession, folder: str) -> list[str]:
+    """The part files of a folder by their numbers."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    paths = [str(status.getPath()) for status in found if status.getPath().getName().startswith("part-")]
+    return sorted(paths, key=lambda path: int(path.rsplit("/part-", 1)[1].split("-")[0]))
+
+
+def joined_file(spark: SparkSession, folder: str, path: str) -> None:
+    """The parts of a folder as one file of the driver, copied a buffer at a time."""
+    hadoop, configuration = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        for row in rows:
-            out.write(row["line"] + "\n")
+    with open(path, "wb"):
+        pass  # a path that can't be written is an ordinary error
+    local = hadoop.fs.FileSystem.getLocal(configuration).getRawFileSystem()
+    out = local.create(hadoop.fs.Path(Path(path).absolute().as_uri()), True)
+    try:
+        for part in parts_of(spark, folder):
+            where = hadoop.fs.Path(part)
+            own = where.getFileSystem(configuration).open(where)
+            try:
+                hadoop.io.IOUtils.copyBytes(own, out, 1 << 20, False)
+            finally:
+                own.close()
+    finally:
+        out.close()
+
+
+def write_obj_file(surface: Surface, path: str) -> None:
+    """One mesh as one file of the driver: sections are written side by side, then joined."""
+    spark = surface.vertices.sparkSession
+    lines, folder = stored(export_lines(surface, 17), "export"), new_path(spark, "sections")
+    try:
+        _in_ranges(lines).select("line").write.text(folder)
+        joined_file(spark, folder, path)
+    finally:
+        delete(spark, folder)
+        discard(lines)
 
 
 NAME = r"([^/]+)_r([0-9]+(?:p[0-9]+)?)_t([0-9]+)\.obj$"
