@@ -51,12 +51,17 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    noted(spark, path)
+    return out
+
+
+def noted(spark: SparkSession, path: str) -> None:
+    """Has what lies at a path of the shared folder deleted with the open scopes, or else with the driver."""
     if not _LEFT:
         atexit.register(_delete_left, spark._jvm, spark._jsc.hadoopConfiguration())
     _LEFT.add(path)
     for made in _SCOPES.get():
         made.append(path)
-    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:

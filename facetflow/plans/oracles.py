@@ -249,6 +249,8 @@ def oracle_sql() -> dict[str, str]:
         "obj_vertices": sql("vertices", "SELECT * FROM vertices"),
         "obj_faces": sql("faces w", "SELECT mesh_id, fid * 4 + w * w AS fid, v0, v1, v2 FROM faces, w"),
         "obj_permissive_faces": sql("faces w", "SELECT mesh_id, fid * 4 + w * w AS fid, v0, v1, v2 FROM faces, w UNION ALL SELECT mesh_id, fid * 4 + w * w + 1, v0, v2, v1 FROM faces, w UNION ALL SELECT mesh_id, fid * 4 + w * w + 2, v0, v0, v1 FROM faces, w"),
+        "obj_written_vertices": sql("vertices", "SELECT * FROM vertices"),
+        "obj_written_faces": sql("faces w", "SELECT mesh_id, w * w + row_number() OVER (ORDER BY v0, v1, v2) - 1 AS fid, v0, v1, v2 FROM faces, w"),
         "obj_export": sql("faces vertices", """, k AS (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS i FROM vertices WHERE z >= 1) SELECT 0 AS section, i AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, 'v ' || x || ' ' || y || ' ' || z AS line FROM k
           UNION ALL SELECT 1, a.i, b.i, c.i, 'f ' || (a.i + 1) || ' ' || (b.i + 1) || ' ' || (c.i + 1) FROM faces JOIN k a ON v0 = a.vid JOIN k b ON v1 = b.vid JOIN k c ON v2 = c.vid"""),
         "independent_batch": sql("won", f"SELECT hi, lo, {_tidy('px', 'py', 'pz', 'cost')} FROM won"),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
 from facetflow.operators import partition, quadrics, quality, raster, report, select, topology
-from facetflow.operators.tables import stored
+from facetflow.operators.tables import new_path, noted, stored
 from facetflow.plans.simplify import simplify, stats_table
 from facetflow.plans.options import SimplifyOptions
-from facetflow.sources import obj, surfaces, sweep_log
+from facetflow.sources import obj, obj_ranges, surfaces, sweep_log
 from facetflow.sources.surfaces import Surface, grid_side, shell, terrain
 
 PARTS = 8
@@ -195,6 +195,22 @@ def obj_polygon_faces(s, d):
     return obj.parse(v.union(f), "polygons").faces
 
 
+def _written(s: SparkSession, d: str) -> Surface:
+    """The terrain, written as parts of an OBJ text and read again by ranges of bytes."""
+    path = new_path(s, "written")
+    noted(s, path)
+    obj.write_obj(terrain(s, d), path)
+    return obj_ranges.read(s, path, parts=True)
+
+
+def obj_written_vertices(s, d):
+    return _written(s, d).vertices
+
+
+def obj_written_faces(s, d):
+    return _written(s, d).faces
+
+
 def obj_export(s, d):
     """The terrain without its low vertices, and so without their faces."""
     t = terrain(s, d)
@@ -473,7 +489,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     raster_turned, centred_vertices, stride_sample, log_sessions, log_warnings, speedups, time_pivot, missing_runs, missing_baselines, sweep_progress, target_order,
     first_seen_targets, log_speedups, log_time_pivot, log_missing_runs, log_missing_baselines, log_target_order,
     customer_missing_runs, customer_missing_baselines, customer_missing_names, thread_counts,
-    obj_polygon_faces, simplify_invariants, tile_counts, named_outputs, outputs_with_originals, render_jobs,
+    obj_polygon_faces, obj_written_vertices, obj_written_faces, simplify_invariants, tile_counts, named_outputs, outputs_with_originals, render_jobs,
     raster_zbuffer_full, render_disagreement_full, raster_turned_full,
 ]
 

@@ -68,23 +68,38 @@ def parse(lines: DataFrame, mode: str = "strict") -> Surface:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     strict = mode == "strict"
-    trimmed = F.regexp_replace("line", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    tagged = lines.withColumn("t", F.split(trimmed, "[ \t]+")).withColumn("tag", F.col("t")[0])
+    tagged = _split(lines).withColumn("tag", F.col("t")[0])
     if not strict:
         tagged = tagged.where(F.col("line").startswith("v ") | F.col("line").startswith("f "))
-    token = lambda k: F.get(F.col("t"), F.lit(k))
     size = F.size("t")
     own = tagged.where(F.col("tag").isin("v", "f"))
     is_vertex = F.col("tag") == "v" if strict else (F.col("tag") == "v") & (size >= 4)
-    counted = running_sum(own, ["mesh_id"], "line_no", is_vertex.cast("int"), "seen")
+    counted = running_sum(own, ["mesh_id"], "line_no", is_vertex.cast("int"), "seen").drop("t")
+    faces = counted.where("tag = 'f'")
+    if mode == "polygons":
+        faces = running_sum(_split(faces).where(size >= 4), ["mesh_id"], "line_no", size - 3, "upto")
+    return surface_of(counted.where("tag = 'v'") if strict else _split(counted).where(is_vertex), faces, mode)
+
+
+def _split(lines: DataFrame) -> DataFrame:
+    """lines with their words as t."""
+    trimmed = F.regexp_replace("line", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return lines.withColumn("t", F.split(trimmed, "[ \t]+"))
+
+
+def surface_of(vertices: DataFrame, faces: DataFrame, mode: str) -> Surface:
+    """The surface of lines of vertices(mesh_id, line, seen) and of faces(mesh_id, line_no, line, seen), each with
+    the number of vertices read so far, and, of polygons, with that of the triangles up to and with its own (upto)."""
+    strict = mode == "strict"
+    token = lambda k: F.get(F.col("t"), F.lit(k))
+    size = F.size("t")
     xyz = [_number(token(k), strict) for k in (1, 2, 3)]
     if strict:
         xyz[0] = _fail(size != 4, "a vertex needs three coordinates", xyz[0])
-    vertices = counted.where(is_vertex).select("mesh_id", (F.col("seen") - 1).alias("vid"), *(c.alias(k) for c, k in zip(xyz, "xyz", strict=True)))
-    faces = counted.where("tag = 'f'")
+    vertices = _split(vertices).select("mesh_id", (F.col("seen") - 1).alias("vid"), *(c.alias(k) for c, k in zip(xyz, "xyz", strict=True)))
+    faces = _split(faces)
     if mode == "polygons":
-        faces = running_sum(faces.where(size >= 4), ["mesh_id"], "line_no", size - 3, "upto")
-        faces = faces.withColumn("k", F.explode(F.sequence(F.lit(2), size - 2)))
+        faces = faces.where(size >= 4).withColumn("k", F.explode(F.sequence(F.lit(2), size - 2)))
         picked = [F.get(F.col("t"), k) for k in (F.lit(1), F.col("k"), F.col("k") + 1)]
         fid = F.col("upto") - size + 1 + F.col("k")
     else:
