@@ -5,18 +5,19 @@ hashed to 32 bits.  A factorization machine learns a weight and a vector for eac
 logistic function of the sum of weights and of all pairs' inner products, so that, say, an insult beside
 the name of a group may count for more than both alone.
 
-Kept are terms that tell the classes apart by themselves (chi-squared at least LEAST_GAIN, the KEPT_TERMS best:
-noise, and weak terms beyond them, have no part in a score), and common terms that do so only in pairs: where
-documents with both differ from what the two terms' own rates add up to.
+Kept are terms that tell the classes apart by themselves (chi-squared at least LEAST_GAIN), and terms that do so
+in pairs: where documents with both differ from what the two terms' own log odds add up to by more than chance
+would bring among all pairs.  All pairs of terms that PAIR_DOCS documents of the sample hold are tried; terms
+meet by blocks, so a task holds the counts of two blocks.  Noise has no part in a score.
 
 The model is fitted on a bounded sample: at most about SAMPLE labelled documents outside the held-out
-quarter, chosen by a hash of the id; executors count terms, and the driver gets the terms in question of the
-sample.  Every document is scored by its whole text.
+quarter, chosen by a hash of the id; its texts are stored once; executors count terms and pairs, and the driver
+gets the sample's kept terms.  Every document is scored by its whole text.
 
 Defined results: a null or empty text has no terms and gets the score of the bias alone; equal texts get
 equal scores; without labelled rows of both classes every score is 0; an empty table gives an empty result;
 texts of any length are scored whole (as sets of terms); columns other than doc_id and text (in labels: doc_id
-and toxic) are not read; a doc_id with several labels counts once for each.
+and toxic) are not read; a doc_id with both labels counts once for each.
 """
 
 from __future__ import annotations
@@ -27,21 +28,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.llm.common import id_and_text, id_hash_mod, text_blocks
+from facetflow.operators.tables import discard, stored
 
 SAMPLE = 20_000
-KEPT_TERMS = 3000
-#: The least chi-squared statistic of a kept term: noise stays out.
+#: The least chi-squared statistic of a term that is kept by itself: noise stays out.
 LEAST_GAIN = 15.0
 LEAST_DOCS = 5
-#: Terms of at least this share of documents that are tried in pairs, the COMMON_TERMS commonest; the strongest
-#: terms that join them; documents that a pair needs, and the least squared deviation from what its terms add up to.
-COMMON_SHARE, COMMON_TERMS, STRONG_TERMS = 0.01, 1000, 200
-PAIR_DOCS, PAIR_GAIN = 20, 40.0
+#: Documents that hold both terms of a pair, and pairs that chance may bring out among all that are tried.
+PAIR_DOCS, BY_CHANCE = 20, 0.01
+#: Terms of a block; documents that are counted at a time.
+BLOCK_TERMS, BLOCK_DOCS = 1024, 2048
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -141,24 +143,73 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
     return bias, weights[:-1], factors[:-1]
 
 
-def paired_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
-    """Terms (0 .. n_terms - 1) that some other term brings out: the rate of documents with both is far from
-    what the log odds of both add up to."""
-    both, bad = np.zeros((n_terms, n_terms), dtype=np.float32), np.zeros((n_terms, n_terms), dtype=np.float32)
-    for k in range(0, len(rows), 1000):
-        x = np.zeros((min(1000, len(rows) - k), n_terms), dtype=np.float32)
-        for i, own in enumerate(rows[k : k + 1000]):
-            x[i, own[own < n_terms]] = 1
-        both += x.T @ x
-        bad += (x * labels[k : k + 1000, None].astype(np.float32)).T @ x
-    rate = float(labels.mean())
-    odds = lambda p: np.log(p / (1 - p))
-    own = odds((np.diag(bad) + rate) / (np.diag(both) + 1))
-    expected = np.clip(1 / (1 + np.exp(-(own[:, None] + own[None, :] - odds(rate)))), 1e-4, 1 - 1e-4)
-    gain = (bad - both * expected) ** 2 / np.maximum(both * expected * (1 - expected), 1e-6)
-    gain[both < PAIR_DOCS] = 0
-    np.fill_diagonal(gain, 0)
-    return np.flatnonzero(gain.max(axis=1, initial=0) >= PAIR_GAIN)
+def odds(p: np.ndarray | float) -> np.ndarray | float:
+    return np.log(p / (1 - p))
+
+
+def deviance(seen: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Twice the log-likelihood ratio of seen out of n against the rate p; chance reaches d with at most exp(-d / 2)."""
+    rest = n - seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hits = np.where(seen > 0, seen * np.log(seen / (n * p)), 0)
+        misses = np.where(rest > 0, rest * np.log(rest / (n * (1 - p))), 0)
+    return 2 * (hits + misses)
+
+
+def paired_terms(seen: DataFrame, n_terms: int, rate: float) -> list[int]:
+    """Terms (0 .. n_terms - 1) of seen(doc, toxic, terms) that some other term brings out: the rate of documents
+    with both is far from what the log odds of both add up to."""
+    blocks = -(-n_terms // BLOCK_TERMS)
+    if n_terms < 2:
+        return []
+    limit = 2 * np.log(n_terms * (n_terms - 1) / 2 / BY_CHANCE)
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat, row = flat[flat < n_terms], row[flat < n_terms]
+            key = row * blocks + flat // BLOCK_TERMS  # ascending, as terms are within a document
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = pa.array(np.append(first, len(key)), pa.int32())
+            of = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("toxic").take(of), pa.array(key[first] % blocks), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc", "toxic", "block", "terms"])
+
+    def compare(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
+        _, doc = np.unique(rows["doc"], return_inverse=True)
+        n_docs = doc.max() + 1
+        y = np.zeros(n_docs, dtype=np.float32)
+        y[doc] = rows["toxic"]
+        places = []
+        for block in key:
+            own = np.flatnonzero(rows["block"] == block)
+            lists = [rows["terms"].iat[i] for i in own]
+            at, term = np.repeat(doc[own], [len(x) for x in lists]), np.concatenate([np.empty(0, np.int64), *lists]) - block * BLOCK_TERMS
+            order = np.argsort(at, kind="stable")
+            places.append((at[order], term[order]))
+        both, bad = np.zeros((BLOCK_TERMS, BLOCK_TERMS)), np.zeros((BLOCK_TERMS, BLOCK_TERMS))
+        alone = np.zeros((2, 2, BLOCK_TERMS))  # by side: documents, toxic ones
+        for k in range(0, n_docs, BLOCK_DOCS):
+            label, sides = y[k : k + BLOCK_DOCS], []
+            for side, (at, term) in enumerate(places):
+                some = slice(*np.searchsorted(at, (k, k + BLOCK_DOCS)))
+                x = np.zeros((len(label), BLOCK_TERMS), dtype=np.float32)
+                x[at[some] - k, term[some]] = 1
+                alone[side] += x.sum(axis=0), label @ x
+                sides.append(x)
+            both += sides[0].T @ sides[1]
+            bad += (sides[0] * label[:, None]).T @ sides[1]
+        own = odds((alone[:, 1] + rate) / (alone[:, 0] + 1))
+        expected = np.clip(1 / (1 + np.exp(-(own[0][:, None] + own[1][None, :] - odds(rate)))), 1e-4, 1 - 1e-4)
+        told = (both >= PAIR_DOCS) & (deviance(bad, both, expected) >= limit)
+        if key[0] == key[1]:
+            np.fill_diagonal(told, False)
+        found = [block * BLOCK_TERMS + np.flatnonzero(told.any(axis=1 - side)) for side, block in enumerate(key)]
+        return pd.DataFrame({"term": np.unique(np.concatenate(found))})
+
+    parts = seen.mapInArrow(by_block, "doc long, toxic int, block long, terms array<long>")
+    pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    return sorted(r["term"] for r in pairs.groupBy("one", "two").applyInPandas(compare, "term long").distinct().collect())
 
 
 def best_shift(z: np.ndarray, labels: np.ndarray) -> float:
@@ -180,8 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     share = min(1 << 20, -(-(sample << 20) // n))
     chosen = learn.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 20)) < share)
-    # at most about SAMPLE rows of two numbers, so they may go to every executor
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # at most about SAMPLE rows of two numbers, so they may go to every executor; labels of one kind count once
+    own = id_and_text(docs).join(F.broadcast(chosen.distinct()), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", "toxic")
+    texts = stored(own, "toxicity-texts")
+    try:
+        return _fitted(texts)
+    finally:
+        discard(texts)
+
+
+def _fitted(texts: DataFrame) -> Model | None:
+    """The model of labelled texts(doc, doc_id, text, toxic), a bounded sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -203,29 +263,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     total, bad = whole["n"], whole["toxic"]
     expected = F.col("n") * (bad / total)
     gain = (F.col("toxic") - expected) * (F.col("toxic") - expected) / (expected * (1 - bad / total)) / (1.0001 - F.col("n") / total)
-    best = counts.where(f"term >= 0 and n >= {LEAST_DOCS}").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(KEPT_TERMS).collect()
-    common = counts.where((F.col("term") >= 0) & (F.col("n") >= max(LEAST_DOCS, COMMON_SHARE * total)) & (F.col("n") <= 0.9 * total)).orderBy(F.desc("n"), "term").limit(COMMON_TERMS).collect()
-    # those tried in pairs come first: the strongest and the common ones
-    tried = list(dict.fromkeys(r["term"] for r in [*best[:STRONG_TERMS], *common]))
-    kept = {t: i for i, t in enumerate(dict.fromkeys([*tried, *(r["term"] for r in best)]))}
+    asked = counts.where((F.col("term") >= 0) & (((F.col("n") >= LEAST_DOCS) & (gain >= LEAST_GAIN)) | (F.col("n") >= PAIR_DOCS)))
+    terms = asked.withColumns({"gain": gain, "tried": F.col("n") >= PAIR_DOCS}).toPandas().sort_values(["tried", "term"], ascending=[False, True])
+    place = {t: i for i, t in enumerate(terms["term"])}  # those tried in pairs come first
+    telling = {i for i, (n, g) in enumerate(zip(terms["n"], terms["gain"], strict=True)) if n >= LEAST_DOCS and g >= LEAST_GAIN}
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(kept)
+        own_terms = Terms(place)
         for batch in batches:
             for rows, own in text_blocks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("toxic").take(pa.array(rows)), pa.array([np.sort(terms(t)) for t in own], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
-
-    seen = texts.mapInArrow(select, "doc_id long, toxic int, terms array<long>").toPandas().sort_values(["doc_id", "toxic"])
-    rows = [np.asarray(x, dtype=np.int64) for x in seen["terms"]]
-    y = seen["toxic"].to_numpy(dtype=float)
-    wanted = {r["term"] for r in best} | {tried[i] for i in paired_terms(rows, y, len(tried))}
-    place = np.full(len(kept) + 1, -1)
-    for i, t in enumerate(t for t in kept if t in wanted):
-        place[kept[t]] = i
-    kept = {t: int(place[i]) for t, i in kept.items() if t in wanted}
-    rows = [np.sort(place[own][place[own] >= 0]) for own in rows]
+                found = [pa.array(rows), pa.array([np.sort(own_terms(t)) for t in own], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(found[0]) for k in ("doc", "doc_id", "toxic")), found[1]], names=["doc", "doc_id", "toxic", "terms"])
+
+    seen = stored(texts.mapInArrow(select, "doc long, doc_id long, toxic int, terms array<long>"), "toxicity-terms")
+    wanted = sorted(telling.union(paired_terms(seen, int(terms["tried"].sum()), bad / total)))
+    index = np.full(len(place), -1)
+    index[wanted] = np.arange(len(wanted))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [index[x.values.to_numpy()]  for x in batch.column("terms")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[x >= 0] for x in lists], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
+
+    sample = seen.mapInArrow(narrow, "doc_id long, toxic int, terms array<long>").toPandas().sort_values(["doc_id", "toxic"])
+    discard(seen)
+    rows, y = [np.asarray(x, dtype=np.int64) for x in sample["terms"]], sample["toxic"].to_numpy(dtype=float)
+    kept = {int(terms["term"].iat[i]): k for k, i in enumerate(wanted)}
     # a fifth is kept apart to place the threshold
-    apart = np.array([zlib.crc32(f"{d} apart".encode()) % 5 == 0 for d in seen["doc_id"]])
+    apart = np.array([zlib.crc32(f"{d} apart".encode()) % 5 == 0 for d in sample["doc_id"]])
     if not (y[~apart].any() and y[apart].any()):
         apart[:] = False
     bias, weights, factors = train([r for r, a in zip(rows, apart, strict=True) if not a], y[~apart], len(kept))
