@@ -11,7 +11,7 @@ would bring among all pairs.  All pairs of terms that PAIR_DOCS documents of the
 meet by blocks, so a task holds the counts of two blocks.  Noise has no part in a score.
 
 The model is fitted on a bounded sample: at most about SAMPLE labelled documents outside the held-out
-quarter, chosen by a hash of the id; its texts are stored once; executors count terms and pairs, and the driver
+quarter, chosen by a hash of the id; its hashed terms are stored once; executors count terms and pairs, and the driver
 gets the sample's kept terms.  Every document is scored by its whole text.
 
 Defined results: a null or empty text has no terms and gets the score of the bias alone; equal texts get
@@ -173,7 +173,8 @@ def paired_terms(seen: DataFrame, n_terms: int, rate: float) -> list[int]:
             first = np.flatnonzero(np.diff(key, prepend=-1))
             ends = pa.array(np.append(first, len(key)), pa.int32())
             of = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("toxic").take(of), pa.array(key[first] % blocks), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc", "toxic", "block", "terms"])
+            within = pa.array((flat % BLOCK_TERMS).astype(np.int16))  # short, as every block meets all others
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("toxic").take(of), pa.array(key[first] % blocks), pa.ListArray.from_arrays(ends, within)], names=["doc", "toxic", "block", "terms"])
 
     def compare(key: tuple[int, int], rows: pd.DataFrame) -> pd.DataFrame:
         _, doc = np.unique(rows["doc"], return_inverse=True)
@@ -184,7 +185,7 @@ def paired_terms(seen: DataFrame, n_terms: int, rate: float) -> list[int]:
         for block in key:
             own = np.flatnonzero(rows["block"] == block)
             lists = [rows["terms"].iat[i] for i in own]
-            at, term = np.repeat(doc[own], [len(x) for x in lists]), np.concatenate([np.empty(0, np.int64), *lists]) - block * BLOCK_TERMS
+            at, term = np.repeat(doc[own], [len(x) for x in lists]), np.concatenate([np.empty(0, np.int16), *lists])
             order = np.argsort(at, kind="stable")
             places.append((at[order], term[order]))
         both, bad = np.zeros((BLOCK_TERMS, BLOCK_TERMS)), np.zeros((BLOCK_TERMS, BLOCK_TERMS))
@@ -207,7 +208,7 @@ def paired_terms(seen: DataFrame, n_terms: int, rate: float) -> list[int]:
         found = [block * BLOCK_TERMS + np.flatnonzero(told.any(axis=1 - side)) for side, block in enumerate(key)]
         return pd.DataFrame({"term": np.unique(np.concatenate(found))})
 
-    parts = seen.mapInArrow(by_block, "doc long, toxic int, block long, terms array<long>")
+    parts = seen.mapInArrow(by_block, "doc long, toxic int, block long, terms array<short>")
     pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     return sorted(r["term"] for r in pairs.groupBy("one", "two").applyInPandas(compare, "term long").distinct().collect())
 
@@ -232,63 +233,65 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     share = min(1 << 20, -(-(sample << 20) // n))
     chosen = learn.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1 << 20)) < share)
     # at most about SAMPLE rows of two numbers, so they may go to every executor; labels of one kind count once
-    own = id_and_text(docs).join(F.broadcast(chosen.distinct()), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", "toxic")
-    texts = stored(own, "toxicity-texts")
-    try:
-        return _fitted(texts)
-    finally:
-        discard(texts)
+    texts = id_and_text(docs).join(F.broadcast(chosen.distinct()), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text", "toxic")
+    return _fitted(texts)
+
+
+def _placed(seen: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """seen with its terms as places among these hashes, in ascending order; others go."""
+    order = np.argsort(hashes)
+    known = hashes[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            found = known[at] == flat if len(known) else np.zeros(len(flat), dtype=bool)
+            row, place = row[found], order[at[found]]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))])
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[np.lexsort((place, row))], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc", "doc_id", "toxic")), own], names=["doc", "doc_id", "toxic", "terms"])
+
+    return seen.mapInArrow(run, "doc long, doc_id long, toxic int, terms array<long>")
 
 
 def _fitted(texts: DataFrame) -> Model | None:
-    """The model of labelled texts(doc, doc_id, text, toxic), a bounded sample."""
+    """The model of labelled texts(doc, doc_id, text, toxic), a bounded sample; its hashed terms are stored once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for rows, own in text_blocks(batch):
-                found = [terms(t) for t in own]
-                sizes = [len(x) for x in found]
-                flat = np.concatenate(found)
-                y = np.repeat(toxic[rows], sizes)
-                values, inverse = np.unique(flat, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(inverse, minlength=len(values)).astype(np.int64)), pa.array(np.bincount(inverse, weights=y, minlength=len(values)).astype(np.int64))], names=["term", "n", "toxic"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([len(toxic)], pa.int64()), pa.array([int(toxic.sum())], pa.int64())], names=["term", "n", "toxic"])
-
-    counts = texts.mapInArrow(count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    whole = counts.where("term = -1").first()
-    if whole is None or not 0 < whole["toxic"] < whole["n"]:
+                at = pa.array(rows)
+                lists = pa.array([terms(t).astype(np.uint32).view(np.int32) for t in own], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in ("doc", "doc_id", "toxic")), lists], names=["doc", "doc_id", "toxic", "terms"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            values, inverse = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            y = np.repeat(batch.column("toxic").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+            n, toxic = np.bincount(inverse, minlength=len(values)), np.bincount(inverse, weights=y, minlength=len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(n.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["term", "n", "toxic"])
+
+    seen = stored(texts.mapInArrow(hashed, "doc long, doc_id long, toxic int, terms array<int>"), "toxicity-terms")
+    total, bad = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < bad < total:
+        discard(seen)
         return None
-    total, bad = whole["n"], whole["toxic"]
+    counts = seen.mapInArrow(count, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     expected = F.col("n") * (bad / total)
     gain = (F.col("toxic") - expected) * (F.col("toxic") - expected) / (expected * (1 - bad / total)) / (1.0001 - F.col("n") / total)
-    asked = counts.where((F.col("term") >= 0) & (((F.col("n") >= LEAST_DOCS) & (gain >= LEAST_GAIN)) | (F.col("n") >= PAIR_DOCS)))
-    terms = asked.withColumns({"gain": gain, "tried": F.col("n") >= PAIR_DOCS}).toPandas().sort_values(["tried", "term"], ascending=[False, True])
-    place = {t: i for i, t in enumerate(terms["term"])}  # those tried in pairs come first
-    telling = {i for i, (n, g) in enumerate(zip(terms["n"], terms["gain"], strict=True)) if n >= LEAST_DOCS and g >= LEAST_GAIN}
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_terms = Terms(place)
-        for batch in batches:
-            for rows, own in text_blocks(batch):
-                found = [pa.array(rows), pa.array([np.sort(own_terms(t)) for t in own], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(found[0]) for k in ("doc", "doc_id", "toxic")), found[1]], names=["doc", "doc_id", "toxic", "terms"])
-
-    seen = stored(texts.mapInArrow(select, "doc long, doc_id long, toxic int, terms array<long>"), "toxicity-terms")
-    wanted = sorted(telling.union(paired_terms(seen, int(terms["tried"].sum()), bad / total)))
-    index = np.full(len(place), -1)
-    index[wanted] = np.arange(len(wanted))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [index[x.values.to_numpy()]  for x in batch.column("terms")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[x >= 0] for x in lists], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms"])
-
-    sample = seen.mapInArrow(narrow, "doc_id long, toxic int, terms array<long>").toPandas().sort_values(["doc_id", "toxic"])
+    asked = counts.select("term", (F.col("n") >= PAIR_DOCS).alias("tried"), ((F.col("n") >= LEAST_DOCS) & (gain >= LEAST_GAIN)).alias("telling")).where("tried or telling")
+    terms = asked.toPandas().sort_values(["tried", "term"], ascending=[False, True])  # those tried in pairs come first
+    hashes = terms["term"].to_numpy(dtype=np.int32)
+    paired = paired_terms(_placed(seen, hashes), int(terms["tried"].sum()), bad / total)
+    wanted = sorted({*np.flatnonzero(terms["telling"]).tolist(), *paired})
+    sample = _placed(seen, hashes[wanted]).toPandas().sort_values(["doc_id", "toxic"])
     discard(seen)
     rows, y = [np.asarray(x, dtype=np.int64) for x in sample["terms"]], sample["toxic"].to_numpy(dtype=float)
-    kept = {int(terms["term"].iat[i]): k for k, i in enumerate(wanted)}
+    kept = {int(t) & 0xFFFFFFFF: k for k, t in enumerate(hashes[wanted])}
     # a fifth is kept apart to place the threshold
     apart = np.array([zlib.crc32(f"{d} apart".encode()) % 5 == 0 for d in sample["doc_id"]])
     if not (y[~apart].any() and y[apart].any()):
