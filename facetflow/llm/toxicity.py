@@ -7,8 +7,9 @@ the name of a group may count for more than both alone.
 
 Kept are terms that tell the classes apart by themselves (chi-squared at least LEAST_GAIN), and terms that do so
 in pairs: where documents with both differ from what the two terms' own log odds add up to by more than chance
-would bring among all pairs.  All pairs of terms that PAIR_DOCS documents of the sample hold are tried; terms
-meet by blocks, so a task holds the counts of two blocks.  Noise has no part in a score.
+would bring among all pairs.  All pairs that PAIR_DOCS documents of the sample hold are tried of terms that tell by
+themselves or that PAIR_SHARE of it holds, however many they are; terms meet by blocks, so a task holds the counts
+of two blocks.  A rarer term without a signal of its own isn't found by its pairs.  Noise has no part in a score.
 
 The model is fitted on a bounded sample: at most about SAMPLE labelled documents outside the held-out
 quarter, chosen by a hash of the id; its hashed terms are stored once; executors count terms and pairs, and the driver
@@ -42,6 +43,8 @@ LEAST_GAIN = 15.0
 LEAST_DOCS = 5
 #: Documents that hold both terms of a pair, and pairs that chance may bring out among all that are tried.
 PAIR_DOCS, BY_CHANCE = 20, 0.01
+#: The share of the sample that holds a term that is tried in pairs though it tells nothing by itself.
+PAIR_SHARE = 0.01
 #: Terms of a block; documents that are counted at a time.
 BLOCK_TERMS, BLOCK_DOCS = 1024, 2048
 FACTORS = 8
@@ -283,7 +286,9 @@ def _fitted(texts: DataFrame) -> Model | None:
     counts = seen.mapInArrow(count, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     expected = F.col("n") * (bad / total)
     gain = (F.col("toxic") - expected) * (F.col("toxic") - expected) / (expected * (1 - bad / total)) / (1.0001 - F.col("n") / total)
-    asked = counts.select("term", (F.col("n") >= PAIR_DOCS).alias("tried"), ((F.col("n") >= LEAST_DOCS) & (gain >= LEAST_GAIN)).alias("telling")).where("tried or telling")
+    telling = (F.col("n") >= LEAST_DOCS) & (gain >= LEAST_GAIN)
+    tried = (F.col("n") >= PAIR_DOCS) & (telling | (F.col("n") >= PAIR_SHARE * total))
+    asked = counts.select("term", tried.alias("tried"), telling.alias("telling")).where("tried or telling")
     terms = asked.toPandas().sort_values(["tried", "term"], ascending=[False, True])  # those tried in pairs come first
     hashes = terms["term"].to_numpy(dtype=np.int32)
     paired = paired_terms(_placed(seen, hashes), int(terms["tried"].sum()), bad / total)

@@ -38,7 +38,7 @@ def test_pairs_by_blocks_are_all_pairs(spark, monkeypatch):
 
 
 def test_a_rare_word_counts_beside_another(spark):
-    """A group's name in fewer than one document of a hundred is toxic beside an insult only."""
+    """A group's name in two documents of a hundred turns an insult's meaning."""
     rng = random.Random(8)
     common = ["abc" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
     rows = []
