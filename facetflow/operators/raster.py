@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import vecmath as M
+from facetflow.operators.quadrics import corners
 from facetflow.operators.tables import stored
 
 # Background, colour of a lone vertex, shade of a face and its share that falls off, least
@@ -75,6 +76,11 @@ def face_shade(projection: str, a: M.Vec, b: M.Vec, c: M.Vec) -> Column:
     return F.bround(SHADE - FALL * F.abs(toward / size), 0).cast("int")
 
 
+def face_shades(faces: DataFrame, vertices: DataFrame, projection: str) -> DataFrame:
+    """(mesh_id, fid, color) of the faces whose corners exist."""
+    return corners(faces, vertices).select("mesh_id", "fid", face_shade(projection, *(M.vec(k) for k in "abc")).alias("color"))
+
+
 def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sizes 2, 3: the owners 0 0 1 1 1 and the places 0 1 0 1 2."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
