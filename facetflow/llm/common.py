@@ -15,6 +15,8 @@ from facetflow.operators import tables
 
 #: Characters that a task turns into numpy arrays at once.
 BLOCK_CHARS = 2_000_000
+#: Values whose spans are hashed together.
+SPAN_VALUES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,15 +132,35 @@ _BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans values[start:end], from one pass of prefix sums (any equal spans agree)."""
+    """64-bit hashes of the spans values[start:end], from prefix sums (any equal spans agree).
+
+    A hash doesn't depend on where its span lies, so spans in order are hashed in turns of about SPAN_VALUES
+    values: memory besides the result follows that and the longest span, not the number of values."""
+    if len(values) <= SPAN_VALUES:
+        return _near_hashes(values, starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out[order] = span_hashes(values, starts[order], ends[order])
+        return out
+    if (ends[1:] < ends[:-1]).any():
+        return _near_hashes(values, starts, ends)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + SPAN_VALUES, "right")))
+        out[a:b] = _near_hashes(values[low : int(ends[b - 1])], starts[a:b] - low, ends[a:b] - low)
+        a = b
+    return out
+
+
+def _near_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(values)
     power, inverse = _powers(n + 1)
-    # in place where possible: blocks are large next to a task's memory
     mixed = _BYTES[values] if values.dtype == np.uint8 else mix64(values)
     mixed *= power[:n]
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mixed, out=sums[1:])
-    del mixed
     h = sums[ends]
     h -= sums[starts]
     h *= inverse[starts]

@@ -44,6 +44,8 @@ BLOCK_BYTES = 2_000_000
 #: Buckets for each shuffle partition, and bytes of text for which there is one partition at least.
 BUCKETS_EACH = 12
 PARTITION_BYTES = 48_000_000
+#: Packed rows that a task copies from a batch at once.
+ROWS = 256
 #: Minimisers that may be told apart as hot: what isn't hot makes less than one part in so many of all strings.
 MOST_HOT = 100_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -335,16 +337,18 @@ def _settled(packed: DataFrame, width: int, buckets: int, last: bool) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _PACKED_TYPES, strict=True)], names=_PACKED_NAMES)
 
         for batch in batches:
-            for bucket, part, doc_id, key, data in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
-                if doc_id is not None:
-                    out.append((bucket, None, doc_id, key, data))
-                    continue
-                if (bucket, part) != current:
-                    finish()
-                    current = (bucket, part)
-                blobs.append(data)
-            if len(out) > 50_000 or len(firsts.strings) > 50_000:
-                yield batch_of()
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                for bucket, part, doc_id, key, data in zip(*(rows.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
+                    if doc_id is not None:
+                        out.append((bucket, None, doc_id, key, data))
+                        continue
+                    if (bucket, part) != current:
+                        finish()
+                        current = (bucket, part)
+                    blobs.append(data)
+                if len(out) > 50_000 or len(firsts.strings) > 50_000:
+                    yield batch_of()
         finish()
         yield batch_of()
 
