@@ -22,6 +22,8 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 #: Tables that nobody deleted yet: they go with the driver.
 _LEFT: set[str] = set()
+#: Whether the files of a query's shuffles go as it ends, not only when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +47,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    What was shuffled on the way isn't needed once the table lies there, and is deleted with that."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     noted(spark, path)
