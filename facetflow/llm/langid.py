@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import BLOCK_CHARS, code_points, id_hash_mod, mix64, text_blocks
+from facetflow.llm.common import code_points, id_hash_mod, mix64, text_blocks
 
 ORDER = 4
+#: Codes that are looked up at once; some dozen columns of as many 64-bit values are held meanwhile.
+BLOCK_CHARS = 400_000
 #: Labelled texts for each language that a model is fitted on, in expectation (chosen by a hash of the id).
 TEXTS_PER_LANGUAGE = 1500
 DISCOUNT = 0.75
