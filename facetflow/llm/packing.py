@@ -24,26 +24,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import id_and_text, mix64, shuffle_width, stored
+from facetflow.llm.common import byte_blocks, id_and_text, members, mix64, ranges, shuffle_width, stored
 
 SEQUENCE = 1024
 END = 0
 DIMS, BITS = 4, 8
 FEATURES = 512
-#: Words whose ids a Python worker remembers at most.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers at most, and bytes of each.
+REMEMBERED, SHORT = 200_000, 64
+#: Characters that are cut into words at once, and bytes of texts that are encoded together.
+BLOCK = 1 << 20
 #: Tokens for which there is one range of the curve at least.
 PARTITION_TOKENS = 24_000_000
 SPECIAL = "<|endoftext|>"
 #: White space that the fast way of encoding does not cut at: runs of blanks and feeds, and every other kind.
 UNEVEN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+UNEVEN_ASCII = [gap for gap in UNEVEN if gap.isascii()]
+#: Marks that are pieces of their own between one of the plain characters and white space or a text's end.
+_MARKS, _PLAIN = members(rb"[.,;:!?)\"']"), members(rb"[0-9A-Za-z]")
 
 
 class Encoder:
     """Ids of whole texts as little-endian 16-bit integers, the same as the vocabulary's own library gives.
 
     Where white space is single blanks and line feeds only, the split pattern ends a piece before each of
-    them, so words are encoded with the blank or line feed before them, and remembered.
+    them, after each line feed, and between a letter or digit and a single mark at a word's end.  So texts are
+    cut into words with the blank before them, line feeds and marks; each different one of a block is looked
+    up once, and remembered.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
@@ -55,7 +62,9 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path = public_tokenizers.path(f"{name}.json")
         self.feed = ranks[b"\n"]
-        self.known: dict[str, bytes] = {}
+        #: what can't be told apart between line feeds
+        self.gaps = {gap: self._ids(gap.decode()) for gap in (b" ", b"\n")}
+        self.known = dict(self.gaps)
 
     @cached_property
     def full(self):
@@ -64,39 +73,90 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, words: set[str]) -> None:
-        ids = np.array(self.fast.encode_ordinary("\n".join(w[1:] if w[0] == "\n" else " " + w for w in words)), dtype="<u2")
-        feed = np.array([self.feed], dtype="<u2").tobytes()
-        ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-        start = 0
-        for w, end in zip(words, ends, strict=True):
-            own = ids[start:end].tobytes()
-            self.known[w] = feed + own if w[0] == "\n" else own
-            start = end + 1
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.fast.encode_ordinary(text), dtype="<u2").tobytes()
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; what is remembered starts anew from these words when it gets too much."""
+        found = list(map(self.known.get, words))
+        new = [i for i, own in enumerate(found) if own is None]
+        if not new:
+            return found
+        raw = self._ids(b"\n".join([words[i] for i in new]).decode())
+        ends = (np.flatnonzero(np.frombuffer(raw, dtype="<u2") == self.feed) * 2).tolist()
+        for i, start, end in zip(new, [0, *[e + 2 for e in ends]], [*ends, len(raw)], strict=True):
+            found[i] = raw[start:end]
+        again = new
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = dict(self.gaps)
+            again = range(min(len(words), REMEMBERED))
+        self.known.update((words[i], found[i]) for i in again if len(words[i]) <= SHORT)
+        return found
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, or of parts that begin with a blank, whose white space is even."""
+        raws = [text.encode() for text in texts]
+        data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)))])
+        gaps = np.flatnonzero((data == 32) | (data == 10))
+        last = np.concatenate([gaps, borders[1:]]) - 1
+        last = last[last > 0]
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[borders] = cut[gaps] = True
+        cut[gaps[data[gaps] == 10] + 1] = True
+        cut[last[_MARKS[data[last]] & _PLAIN[data[last - 1]]]] = True
+        cut[-1] = True
+        at = np.flatnonzero(cut)
+        if len(at) < 2:
+            return [b""] * len(texts)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        _, offsets, raw = words.dictionary.buffers()
+        raw = raw.to_pybytes()
+        found = self._look_up([raw[a:b] for a, b in itertools.pairwise(np.frombuffer(offsets, dtype=np.int64)[: len(words.dictionary) + 1].tolist())])
+        index = words.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        lengths = sizes[index]
+        ids = np.frombuffer(b"".join(found), dtype="<u2")[ranges((np.cumsum(sizes) - sizes)[index], lengths)].tobytes()
+        ends = (np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(at, borders)] * 2).tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(ends)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners: list[int] = []
+        parts: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, own in zip(owners, self._block(parts), strict=True):
+                out[i].append(own)
+            owners.clear()
+            parts.clear()
+            size = 0
+
         for i, text in enumerate(texts):
             if SPECIAL in text:
-                out[i] = np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            elif any(map(text.__contains__, UNEVEN)):
-                out[i] = np.array(self.fast.encode_ordinary(text), dtype="<u2").tobytes()
+                out[i].append(np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes())
+            elif any(map(text.__contains__, UNEVEN_ASCII if text.isascii() else UNEVEN)):
+                out[i].append(self._ids(text))
             else:
-                cut[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        words = set(itertools.chain.from_iterable(cut.values()))
-        plain = {w for w in words if w and w != "\n"}
-        new = plain.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = plain
-        if new:
-            self._learn(new)
-        self.known[""] = np.array(self.fast.encode_ordinary(" "), dtype="<u2").tobytes()
-        self.known["\n"] = np.array([self.feed], dtype="<u2").tobytes()
-        for i, own in cut.items():
-            out[i] = b"".join(map(self.known.__getitem__, own))[2:]  # without the line feed put before
-        return out
+                for part in _parts(text):
+                    owners.append(i)
+                    parts.append(part)
+                    size += len(part)
+                    if size >= BLOCK:
+                        flush()
+        flush()
+        return [own[0] if len(own) == 1 else b"".join(own) for own in out]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK characters that begin with a blank."""
+    start = 0
+    while len(text) - start > BLOCK and (end := text.find(" ", start + BLOCK)) >= 0:
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -170,11 +230,13 @@ def tokenize(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
         encode, basis = encoder(name), projection()
         end = np.array([END], dtype="<u2").tobytes()
         for batch in batches:
-            texts, doc_ids = batch.column("text"), batch.column("doc_id")
-            for k in range(0, len(texts), 256):
-                ids = encode([t or "" for t in texts.slice(k, 256).to_pylist()])
-                key = hilbert_keys(cells_of(vectors([np.frombuffer(x, dtype="<u2") for x in ids], basis)))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(k, 256), pa.array(key, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "curve_key", "n", "ids"])
+            doc_ids = batch.column("doc_id")
+            for first, _, texts in byte_blocks(batch, BLOCK):
+                found = encode([t.decode() for t in texts])
+                for k in range(0, len(found), 256):
+                    ids = found[k : k + 256]
+                    key = hilbert_keys(cells_of(vectors([np.frombuffer(x, dtype="<u2") for x in ids], basis)))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(first + k, len(ids)), pa.array(key, pa.int64()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64()), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "curve_key", "n", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, curve_key long, n long, ids binary")
 
