@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.operators.graph import connected_components
@@ -12,6 +12,11 @@ from facetflow.operators.tables import stored
 PROJECTIONS = ("xy", "xz", "yz")
 
 
+def _digits(c: str) -> Column:
+    """The fewest digits that tell a double from all others, as SQL writes it; a cast gives 4.7E-4, and on some JVMs too many."""
+    return F.udf(lambda value: None if value is None else repr(value), "string")(c)
+
+
 def face_adjacency(faces: DataFrame) -> DataFrame:
     """(mesh_id, a, b): undirected neighbours from faces with three different corners."""
     sound = faces.where("v0 <> v1 and v1 <> v2 and v0 <> v2")
@@ -55,14 +60,14 @@ def verdict(reference: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame,
     mean = diffs.groupBy("mesh_id").agg((F.sum("differing") / (len(PROJECTIONS) * width * height)).alias("mean"))
     names = ["vertices", "faces", "degenerate_faces", "components"]
     stats = [structural_stats(*s).select("mesh_id", *(F.col(n).alias(f"{p}_{n}") for n in names)) for s, p in ((reference, "a"), (candidate, "b"))]
-    joined = stats[0].join(stats[1], "mesh_id").join(mean, "mesh_id", "left")
+    joined = stats[0].join(stats[1], "mesh_id").join(mean.withColumn("mean_text", _digits("mean")), "mesh_id", "left")
     average, increase = F.coalesce("mean", F.lit(0.0)), F.col("b_components") - F.col("a_components")
     text = lambda c: c.cast("string")
     rows = [F.struct(F.lit(scope).alias("scope"), F.lit(n).alias("name"), text(F.col(f"{p}_{n}")).alias("value")) for scope, p in (("reference", "a"), ("candidate", "b")) for n in names]
     rows += [
-        F.struct(F.lit("summary").alias("scope"), F.lit("average_render_diff").alias("name"), text(average).alias("value")),
+        F.struct(F.lit("summary").alias("scope"), F.lit("average_render_diff").alias("name"), F.coalesce("mean_text", F.lit("0.0")).alias("value")),
         F.struct(F.lit("summary").alias("scope"), F.lit("component_increase").alias("name"), text(increase).alias("value")),
         F.struct(F.lit("summary").alias("scope"), F.lit("flagged").alias("name"), text((average > most_diff) | (increase > most_increase)).alias("value")),
     ]
     summary = joined.select(F.inline(F.array(*rows)))
-    return summary.union(diffs.select(F.lit("render_diff").alias("scope"), F.col("projection").alias("name"), text(F.col("fraction")).alias("value")))
+    return summary.union(diffs.select(F.lit("render_diff").alias("scope"), F.col("projection").alias("name"), _digits("fraction").alias("value")))
