@@ -55,7 +55,6 @@ class Patch:
         self.priority: dict[int, int] = {}
         self.rims: set[int] = set()
         self.own: set[int] = set()
-        self.slab: dict[int, int] = {}
         self.faces: dict[int, tuple[int, int, int]] = {}
         self.around: dict[int, set[int]] = {}
         #: by (survivor, other): cost, bound, point
@@ -169,51 +168,17 @@ class Patch:
                     heapq.heappush(heap, self.rank(k))
             yield greatest, key
 
-    def batch(self, share: float, most: int, limit: int | None, fresh: bool) -> tuple[list[tuple[Rank, tuple[int, int]]], tuple[int, int, int, int]]:
-        """One batch: chooses sound edges by rank, whose corners no chosen one before claims, and collapses those
-        that are still sound at their turn.
-
-        Only edges count whose ends have all their neighbours among the own vertices; without fresh, also not
-        those that had so in the slabs before.  most: of chosen ones, or 0 for the cheapest share of the sound
-        ones.  Gives what was done, and how many counted, were chosen, conflicted, and were done."""
-        ranked = []
-        for key in self.prices:
-            reads = self.near(key[0]) | self.near(key[1])
-            if reads <= self.own and (fresh or len({self.slab[v] for v in reads}) > 1):
-                ranked.append(self.rank(key))
-        ranked.sort()
-        count = len(ranked)
-        if not most:
-            ranked = [r for r in ranked if self.sound(*r[3:])]
-            ranked = ranked[: -int(-share * len(ranked) // 1)]
-        claimed: set[int] = set()
-        chosen, conflicts = [], 0
-        for rank in ranked:
-            if most and (len(chosen) >= most or not self.sound(*rank[3:])):
-                if len(chosen) >= most:
-                    break
-                continue
-            claim = {*rank[3:], *self.opposite(*rank[3:])}
-            if claim & claimed:
-                conflicts += 1
-                continue
-            claimed |= claim
-            chosen.append(rank)
-        done = []
-        for rank in chosen:
-            if limit is not None and len(done) >= limit:
-                break
-            if self.sound(*rank[3:]):
-                self.collapse(*rank[3:])
-                done.append((rank, rank[3:]))
-        return done, (count, len(chosen), conflicts, len(done))
-
-    def new_edges(self) -> Iterable[tuple[tuple[int, int], tuple[float, float, Point]]]:
-        """Prices of the edges of survivors that may ever collapse."""
+    def edges_of_moved(self) -> Iterator[tuple[int, int]]:
+        """The edges of survivors that may ever collapse."""
         seen = set()
         for v in self.moved - self.rims:
             for w in self.near(v) - self.rims:
                 key = self.key(v, w)
                 if key not in seen and len(self.around[v] & self.around[w]) >= 2:
                     seen.add(key)
-                    yield key, self.merged(v, w)
+                    yield key
+
+    def new_edges(self) -> Iterable[tuple[tuple[int, int], tuple[float, float, Point]]]:
+        """Prices of the edges of survivors that may ever collapse."""
+        for key in self.edges_of_moved():
+            yield key, self.merged(*key)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from facetflow.functions.vecmath import least_first
 from facetflow.operators.tables import numbered
-from facetflow.operators.topology import boundary_edges, half_edges
 
 VERTEX_SCHEMA = "mesh_id string, vid long, x double, y double, z double"
 FACE_SCHEMA = "mesh_id string, fid long, v0 long, v1 long, v2 long"
@@ -56,6 +55,14 @@ def grid_faces(vertices: DataFrame, w: int) -> DataFrame:
     return cells.select("mesh_id", F.inline(corners))
 
 
+def grid_rim(vertices: DataFrame, w: int) -> DataFrame:
+    """(mesh_id, src, dst): the half-edges of grid_faces without a flip, which lead round the grid."""
+    x, y, vid = F.col("x"), F.col("y"), F.col("vid")
+    sides = [(y == 0) & (x < w - 1), (x == w - 1) & (y < w - 1), (y == w - 1) & (x > 0), (x == 0) & (y > 0)]
+    onward = [F.when(side, vid + step) for side, step in zip(sides, (1, w, -1, -w), strict=True)]
+    return vertices.where(F.lit(w > 1)).select("mesh_id", vid.alias("src"), F.explode(F.array_compact(F.array(*onward))).alias("dst"))
+
+
 def shell(spark: SparkSession, sf_dir: str) -> Surface:
     """The terrain, the same turned over below it, and walls along the rim: a closed surface."""
     w = grid_side(spark, sf_dir)
@@ -64,7 +71,7 @@ def shell(spark: SparkSession, sf_dir: str) -> Surface:
     below = top.vertices.select("mesh_id", (F.col("vid") + n).alias("vid"), "x", "y", (F.col("z") - DEPTH).alias("z"))
     vertices = top.vertices.union(below).withColumn("mesh_id", F.lit("shell"))
     under = top.faces.select("mesh_id", (F.col("fid") + 2 * n).alias("fid"), (F.col("v0") + n).alias("v0"), (F.col("v2") + n).alias("v1"), (F.col("v1") + n).alias("v2"))
-    rim = boundary_edges(half_edges(top.faces))
+    rim = grid_rim(top.vertices, w)
     a, b = F.col("src"), F.col("dst")
     walls = rim.select(
         "mesh_id",
