@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +184,19 @@ def _painter(width: int, height: int, tile: int, at_once: int, held: int) -> Cal
     return task
 
 
+def _fitted(box: DataFrame, projection: str, width: int, height: int, padding: int) -> DataFrame:
+    """(mesh_id, _u0, _v0, _scale, _left, _low): how raster_points fits a view, from the bounds of vertices."""
+    low, high = project(projection, *(F.col(f"min_{k}") for k in "xyz")), project(projection, *(F.col(f"max_{k}") for k in "xyz"))
+    su, sv = (F.greatest(high[k] - low[k], F.lit(LEAST_SPAN)) for k in range(2))
+    scale = F.least(F.lit(float(max(width - 2 * padding, 1))) / su, F.lit(float(max(height - 2 * padding, 1))) / sv)
+    return box.select("mesh_id", low[0].alias("_u0"), low[1].alias("_v0"), scale.alias("_scale"), ((width - su * scale) / 2).alias("_left"), ((height - sv * scale) / 2).alias("_low"))
+
+
+def bounds(vertices: DataFrame) -> DataFrame:
+    """(mesh_id, min_x .. max_z), a row a mesh."""
+    return vertices.groupBy("mesh_id").agg(*(f(k).alias(f"{name}_{k}") for k in "xyz" for name, f in (("min", F.min), ("max", F.max))))
+
+
 def rasterize(vertices: DataFrame, faces: DataFrame, projection: str, width: int = SIDE, height: int = SIDE, padding: int = PADDING) -> DataFrame:
     """(mesh_id, px, py, depth, color) of the pixels that a face covers; all others are blank.
 
@@ -192,25 +205,41 @@ def rasterize(vertices: DataFrame, faces: DataFrame, projection: str, width: int
     product.  Faces with a corner that doesn't exist or has no place aren't drawn.  A mesh without faces shows
     its vertices; an empty table gives no pixels.
     """
+    return views(vertices, faces, (projection,), width, height, padding).drop("projection")
+
+
+def views(vertices: DataFrame, faces: DataFrame, projections: Sequence[str], width: int = SIDE, height: int = SIDE, padding: int = PADDING) -> DataFrame:
+    """(projection, mesh_id, px, py, depth, color): rasterize for several views; corners are joined once for all."""
     c = F.col
-    points = raster_points(vertices, projection, width, height, padding).join(vertices.select("mesh_id", "vid", *"xyz"), ["mesh_id", "vid"])
-    out = faces.select("mesh_id", "fid", "v0", "v1", "v2")
-    for v, k in (("v0", "a"), ("v1", "b"), ("v2", "c")):
-        own = [c("px").alias(f"{k}x"), c("py").alias(f"{k}y"), c("depth").alias(f"{k}d"), *(c(axis).alias(f"{k}_{axis}") for axis in "xyz")]
-        out = out.join(points.select("mesh_id", c("vid").alias(v), *own), ["mesh_id", v])
-    area = M.edge_side(c("ax"), c("ay"), c("bx"), c("by"), c("cx"), c("cy"))
+    box = stored(bounds(vertices), "box")  # a row a mesh: the joins know its size
+    whole = corners(faces.select("mesh_id", "fid", "v0", "v1", "v2"), vertices)
+    bare = vertices.join(faces.select("mesh_id").distinct(), "mesh_id", "left_anti")
+    if len(projections) > 1:
+        whole, bare = stored(whole, "corners"), stored(bare, "bare")
     low = lambda k: F.greatest(F.lit(0), F.floor(F.least(f"a{k}", f"b{k}", f"c{k}"))).cast("int")
     high = lambda k, n: F.least(F.lit(n - 1), F.ceil(F.greatest(f"a{k}", f"b{k}", f"c{k}"))).cast("int")
-    boxes = out.where(F.abs(area) >= LEAST_AREA).select(
-        "mesh_id", c("fid").cast("long").alias("fid"), *(k + j for k in "abc" for j in "xyd"), area.alias("area"), face_shade(projection, *(M.vec(f"{k}_") for k in "abc")).alias("color"),
-        low("x").alias("x0"), high("x", width).alias("x1"), low("y").alias("y0"), high("y", height).alias("y1"),
-    )
-    seen = boxes.where("x0 <= x1 and y0 <= y1").where((c("ad") + c("bd") + c("cd")).isNotNull())
-    lit = seen.mapInArrow(_painter(width, height, TILE, AT_ONCE, HELD), "mesh_id string, fid long, px int, py int, depth double, color int")
-    bare = points.join(faces.select("mesh_id").distinct(), "mesh_id", "left_anti")
-    dots = bare.select("mesh_id", c("vid").alias("fid"), F.bround("px", 0).cast("int").alias("px"), F.bround("py", 0).cast("int").alias("py"), "depth", F.lit(SPLAT).alias("color")).where(f"px >= 0 and px < {width} and py >= 0 and py < {height}")
+    out = None
+    for projection in projections:
+        fit = _fitted(box, projection, width, height, padding)
+
+        def point(prefix: str, projection: str = projection) -> tuple[Column, Column, Column]:
+            u, v, depth = project(projection, *M.vec(prefix))
+            return c("_left") + (u - c("_u0")) * c("_scale"), height - (c("_low") + (v - c("_v0")) * c("_scale")), depth
+
+        flat = whole.join(fit, "mesh_id").select(
+            "mesh_id", c("fid").cast("long").alias("fid"), *(value.alias(k + j) for k in "abc" for j, value in zip(("x", "y", "d"), point(k), strict=True)),
+            face_shade(projection, *(M.vec(k) for k in "abc")).alias("color"),
+        )
+        area = M.edge_side(c("ax"), c("ay"), c("bx"), c("by"), c("cx"), c("cy"))
+        boxes = flat.withColumn("area", area).where(F.abs("area") >= LEAST_AREA).withColumns({"x0": low("x"), "x1": high("x", width), "y0": low("y"), "y1": high("y", height)})
+        seen = boxes.where("x0 <= x1 and y0 <= y1").where((c("ad") + c("bd") + c("cd")).isNotNull())
+        lit = seen.mapInArrow(_painter(width, height, TILE, AT_ONCE, HELD), "mesh_id string, fid long, px int, py int, depth double, color int")
+        x, y, depth = point("")
+        dots = bare.join(fit, "mesh_id").select("mesh_id", c("vid").alias("fid"), F.bround(x, 0).cast("int").alias("px"), F.bround(y, 0).cast("int").alias("py"), depth.alias("depth"), F.lit(SPLAT).alias("color"))
+        own = lit.union(dots.where(f"px >= 0 and px < {width} and py >= 0 and py < {height}")).withColumn("projection", F.lit(projection))
+        out = own if out is None else out.union(own)
     nearest = F.max_by(F.struct("depth", "color"), F.struct("depth", -c("fid"))).alias("n")
-    return lit.union(dots).groupBy("mesh_id", "px", "py").agg(nearest).select("mesh_id", "px", "py", "n.depth", "n.color")
+    return out.groupBy("projection", "mesh_id", "px", "py").agg(nearest).select("projection", "mesh_id", "px", "py", "n.depth", "n.color")
 
 
 def turned_left(pixels: DataFrame, width: int) -> DataFrame:

@@ -32,22 +32,19 @@ def _rank_columns() -> tuple[Column, ...]:
     return M.tidy(F.col("cost")), F.col("hi"), F.col("lo")
 
 
-def _reads(candidates: DataFrame, near: DataFrame) -> DataFrame:
-    """(mesh_id, rank, v): all vertices that a collapse reads, its own ends among them."""
-    ends = candidates.select("mesh_id", "rank", F.explode(F.array("hi", "lo")).alias("end"))
-    around = ends.join(near.select("mesh_id", F.col("v").alias("end"), F.col("n").alias("v")), ["mesh_id", "end"])
-    return around.select("mesh_id", "rank", "v").union(ends.select("mesh_id", "rank", "end"))
-
-
 def independent_batch(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """The candidates (mesh_id, hi, lo, ..., cost) that precede all they conflict with: one round."""
-    return _winners(candidates.withColumn("rank", rank_of()), neighbours(edges)).select(candidates.columns)
-
-
-def _winners(ranked: DataFrame, near: DataFrame) -> DataFrame:
-    written = ranked.select("mesh_id", "rank", F.explode(F.array("hi", "lo")).alias("v")).groupBy("mesh_id", "v").agg(F.min("rank").alias("first"))
-    late = _reads(ranked, near).join(written, ["mesh_id", "v"]).where(F.col("first") < F.col("rank")).select("mesh_id", "rank").distinct()
-    return ranked.join(late, ["mesh_id", "rank"], "left_anti")
+    """The candidates (mesh_id, hi, lo, ..., cost) that precede all they conflict with: one round.
+
+    The least rank that writes a vertex or a neighbour of it is all that a vertex has to know: no rows for what a
+    collapse reads are formed."""
+    ranked = candidates.withColumn("_rank", rank_of())
+    written = stored(ranked.select("mesh_id", "_rank", F.explode(F.array("hi", "lo")).alias("v")).groupBy("mesh_id", "v").agg(F.min("_rank").alias("first")), "written")
+    around = edges.select("mesh_id", F.inline(F.array(F.struct(F.col("src").alias("n"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("n"), F.col("src").alias("v")))))
+    near = around.join(written.withColumnRenamed("v", "n"), ["mesh_id", "n"]).select("mesh_id", "v", "first").union(written.select("mesh_id", "v", "first"))
+    least = stored(near.groupBy("mesh_id", "v").agg(F.min("first").alias("first")), "least")
+    for end in ("hi", "lo"):
+        ranked = ranked.join(least.select("mesh_id", F.col("v").alias(end), F.col("first").alias(f"_{end}")), ["mesh_id", end])
+    return ranked.where("_hi >= _rank and _lo >= _rank").select(candidates.columns)
 
 
 def greedy_batch(candidates: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:

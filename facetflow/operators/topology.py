@@ -119,9 +119,10 @@ def collapsible_edges(edges: DataFrame, candidates: DataFrame | None = None) ->
     """Candidates (two-sided edges by default) that keep the surface sound: closed rings around both ends, link
     condition.  Of a vertex where fans touch only the edge's own fan counts."""
     candidates = two_sided_edges(edges) if candidates is None else candidates
-    closed = rings(edges).where("ring is not null")
+    closed = stored(rings(edges).where("ring is not null").select("mesh_id", "src", "dst"), "closed")  # used for both ends
     for src, dst in (("hi", "lo"), ("lo", "hi")):
         candidates = candidates.join(closed.select("mesh_id", F.col("src").alias(src), F.col("dst").alias(dst)), ["mesh_id", "hi", "lo"], "left_semi")
+    candidates = stored(candidates, "in-rings")
     return candidates.join(link_violations(candidates, edges), ["mesh_id", "hi", "lo"], "left_anti")
 
 

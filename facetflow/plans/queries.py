@@ -218,15 +218,14 @@ def obj_export(s, d):
     return obj.export_lines(Surface(kept, t.faces)).select("section", "a", "b", "c", "line")
 
 
-def _independent(s: SparkSession, d: str) -> DataFrame:
-    t = terrain(s, d)
+def _independent(t: Surface) -> DataFrame:
     edges = stored(topology.half_edges(t.faces), "edges")
     priced = quadrics.edge_candidates(topology.collapsible_edges(edges), t.vertices, quadrics.vertex_quadrics(t.faces, t.vertices))
     return select.independent_batch(stored(priced, "priced"), edges)
 
 
 def independent_batch(s, d):
-    return _rounded(_independent(s, d).select("hi", "lo", "px", "py", "pz", "cost"), "px", "py", "pz", "cost")
+    return _rounded(_independent(terrain(s, d)).select("hi", "lo", "px", "py", "pz", "cost"), "px", "py", "pz", "cost")
 
 
 def contract_once(s, d):
@@ -318,10 +317,10 @@ def render_disagreement(s, d):
 
 
 def quality_verdict(s, d):
-    t = terrain(s, d)
-    chosen = stored(_independent(s, d), "chosen")  # places as they are: rounding is for output only
-    # every surface is rendered three times; without tables of its own the plan outgrows the driver
-    before = (stored(t.vertices, "vertices"), stored(t.faces, "faces"))
+    # every surface is used many times; without tables of its own the plan outgrows the driver
+    vertices = stored(terrain(s, d).vertices, "vertices")
+    before = (vertices, stored(surfaces.grid_faces(vertices, grid_side(s, d)), "faces"))
+    chosen = stored(_independent(Surface(*before)), "chosen")  # places as they are: rounding is for output only
     after = (stored(select.contract_vertices(before[0], chosen), "vertices"), stored(select.contract_faces(before[1], chosen), "faces"))
     return quality.verdict(before, after)
 
